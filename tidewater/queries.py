@@ -1,0 +1,4 @@
+"""Registered queries over the given tables, and the SQL that each is held against."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
