@@ -1,12 +1,18 @@
 """Registered queries of the corpus operators, and SQL where it can express them."""
 
 from tidewater.llm.classifier import op3_quality_classifier
+from tidewater.llm.decontaminate import op1_decontaminate
+from tidewater.llm.html_text import op2_html_extraction
 from tidewater.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tidewater.llm.mixing import OP10_SQL, op10_mix_sources
+from tidewater.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op10_mix_sources": op10_mix_sources,
 }
 
