@@ -5,6 +5,7 @@ from tidewater.llm.decontaminate import op1_decontaminate
 from tidewater.llm.html_text import op2_html_extraction
 from tidewater.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tidewater.llm.mixing import OP10_SQL, op10_mix_sources
+from tidewater.llm.ngram_lm import op6_lm_score
 from tidewater.llm.toxicity import op5_toxicity
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_lm_score": op6_lm_score,
     "op10_mix_sources": op10_mix_sources,
 }
 
