@@ -89,11 +89,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, words_only: bool = False)
     return s, e, np.searchsorted(s, offsets)
 
 
-def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, A-Z as a-z; equal strings have equal hashes wherever they stand."""
+def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of byte spans, A-Z as a-z with ``lower``; equal strings have equal hashes wherever they stand."""
     up, down = _powers_of(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum((_LOWER[data].astype(U) + U(1)) * down[: len(data)], out=sums[1:])
+    np.cumsum(((_LOWER[data] if lower else data).astype(U) + U(1)) * down[: len(data)], out=sums[1:])
     return mix((sums[e] - sums[s]) * up[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
 
 
