@@ -6,6 +6,7 @@ from tidewater.llm.html_text import op2_html_extraction
 from tidewater.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tidewater.llm.mixing import OP10_SQL, op10_mix_sources
 from tidewater.llm.ngram_lm import op6_lm_score
+from tidewater.llm.pii import op9_pii
 from tidewater.llm.sketch import op8_fingerprints
 from tidewater.llm.toxicity import op5_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_lm_score": op6_lm_score,
     "op8_fingerprints": op8_fingerprints,
+    "op9_pii": op9_pii,
     "op10_mix_sources": op10_mix_sources,
 }
 
