@@ -3,6 +3,7 @@
 from tidewater.llm.classifier import op3_quality_classifier
 from tidewater.llm.decontaminate import op1_decontaminate
 from tidewater.llm.html_text import op2_html_extraction
+from tidewater.llm.jaccard_join import op7_jaccard_join
 from tidewater.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tidewater.llm.mixing import OP10_SQL, op10_mix_sources
 from tidewater.llm.ngram_lm import op6_lm_score
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_lm_score": op6_lm_score,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_fingerprints": op8_fingerprints,
     "op9_pii": op9_pii,
     "op10_mix_sources": op10_mix_sources,
