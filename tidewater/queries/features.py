@@ -69,10 +69,10 @@ def _(spark, d):
     return timegrid.drop_incomplete_bins(e, "D", 200, ["series"]).groupBy("series", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("scan_lineitem_daily", "SELECT l_returnflag AS series, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, round(sum((l_extendedprice * l_quantity)::DECIMAL(28,4)) / sum(l_quantity)::DECIMAL(18,2)::DOUBLE, 2) AS weighted, median(l_extendedprice) AS med, max(l_discount) AS top FROM lineitem GROUP BY 1, 2")
+@query("scan_lineitem_daily", "SELECT l_returnflag AS series, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, round(sum((l_extendedprice * l_quantity)::DECIMAL(28,4)) / sum(l_quantity)::DECIMAL(18,2)::DOUBLE, 1) AS weighted, median(l_extendedprice) AS med, max(l_discount) AS top FROM lineitem GROUP BY 1, 2")
 def _(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("series"), F.col("l_shipdate").alias("ts"), "l_extendedprice", "l_quantity", "l_discount")
-    weighted = F.round(F.sum((F.col("l_extendedprice") * F.col("l_quantity")).cast("decimal(28,4)")).cast("double") / F.sum("l_quantity").cast("decimal(18,2)").cast("double"), 2)
+    weighted = F.round(F.sum((F.col("l_extendedprice") * F.col("l_quantity")).cast("decimal(28,4)")).cast("double") / F.sum("l_quantity").cast("decimal(18,2)").cast("double"), 1)
     return timegrid.resample(li, "D", {"weighted": weighted, "med": F.median("l_extendedprice"), "top": F.max("l_discount")}, ["series"])
 
 
