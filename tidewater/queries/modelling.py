@@ -302,11 +302,11 @@ _SCORES = f"""{_HV}, dv AS (SELECT o_orderdate::DATE AS date, sum(o_totalprice::
  m AS (SELECT event_key, b.date, avg(v) AS baseline FROM b LEFT JOIN dv ON dv.date = base GROUP BY 1, 2), sc AS (SELECT event_key, m.date, v - baseline AS score FROM m JOIN dv USING (date))"""
 
 
-@query("holiday_scores", f"WITH {_SCORES} SELECT event_key, date, round(score, 1) AS score FROM sc")
+@query("holiday_scores", f"WITH {_SCORES} SELECT event_key, date, round(score, 3) AS score FROM sc")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_totalprice").cast("decimal(18,2)").alias("y"))
     s = events.holiday_scores(o, _us(spark))
-    return s.select("event_key", "date", F.round(F.col("score").cast("double"), 1).alias("score"))
+    return s.select("event_key", "date", F.round(F.col("score").cast("double"), 3).alias("score"))
 
 
 @query(
