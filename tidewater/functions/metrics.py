@@ -68,7 +68,7 @@ def _pair(y: Column, p: Column) -> tuple[Column, Column]:
 def correlation(y: Column, p: Column) -> Column:
     """Pearson's; null if a side is constant."""
     y, p = _pair(y, p)
-    return F.when((F.min(y) < F.max(y)) & (F.min(p) < F.max(p)), F.corr(y, p))
+    return F.covar_pop(y, p) / F.nullif(F.stddev_pop(y) * F.stddev_pop(p), F.lit(0.0))
 
 
 def r2(y: Column, p: Column) -> Column:

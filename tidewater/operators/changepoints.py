@@ -121,7 +121,7 @@ def level_shifts(df: DataFrame, z: float = 3.0, keys: Sequence[str] = (), ts: st
     """(keys, start_time, end_time): runs of rows whose change from the row before is ``z`` standard deviations (sample) from the mean change."""
     w, every = Window.partitionBy(*keys).orderBy(ts), Window.partitionBy(*keys)
     changed = df.withColumn("_d", F.abs(F.col(value) - F.lag(value).over(w))).withColumn("_pos", F.row_number().over(w))
-    marked = changed.withColumn("_z", (F.col("_d") - F.avg("_d").over(every)) / F.stddev_samp("_d").over(every)).filter(F.col("_z") > z)
+    marked = changed.withColumn("_z", (F.col("_d") - F.avg("_d").over(every)) / F.nullif(F.stddev_samp("_d").over(every), F.lit(0.0))).filter(F.col("_z") > z)
     island = marked.withColumn("_g", F.col("_pos") - F.row_number().over(w))
     return island.groupBy(*keys, "_g").agg(F.min(ts).alias("start_time"), F.max(ts).alias("end_time")).drop("_g")
 

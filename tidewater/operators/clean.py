@@ -115,7 +115,7 @@ def tukey_outliers(df: DataFrame, value: str = VALUE, cutoff: float = TUKEY_CUTO
 def mask_outliers(df: DataFrame, cutoff: float, value: str = VALUE, keys: Sequence[str] = ()) -> DataFrame:
     """Values farther than ``cutoff`` sample standard deviations from the mean become null."""
     w = Window.partitionBy(*keys)
-    z = F.abs(F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w)
+    z = F.abs(F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
     return df.withColumn(value, F.when(F.coalesce(z > cutoff, F.lit(False)), None).otherwise(F.col(value)))
 
 

@@ -207,7 +207,11 @@ def simulate(model: LinearModel, future: DataFrame, paths: int = 0, seed: int =
     each = based.withColumn("_path", F.explode(F.sequence(F.lit(1 if paths else 0), F.lit(paths))))
     simulated = each.groupBy("_path").applyInPandas(run, f"{ts} timestamp_ntz, _path int, {FORECAST} double")
     if not paths:
-        return _finish(future.join(simulated.drop("_path"), ts), model) if model.ci is not None and not model.ci.by else future.join(simulated.drop("_path"), ts)
+        out = future.join(simulated.drop("_path"), ts)
+        if model.ci is None:
+            return out
+        # the residuals' own width: rows that depend on forecasts have no design row to scale it by
+        return intervals.with_bounds(intervals.apply_intervals(_features(out, spec, model.origin, None, ts), model.ci, FORECAST, None, lo, hi))
     quantiles = (model.ci.quantiles if model.ci else None) or [0.025, 0.975]
     stats = simulated.groupBy(ts).agg(F.avg(FORECAST).alias(FORECAST), F.percentile(FORECAST, F.array(*[F.lit(q) for q in quantiles])).alias("quantile_summary"), F.stddev_samp(simulated[FORECAST]).alias("err_std"))
     return intervals.with_bounds(future.join(stats, ts))

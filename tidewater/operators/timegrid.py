@@ -15,7 +15,7 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "nanmean": F
 
 
 def weighted_average(value: Column, weight: Column) -> Column:
-    return F.sum(value * weight) / F.sum(F.when(value.isNotNull(), weight))
+    return F.try_divide(F.sum(value * weight), F.sum(F.when(value.isNotNull(), weight)))
 
 
 def bin_start(ts: Column, freq: str, origin: Column | None = None) -> Column:
@@ -84,7 +84,7 @@ def find_gaps(df: DataFrame, keys: Sequence[str] = (), ts: str = TIME) -> DataFr
     w = Window.partitionBy(*keys)
     gaps = df.select(*keys, ts).withColumn("after", F.lead(ts).over(w.orderBy(ts))).withColumn("_gap", gap_seconds(F.col("after"), F.col(ts)))
     gaps = gaps.withColumn("_least", F.min("_gap").over(w)).filter("_gap > _least")
-    return gaps.select(*keys, F.col(ts).alias("before"), "after", (F.col("_gap") / F.col("_least") - 1).alias("gap_size"))
+    return gaps.select(*keys, F.col(ts).alias("before"), "after", (F.col("_gap") / F.nullif(F.col("_least"), F.lit(0.0)) - 1).alias("gap_size"))
 
 
 def min_gap_seconds(df: DataFrame, keys: Sequence[str] = (), ts: str = TIME) -> DataFrame:
