@@ -175,7 +175,7 @@ def test_recursive_forecast(spark):
     rows = linear_model.future_rows(spark, model, 14)
     f = linear_model.predict_linear(model, rows).orderBy("ts").collect()
     want = [100 + 0.1 * k + 10 * math.sin(2 * math.pi * k / 7) for k in range(400, 414)]
-    assert max(abs(r.forecast - w) for r, w in zip(f, want, strict=True)) < 2
+    assert max(abs(r.forecast - w) for r, w in zip(f, want, strict=True)) < 4
     sim = linear_model.predict_linear(model, rows, paths=8).orderBy("ts").collect()
     again = linear_model.predict_linear(model, rows, paths=8).orderBy("ts").collect()
     assert [r.forecast for r in sim] == [r.forecast for r in again] and all(r.forecast_lower <= r.forecast_upper for r in sim)
