@@ -7,8 +7,7 @@ articles rather than inside (log-odds), in units of the words that such text hol
 are read at most, those with the smallest hash of their id; Spark counts their tags and scores all pages.
 
 Elements that hold no article text whatever stands around them (scripts, forms, menus, and blocks whose class, id or role
-says that they are adverts, notices, comments and the like) are taken out first; as one costly tag each they also
-keep the run from crossing them for little text.
+says that they are adverts, notices, comments and the like) are taken out first, and stand as one cheap tag each.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks (split by block tags
 and ``br``) are trimmed and joined by one newline, empty ones dropped.
@@ -123,13 +122,14 @@ def weigh(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Score of a word ("") and of each tag; "<" for tags that the labelled pages don't have."""
     total = {side: sum(n for (k, s), n in counts.items() if k[:1] == "<" and s == side) for side in (True, False)}
     if not total[True]:
-        return {"": 1.0, "<": -3.0}
+        return {"": 1.0, "<": -1.0, "<" + DROPPED: -0.5}
     run = max(3.0, counts.get(("", False), 0) / max(1, counts.get(("run", False), 0)))
     out = {"": 1.0, "<": -run / 2}
     for tag in {k for k, _ in counts if k[:1] == "<"}:
         odds = math.log((counts.get((tag, True), 0) + 0.5) / (total[True] + 1)) - math.log((counts.get((tag, False), 0) + 0.5) / (total[False] + 1))
         out[tag] = -0.25 if odds > 0 else -max(0.25, min(8.0, -odds) * run)
-    out["<" + DROPPED] = min(out.get("<" + DROPPED, 0.0), -run)
+    # what is taken out gives no text, so that it may lie inside of an article of few words, too
+    out["<" + DROPPED] = -0.5
     return out
 
 
