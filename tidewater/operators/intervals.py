@@ -90,3 +90,17 @@ def uncertainty_defaults(seconds: float, coverage: float | None) -> dict | None:
     if coverage is None:
         return None
     return {"by": ["dow_hr"] if seconds <= 86400 else [], "quantiles": [(1 - coverage) / 2, (1 + coverage) / 2], "method": "normal_fit", "min_rows": 5, "small_quantile": 0.98}
+
+
+def quantile_model(df: DataFrame, columns: dict[str, Column], residual: str, quantiles: Sequence[float]) -> dict[float, dict[str, float]]:
+    """Coefficients of residual quantiles over features (trend, season), one quantile regression each."""
+    from tidewater.operators.regression import fit_quantile
+
+    return {q: fit_quantile(df, columns, F.col(residual), q).coefficients() for q in quantiles}
+
+
+def apply_quantile_model(df: DataFrame, columns: dict[str, Column], model: dict[float, dict[str, float]], forecast: str = "forecast") -> DataFrame:
+    """Adds quantile_summary: forecast plus fitted residual quantiles, in order."""
+    from tidewater.operators.regression import linear
+
+    return df.withColumn(QUANTILES, F.array_sort(F.array(*[F.col(forecast) + linear(columns, b) for b in model.values()])))

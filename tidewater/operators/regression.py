@@ -531,3 +531,81 @@ def bootstrap_coefficients(df: DataFrame, columns: dict[str, Column], response:
         return pd.DataFrame({"sample": int(pdf["sample"].iloc[0]), "term": names, "estimate": beta})
 
     return entries.groupBy("sample").applyInPandas(solve, "sample int, term string, estimate double")
+
+
+# ---- penalised quantiles, choices on folds, inference by splits
+
+
+def fit_l1_quantile(df: DataFrame, columns: dict[str, Column], response: Column, q: float, alpha: float, rounds: int = 30, delta: float = 1e-6) -> Fit:
+    """Quantile regression with an L1 penalty on all but the intercept: reweighted sums, each followed by coordinate descent."""
+    beta = fit_ols(gram(df, columns, response)).beta
+    for _ in range(rounds):
+        e = response - linear(columns, dict(zip(columns, beta, strict=True)))
+        w = F.when(e > 0, q).otherwise(1 - q) / F.greatest(F.abs(e), F.lit(delta))
+        g = gram(df, columns, response, w)
+        p = np.array([0.0 if n == "Intercept" else alpha / g.n * g.rows for n in g.names])
+        new = coordinate_descent(g.xx / g.n, g.xy / g.n, p, np.zeros(len(p)))
+        done = np.abs(new - beta).max(initial=0.0) < 1e-4 * max(1.0, np.abs(beta).max(initial=0.0))
+        beta = new
+        if done:
+            break
+    return Fit(list(columns), beta, alpha, {"q": q})
+
+
+def contiguous_folds(df: DataFrame, columns: dict[str, Column], response: Column, folds: int, order: Column) -> list[Gram]:
+    """Sums of each of ``folds`` runs of rows in the given order."""
+    from pyspark.sql import Window
+
+    at = F.ntile(folds).over(Window.orderBy(order))
+    rows = gram_table(df.withColumn("_fold", at), list(columns.values()), response, None, ["_fold"]).collect()  # one matrix per fold
+    return [gram_from(r.sums, list(columns)) for r in rows]
+
+
+def total_of(parts: Sequence[Gram]) -> Gram:
+    return Gram(parts[0].names, sum(p.xx for p in parts), sum(p.xy for p in parts), sum(p.yy for p in parts), sum(p.n for p in parts), sum(p.rows for p in parts))
+
+
+def fit_partial_cv(folds: Sequence[Gram], l1: Sequence[str], l1_alphas: Sequence[float], l2: Sequence[str], l2_alphas: Sequence[float]) -> Fit:
+    """The pair of penalties with the smallest loss on held-out folds."""
+    total = total_of(folds)
+    best = min(itertools.product(l1_alphas, l2_alphas), key=lambda a: sum(squared_loss(f, fit_partial(total - f, l1, a[0], l2, a[1]).beta) for f in folds))
+    return fit_partial(total, l1, best[0], l2, best[1])
+
+
+def split_inference(df: DataFrame, columns: dict[str, Column], response: Column, alpha: float, splits: int = 50, seed: int = 1, least_gamma: float = 0.05) -> dict[str, float]:
+    """P-values of lasso coefficients: on half of the rows lasso selects, on the other half least squares tests what was selected,
+    times the number selected; over all splits the smallest scaled quantile. All splits are summed up in one pass."""
+    p = len(columns) + 1
+    names = list(columns)
+    flat = df.select(F.array(*[c.cast("double") for c in columns.values()], response.cast("double")).alias("_v"), F.xxhash64(*[c.cast("double") for c in columns.values()], response.cast("double")).alias("_h"))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2 * splits, p * p + 2))
+        for b in batches:
+            m = np.array(b["_v"].tolist(), float).reshape(-1, p)
+            h = b["_h"].to_numpy(np.int64).view(np.uint64)
+            for k in range(splits):
+                bits = (h * np.uint64(2 * (seed * 1000 + k) + 1)) >> np.uint64(63)
+                for side in (0, 1):
+                    total[2 * k + side] += _gram_of(m[bits == side], np.ones(int((bits == side).sum())))
+        yield pd.DataFrame({"k": range(2 * splits), "sums": list(total)})
+
+    entries = flat.mapInPandas(part, "k int, sums array<double>").select("k", F.posexplode("sums").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x"))
+    rows = entries.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("e")).collect()  # one matrix per half
+    grams = {r.k: gram_from([e.x for e in r.e], names) for r in rows}
+    found = {n: [] for n in names}
+    for k in range(splits):
+        chosen = [n for n, b in fit_lasso(grams[2 * k], alpha).coefficients().items() if b or n == "Intercept"]
+        at = [names.index(n) for n in chosen]
+        g = grams[2 * k + 1]
+        half = Gram(chosen, g.xx[np.ix_(at, at)], g.xy[at], g.yy, g.n, g.rows)
+        tested = {r["term"]: r["p"] for r in summary(half, fit_ols(half))[0]}
+        for n in names:
+            v = tested.get(n, 1.0)
+            found[n].append(min(1.0, (v if v == v else 1.0) * max(1, len(chosen) - 1)) if n in tested else 1.0)
+    out = {}
+    for n, ps in found.items():
+        gammas = np.arange(least_gamma, 1.0, 0.05)
+        q = [min(1.0, float(np.quantile(np.array(ps) / g, g))) for g in gammas]
+        out[n] = min(1.0, (1 - math.log(least_gamma)) * min(q))
+    return out
