@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a block of documents aims at; a task works on one block at a time.
 BLOCK_BYTES = 8 << 20
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table makes the shuffle files of this write superfluous; Spark is told to drop them when it has ended.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,8 +6,8 @@ among the first size - ceil(t * size) + 1 of each, their prefixes; nothing else
 1. Grouping: among the nodes with a prefix token in common, one is the pivot; nodes that link to their pivots, and so on,
    make a group of similar documents. Large groups are cut into parts of about ``GROUP_ROWS`` nodes.
 2. Matrix: for each group the union of its members' tokens.
-3. Bound: a node of another group that shares a prefix token with the group can link to a member only if
-   the group's union holds at least t of the node's tokens. Of two groups the smaller one asks.
+3. Bound: a node of another group that shares prefix tokens with the group can link to a member only if these are
+   enough (see may_link), and if the group's union holds at least t of the node's tokens. Of two groups the smaller one asks.
 4. Opening: only where the bound allows, the node is compared with the group's members, exactly.
 
 Nodes of one group are connected, so pairs inside groups aren't tested any more: the result is every document's component,
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm._spark import cut
@@ -93,6 +93,20 @@ def document_sets(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: s
     return docs.select(id_col, text_col).mapInArrow(work, f"{id_col} {kind}, n long, node long, prefix array<long>")
 
 
+def may_link(c: Column, n: Column, n0: Column, n1: Column, percent: int) -> Column:
+    """Whether a set of n tokens can link to one of n0 to n1 tokens when c of its prefix tokens are in the other's prefix at most.
+
+    Of two prefixes the one that ends first in the order shares all that its set shares there; so the overlap is at most
+    c plus the rest of that set, r(size) = ceil(t size) - 1. It has to reach t / (1 + t) of both sizes. The first bound is
+    easiest to meet for the smallest other set, the second for the largest.
+    """
+    rest = lambda size: F.ceil(size * percent / 100) - 1
+    enough = lambda bound, other: bound * (100 + percent) >= (n + other) * percent
+    low = F.greatest(n0, F.ceil(n * percent / 100))
+    high = F.least(n1, F.floor(n * 100 / percent))
+    return (low <= high) & (enough(c + rest(n), low) | enough(c + rest(high), high))
+
+
 def open_groups(docs: DataFrame, nodes: DataFrame, members: DataFrame, queries: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) of (gid, node) queries with (gid, node) members whose sets are similar enough. nodes: (node, rep)."""
     parts = queries.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
@@ -155,7 +169,9 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
     shared = cut(rows.filter("pivot.node <> last").select("token", "node", "n", "pivot"), "shared")
 
     alike = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    tested = cut(shared.filter((F.col("pivot.node") != F.col("node")) & alike(F.col("n"), F.col("pivot.n"))).select(F.col("pivot.node").alias("gid"), "node").distinct(), "pivots")
+    # which pairs are looked at here is a matter of speed: the groups meet again below, by all their tokens
+    near = shared.filter((F.col("pivot.node") != F.col("node")) & alike(F.col("n"), F.col("pivot.n"))).groupBy(F.col("pivot.node").alias("gid"), "node").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("pivot.n").alias("m"))
+    tested = cut(near.filter(may_link(F.col("c"), F.col("n"), F.col("m"), F.col("m"), percent)).select("gid", "node"), "pivots")
     stars = cut(open_groups(docs, nodes, tested.select("gid", F.col("gid").alias("node")).distinct(), tested, n, percent, id_col, text_col), "stars")
 
     roots = connected_components(stars)  # (u, v)
@@ -172,7 +188,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
     x, g = crossing.alias("x"), groups.alias("g")
     asks = (F.col("x.token") == F.col("g.token")) & (F.struct("x.size", "x.root") < F.struct("g.size", "g.root"))
     fits = (F.col("x.n") * 100 >= F.col("g.n0") * percent) & (F.col("g.n1") * 100 >= F.col("x.n") * percent)
-    pairs = x.join(g, asks & fits).select("g.gid", "x.node").distinct()
+    met = x.join(g, asks & fits).groupBy("g.gid", "x.node").agg(F.count_distinct("x.token").alias("c"), F.min("x.n").alias("n"), F.min("g.n0").alias("n0"), F.max("g.n1").alias("n1"))
+    pairs = met.filter(may_link(F.col("c"), F.col("n"), F.col("n0"), F.col("n1"), percent)).select("gid", "node")
     known = tested.select("gid", "node").unionByName(tested.select(F.col("node").alias("gid"), F.col("gid").alias("node")))
     pairs = cut(pairs.join(known, ["gid", "node"], "left_anti"), "pairs")
     wanted = pairs.select("gid").distinct()
