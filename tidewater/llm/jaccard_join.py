@@ -3,15 +3,15 @@
 Documents with equal sets are one node. In a global order of tokens (rare ones first) two sets that link share a token
 among the first size - ceil(t * size) + 1 of each, their prefixes; nothing else needs a look. Then
 
-1. Grouping: among the nodes with a prefix token in common, one is the pivot; nodes that link to their pivots, and so on,
-   make a group of similar documents. Large groups are cut into parts of about ``GROUP_ROWS`` nodes.
+1. Grouping: among the nodes with a prefix token in common, one is the pivot. Nodes that link to their pivots, and so on,
+   make a group; so do those without a link that share most with one pivot. Groups are cut into parts of about ``GROUP_ROWS``.
 2. Matrix: for each group the union of its members' tokens.
 3. Bound: a node of another group that shares prefix tokens with the group can link to a member only if these are
-   enough (see may_link), and if the group's union holds at least t of the node's tokens. Of two groups the smaller one asks.
+   enough (see may_link), and if the group's union holds at least t of the node's tokens. Of two groups the smaller one asks;
+   a group whose holders of the token are all connected with the node already isn't asked.
 4. Opening: only where the bound allows, the node is compared with the group's members, exactly.
 
-Nodes of one group are connected, so pairs inside groups aren't tested any more: the result is every document's component,
-which needs no list of all pairs. The prefix order is any order that all documents share: it puts tokens that are frequent in
+Pairs of connected nodes aren't tested any more: the result is every document's component, which needs no list of all pairs. The prefix order is any order that all documents share: it puts tokens that are frequent in
 many batches last, found over all documents, and affects speed only.
 
 Groups of copies don't gather: equal sets are one node, a pivot's nodes are dealt out in salted parts, and parts of
@@ -126,36 +126,32 @@ def open_groups(docs: DataFrame, nodes: DataFrame, members: DataFrame, queries:
     texts = texts.mapInArrow(own, "node long, _text string").dropDuplicates(["node"])
 
     def compare(table: pa.Table) -> pa.Table:
-        node, asks = table.column("node").to_numpy(), table.column("asks").to_pylist()
+        node, asks = table.column("node").to_numpy(), np.array(table.column("asks").to_pylist(), bool)
         sets = list(_sets(table.column("_text"), n))
-        held = [k for k, q in enumerate(asks) if not q]
-        union = np.unique(np.concatenate([np.zeros(0, U), *(sets[k] for k in held)]))
+        held = np.flatnonzero(~asks)
+        # the group's tokens in order, each with the member that has it: the union, and who to open
+        tokens = np.concatenate([np.zeros(0, U), *(sets[k] for k in held)])
+        member = np.repeat(np.arange(len(held)), [len(sets[k]) for k in held])
+        by = np.argsort(tokens, kind="stable")
+        tokens, member = tokens[by], member[by]
+        sizes = np.array([len(sets[k]) for k in held], np.int64)
         a, b = [], []
-        for q in (k for k, asks_ in enumerate(asks) if asks_):
+        for q in np.flatnonzero(asks):
             own = sets[q]
-            bound = _common(own, union)
-            if 100 * bound < percent * len(own):
+            low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            if 100 * np.count_nonzero(high > low) < percent * len(own):
                 continue
-            for k in held:
-                n_k = len(sets[k])
-                if 100 * min(n_k, len(own)) < percent * max(n_k, len(own)):
-                    continue
-                common = bound if len(held) == 1 else _common(own, sets[k])
-                if 100 * common >= percent * (len(own) + n_k - common):
-                    a.append(node[q])
-                    b.append(node[k])
+            runs = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+            common = np.bincount(member[at], minlength=len(held))
+            for k in np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (node[held] != node[q])):
+                a.append(node[q])
+                b.append(node[held[k]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.join(texts, "node").groupBy("gid", "part").applyInArrow(compare, "a long, b long")
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    if not len(a) or not len(b):
-        return 0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
-
-
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
     docs = docs.select(id_col, text_col)
@@ -175,27 +171,29 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_c
     stars = cut(open_groups(docs, nodes, tested.select("gid", F.col("gid").alias("node")).distinct(), tested, n, percent, id_col, text_col), "stars")
 
     roots = connected_components(stars)  # (u, v)
-    grouped = shared.select("token", "node", "n").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("v", "node")).drop("v")
-    in_groups = roots.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    sizes = in_groups.groupBy("root").agg(F.count("*").alias("size"))
-    with_size = grouped.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    gid = F.when(F.col("size") == 1, F.col("node")).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP_ROWS))))
-    with_size = with_size.withColumn("gid", gid)
-    # tokens that more than one group holds
-    spans = with_size.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
-    crossing = cut(with_size.join(spans, "token"), "crossing")
-    groups = crossing.groupBy("token", "gid", "root", "size").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
+    linked = roots.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    # a node without a link stands in a group with others that share most with the same pivot
+    best = near.groupBy("node").agg(F.max_by("gid", F.struct("c", "gid")).alias("pivot"))
+    best = best.join(linked.select(F.col("node").alias("pivot"), F.col("root").alias("to")), "pivot", "left").select("node", F.coalesce("to", "pivot").alias("to"))
+    placed = shared.select("node").distinct().join(linked, "node", "left").join(best, "node", "left")
+    placed = placed.withColumn("grp", F.coalesce("root", F.when(F.col("to").isNotNull(), F.xxhash64(F.lit("by pivot"), "to")), "node"))
+    sizes = placed.groupBy("grp").agg(F.count("*").alias("size"))
+    gid = F.when(F.col("size") == 1, F.col("node")).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP_ROWS))))
+    placed = cut(placed.join(sizes, "grp").select("node", F.coalesce("root", "node").alias("root"), "size", gid.alias("gid")), "placed")
+
+    # tokens whose holders aren't all connected yet
+    held = shared.select("token", "node", "n").join(placed, "node")
+    spans = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
+    crossing = cut(held.join(spans, "token"), "crossing")
+    groups = crossing.groupBy("token", "gid", "size").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     x, g = crossing.alias("x"), groups.alias("g")
-    asks = (F.col("x.token") == F.col("g.token")) & (F.struct("x.size", "x.root") < F.struct("g.size", "g.root"))
+    asks = (F.col("x.token") == F.col("g.token")) & (F.struct("x.size", "x.gid") <= F.struct("g.size", "g.gid")) & ((F.col("g.r0") != F.col("x.root")) | (F.col("g.r1") != F.col("x.root")))
     fits = (F.col("x.n") * 100 >= F.col("g.n0") * percent) & (F.col("g.n1") * 100 >= F.col("x.n") * percent)
-    met = x.join(g, asks & fits).groupBy("g.gid", "x.node").agg(F.count_distinct("x.token").alias("c"), F.min("x.n").alias("n"), F.min("g.n0").alias("n0"), F.max("g.n1").alias("n1"))
+    met = x.join(g, asks & fits).groupBy("g.gid", "x.node").agg(F.count("*").alias("c"), F.min("x.n").alias("n"), F.min("g.n0").alias("n0"), F.max("g.n1").alias("n1"))
     pairs = met.filter(may_link(F.col("c"), F.col("n"), F.col("n0"), F.col("n1"), percent)).select("gid", "node")
     known = tested.select("gid", "node").unionByName(tested.select(F.col("node").alias("gid"), F.col("gid").alias("node")))
     pairs = cut(pairs.join(known, ["gid", "node"], "left_anti"), "pairs")
-    wanted = pairs.select("gid").distinct()
-    in_parts = in_groups.join(sizes, "root").withColumn("gid", gid).select("gid", "node")
-    singles = crossing.filter("size = 1").select("gid", "node").distinct()
-    members = in_parts.unionByName(singles).join(wanted, "gid", "left_semi")
+    members = placed.select("gid", "node").join(pairs.select("gid").distinct(), "gid", "left_semi")
     more = open_groups(docs, nodes, members, pairs, n, percent, id_col, text_col)
 
     roots = connected_components(stars.unionByName(more))
