@@ -17,8 +17,6 @@ empty results; columns besides id and text are kept as they are.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,19 +29,16 @@ from tidewater.llm._text import U, mix
 
 #: White space that a key loses at both ends.
 _STRIP = " \t\n\x0b\x0c\r"
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 SHARD_BYTES = 16 << 20
 _NO_ID = -(1 << 63)
 
 
-def line_key(line: str) -> str:
-    return line.strip(_STRIP).translate(_LOWER)
-
-
 def _line_hashes(text: str | None, min_chars: int) -> tuple[list[str], list[bytes | None]]:
+    """The lines and the 128-bit hashes of their keys, None for keys shorter than ``min_chars`` code points."""
     lines = (text or "").split("\n")
-    keys = [line_key(x) for x in lines]
-    return lines, [xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")) if len(k) >= min_chars else None for k in keys]
+    keys = [x.strip(_STRIP) for x in lines]
+    # lower() of bytes changes A-Z alone
+    return lines, [xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass").lower()) if len(k) >= min_chars else None for k in keys]
 
 
 class PerfectHash:
