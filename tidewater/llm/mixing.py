@@ -11,10 +11,11 @@ The sample: with f = target / size every document is taken floor(f) times whole;
 documents are put in a seeded order and taken while the source's remaining words last, the one at the
 edge in part. So every source meets its target to the word, and no document exceeds ``max_epochs``
 times its size. The order is by md5 of seed and id: reruns agree. A source is cut into buckets by that
-md5, and running sums are kept per bucket, so that a hot source isn't one task.
+md5; sums per bucket tell in which bucket the fraction ends, and only the rows of that one are put in order,
+so that a hot source isn't one task and texts stay where they are: the rest is a comparison with the edge.
 
 Defined results: null text has size 0; a null source is a source of its own and comes last; sources of
-size 0 have target 0; rows that are equal in all columns are taken in any order among themselves; an
+size 0 have target 0; rows equal in id and text share what is left at the edge evenly, in whole words; an
 empty table gives an empty result; other columns are kept, those named like a result are replaced.
 """
 
@@ -78,18 +79,27 @@ def mix_sources(
     sources = buckets.groupBy("source").agg(F.sum("_words").alias("source_size"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     sources = water_fill(sources.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (nth % len(weights)).cast("int") + 1)), max_epochs)
-    # 1 where the targets of all sources are whole repetitions
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("_whole", whole).withColumn("_rest", F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
+    # the bucket in which a source's fraction ends, and in it the document at the edge; only those buckets' rows are sorted
     ahead = F.coalesce(F.sum("_words").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = buckets.withColumn("_ahead", ahead).join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    plan = plan.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "source_size", "target", "_whole", "_rest", "_ahead")
-
-    inside = Window.partitionBy(source_col, "_bucket").orderBy("_key", "size", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sized.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = ranked.join(plan, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_ahead") - F.col("_before")))
-    return joined.withColumn("taken", (F.col("_whole") * F.col("size") + part).cast("long")).select(*base.columns, *[c for c in made])
+    ends = buckets.withColumn("_ahead", ahead).join(sources.select(F.col("source").alias("_s"), "_rest"), F.col("source").eqNullSafe(F.col("_s")))
+    ends = ends.filter((F.col("_ahead") <= F.col("_rest")) & (F.col("_rest") < F.col("_ahead") + F.col("_words"))).select("_s", F.col("_bucket").alias("_b"), (F.col("_rest") - F.col("_ahead")).alias("_left"))
+    tie = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    keyed = base.withColumn("_key", key).withColumn("_bucket", bucket)
+    edge = keyed.join(ends, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    edge = edge.select("_s", "_b", "_left", "_key", word_count(F.col(text_col)).alias("size"), tie.alias("_tie")).groupBy("_s", "_b", "_left", "_key", "size", "_tie").agg(F.count("*").alias("_same"))
+    before = F.coalesce(F.sum(F.col("size") * F.col("_same")).over(Window.partitionBy("_s").orderBy("_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = edge.withColumn("_before", before).filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("size") * F.col("_same")))
+    edge = edge.select(F.col("_s").alias("_e"), F.struct("_b", "_key", "size", "_tie").alias("_edge"), F.floor((F.col("_left") - F.col("_before")) / F.col("_same")).alias("_part"))
+    plan = sources.withColumnRenamed("source", "_s").join(edge, F.col("_s").eqNullSafe(F.col("_e")), "left").select("_s", "source_size", "target", "_whole", "_rest", "_edge", "_part")
+
+    # one row per source: Spark broadcasts it where it is small, and else splits hot sources
+    joined = sized.join(plan, F.col(source_col).eqNullSafe(F.col("_s")))
+    here, end = F.struct("_bucket", "_key", "size"), F.struct("_edge._b", "_edge._key", "_edge.size")
+    at_edge = F.when(tie < F.col("_edge._tie"), F.col("size")).when(tie == F.col("_edge._tie"), F.col("_part")).otherwise(0)
+    part = F.when(F.col("_edge").isNull(), F.when(F.col("_rest") > 0, F.col("size")).otherwise(0)).when(here < end, F.col("size")).when(here == end, at_edge).otherwise(0)
+    return joined.withColumn("taken", (F.col("_whole") * F.col("size") + part).cast("long")).select(*base.columns, *made)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
