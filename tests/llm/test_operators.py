@@ -309,6 +309,22 @@ def test_jaccard_matches_brute_force(spark, seed, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_bound_of_groups_of_several_sizes(spark):
+    """A group is opened wherever one of its sizes alone would be; one size is bounded by what two prefixes leave."""
+    top = 26
+    sizes = make(spark, [(k,) for k in range(1, top + 1)], "s long")
+    n, n0, n1 = (sizes.select(F.col("s").alias(x)) for x in ("n", "n0", "n1"))
+    rows = n.crossJoin(n0).crossJoin(n1).filter("n0 <= n1").withColumn("c", F.explode(F.expr("sequence(1L, least(n, n1))")))
+    got = {(r.c, r.n, r.n0, r.n1): r.may for r in rows.withColumn("may", jaccard_join.may_link(F.col("c"), F.col("n"), F.col("n0"), F.col("n1"), 75)).collect()}
+    rest = lambda size: -(-75 * size // 100) - 1
+    one = lambda c, n, m: 75 * max(n, m) <= 100 * min(n, m) and 175 * (c + max(rest(n), rest(m))) >= 75 * (n + m)
+    assert got[1, 10, 11, 12] and len(got) > 10000
+    for (c, n, n0, n1), may in got.items():
+        want = any(one(c, n, m) for m in range(n0, n1 + 1))
+        assert may or not want, (c, n, n0, n1)
+        assert n0 < n1 or may == want, (c, n, n0, n1)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(make(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard_join.jaccard_components(make(spark, [(3, "a b c")])).collect()] == [(3, 1, 3)]

@@ -98,13 +98,15 @@ def may_link(c: Column, n: Column, n0: Column, n1: Column, percent: int) -> Colu
 
     Of two prefixes the one that ends first in the order shares all that its set shares there; so the overlap is at most
     c plus the rest of that set, r(size) = ceil(t size) - 1. It has to reach t / (1 + t) of both sizes. The first bound is
-    easiest to meet for the smallest other set, the second for the largest.
+    easiest to meet for the smallest other set. The second isn't so for any one size, as r grows in steps; with t size in
+    place of r, which is never smaller, it is for the largest. Where all other sets are of one size r itself is taken.
     """
     rest = lambda size: F.ceil(size * percent / 100) - 1
+    most = lambda size: F.when(low == high, rest(size)).otherwise(size * percent / 100)
     enough = lambda bound, other: bound * (100 + percent) >= (n + other) * percent
     low = F.greatest(n0, F.ceil(n * percent / 100))
     high = F.least(n1, F.floor(n * 100 / percent))
-    return (low <= high) & (enough(c + rest(n), low) | enough(c + rest(high), high))
+    return (low <= high) & (enough(c + rest(n), low) | enough(c + most(high), high))
 
 
 def open_groups(docs: DataFrame, nodes: DataFrame, members: DataFrame, queries: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
