@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small fixtures, and the defined results of odd rows."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -429,6 +430,31 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.learn_patterns(docs.select("text").limit(0)) == {}
 
 
+def test_frequent_words_do_not_push_out_rare_patterns(spark):
+    rng = random.Random(13)
+    number = lambda: f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows = [(k, f"the end of the day , the {number()}") for k in range(30)] + [(100 + k, f"Dial {number()} now") for k in range(4)] + [(200, "Dial (555) 123-4567 now")]
+    docs = make(spark, rows)
+    few = {"max_patterns": 2} if "max_patterns" in inspect.signature(pii.learn_patterns).parameters else {}
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs, pii.learn_patterns(docs.select("text"), **few)).collect()}
+    assert got[200] == "phone:5:19"
+
+
+def test_context_counts_match_brute_force(spark, monkeypatch):
+    texts = random_texts(40, 14)
+    pairs = Counter()
+    for t in texts:
+        w = tokens(t)
+        pairs.update((x,) for x in w)
+        pairs.update(zip(w[:-1], w[1:], strict=True))
+    key = lambda g: pii._pattern_keys([" ".join(g)])[0][-1]
+    picked = sorted(pairs)[::3]
+    monkeypatch.setattr(pii, "FILTER_BITS", 4)
+    patterns = make(spark, [(key(g),) for g in picked] + [(12345,)], "pattern long")
+    got = {r.pattern: r.n for r in pii.context_counts(make(spark, [*enumerate([*texts, None])]).select("text"), patterns).collect()}
+    assert got == {key(g): pairs[g] for g in picked}
+
+
 # ---- 10
 
 

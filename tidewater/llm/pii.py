@@ -10,8 +10,8 @@ Patterns and instances form a graph with one row per edge, which Spark scores in
 
 so that words which mostly don't precede identifiers score low, however many seeds they precede. Patterns
 with ``MIN_SEEDS`` distinct seeds of one kind and a score of ``MIN_SCORE`` then mark whatever identifier-like string follows
-them, as that kind. At most ``MAX_PATTERNS`` patterns, those with the most seeds, enter the rounds; that bounds what is
-sent to executors. Base spans are never changed.
+them, as that kind. All patterns with enough seeds enter the rounds, as rows of Spark tables; executors are sent only those
+that reach the score. Base spans are never changed.
 
 Defined results: null text is empty; extra spans never overlap base spans or each other; without seeds there are none;
 repeated documents count each in the corpus, but repeated instances of a pattern count once.
@@ -33,7 +33,9 @@ from tidewater.llm._spark import cut
 from tidewater.llm._text import grams, words
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MIN_SCORE, MAX_PATTERNS, ROUNDS = 3, 0.5, 100_000, 3
+MIN_SEEDS, MIN_SCORE, ROUNDS = 3, 0.5, 3
+#: Bits of a filter that keeps most words that are no pattern from being counted; which pass matters to speed only.
+FILTER_BITS = 22
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -143,38 +145,39 @@ def pattern_edges(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(edges, "pattern long, instance long, kind int").distinct()
 
 
-def context_counts(texts: DataFrame, patterns: np.ndarray) -> DataFrame:
-    """(pattern, n): how often the words of each pattern occur in the corpus. ``patterns`` is sorted."""
-    sent = texts.sparkSession.sparkContext.broadcast(patterns)
+def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, n): how often the words of each pattern occur in the corpus. patterns: (pattern), distinct."""
+    size = 1 << FILTER_BITS
+    bits = np.zeros(size, bool)
+    bits[patterns.select(F.pmod("pattern", F.lit(size)).alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = np.zeros(len(sent.value), np.int64)
             for _, _, h, first in words(batch.column(0)):
                 last = np.zeros(len(h) + 1, bool)
                 last[first[1:] - 1] = True
+                found = []
                 for n in (1, 2):
                     g = grams(h, n).view(np.int64)
                     if n == 2:
                         g = g[~last[: len(g)]]
-                    at = np.minimum(np.searchsorted(sent.value, g), len(sent.value) - 1)
-                    total += np.bincount(at[sent.value[at] == g], minlength=len(total))
-            some = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(sent.value[some]), pa.array(total[some])], names=["pattern", "n"])
+                    found.append(g[sent.value[g & (size - 1)]])
+                g, total = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.record_batch([pa.array(g), pa.array(total.astype(np.int64))], names=["pattern", "n"])
 
-    return texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).join(patterns.select("pattern"), "pattern", "left_semi")
 
 
-def learn_patterns(texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, max_patterns: int = MAX_PATTERNS) -> dict[int, int]:
+def learn_patterns(texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> dict[int, int]:
     """Kind of each high-confidence pattern."""
     edges = cut(pattern_edges(texts), "edges")
     seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds")).filter(F.col("seeds") >= min_seeds)
     best = seeds.groupBy("pattern").agg(F.max(F.struct("seeds", -F.col("kind"))).alias("b")).select("pattern", (-F.col("b.col2")).alias("of"), F.col("b.seeds").alias("seeds"))
-    best = cut(best.orderBy(F.desc("seeds"), "pattern").limit(max_patterns), "patterns")
-    known = np.array(sorted(r.pattern for r in best.select("pattern").collect()), np.int64)
-    if not len(known):
+    best = cut(best, "patterns")
+    if best.isEmpty():
         return {}
-    counts = context_counts(texts, known)
+    counts = context_counts(texts, best)
     size = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("links"))
     best = best.join(size, "pattern").join(counts, "pattern", "left").withColumn("n", F.greatest(F.coalesce("n", F.lit(0)), "links"))
     # only edges of these patterns matter; a seed stands for the kind that its pattern is of
@@ -192,7 +195,7 @@ def learn_patterns(texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
 
 def find_pii(docs: DataFrame, patterns: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document; counts are of base spans."""
-    sent = docs.sparkSession.sparkContext.broadcast(patterns)  # MAX_PATTERNS entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(patterns)  # only those that reached the score
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
