@@ -440,6 +440,17 @@ def test_frequent_words_do_not_push_out_rare_patterns(spark):
     assert got[200] == "phone:5:19"
 
 
+def test_copies_do_not_spoil_a_pattern(spark):
+    rng = random.Random(15)
+    number = lambda: f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows = [(k, f"Dial {number()} now") for k in range(6)] + [(100 + k, "Dial +1 (555) 123-4567 now") for k in range(40)] + [(200, "Dial (555) 123-4567 now")]
+    # copies of a text without an identifier count against a pattern, as before
+    rows += [(300 + k, f"call {number()}") for k in range(6)] + [(400 + k, "call me") for k in range(40)] + [(500, "call (555) 123-4567")]
+    docs = make(spark, rows)
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs, pii.learn_patterns(docs.select("text"))).collect()}
+    assert got[200] == "phone:5:19" and got[500] == ""
+
+
 def test_context_counts_match_brute_force(spark, monkeypatch):
     texts = random_texts(40, 14)
     pairs = Counter()

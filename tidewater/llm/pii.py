@@ -5,7 +5,7 @@ the left of a seed are lexical patterns; what else such patterns precede, among
 identifiers (long numbers with separators, addresses with a spelt-out at) but that no rule matches, are instances to be judged.
 Patterns and instances form a graph with one row per edge, which Spark scores in rounds:
 
-    pattern:  sum of the scores of its distinct instances / number of times its words occur in the corpus
+    pattern:  sum of the scores of its instances, each as often as it follows / number of times its words occur in the corpus
     instance: 1 for seeds, else 1 - product over its patterns of (1 - score)
 
 so that words which mostly don't precede identifiers score low, however many seeds they precede. Patterns
@@ -14,13 +14,14 @@ them, as that kind. All patterns with enough seeds enter the rounds, as rows of
 that reach the score. Base spans are never changed.
 
 Defined results: null text is empty; extra spans never overlap base spans or each other; without seeds there are none;
-repeated documents count each in the corpus, but repeated instances of a pattern count once.
+repeated documents and instances count each in a pattern's score, above and below the line, but once among its seeds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,7 +126,7 @@ def _value(text: str) -> int:
 
 
 def pattern_edges(texts: DataFrame) -> DataFrame:
-    """(pattern, instance, kind) of the graph, kind -1 for instances that no rule matches; one row per edge."""
+    """(pattern, instance, kind, c) of the graph, kind -1 for instances that no rule matches; one row per edge, c times in the corpus."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,11 +139,11 @@ def pattern_edges(texts: DataFrame) -> DataFrame:
                     contexts.append(_context(text, a))
                     values.append(_value(text[a:b]))
                     kinds.append(kind)
-            rows = {(p, v, k) for keys, v, k in zip(_pattern_keys(contexts), values, kinds, strict=True) for p in keys}
+            rows = Counter((p, v, k) for keys, v, k in zip(_pattern_keys(contexts), values, kinds, strict=True) for p in keys)
             p, v, k = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(p, pa.int64()), pa.array(v, pa.int64()), pa.array(k, pa.int32())], names=["pattern", "instance", "kind"])
+            yield pa.record_batch([pa.array(p, pa.int64()), pa.array(v, pa.int64()), pa.array(k, pa.int32()), pa.array(rows.values(), pa.int64())], names=["pattern", "instance", "kind", "c"])
 
-    return texts.mapInArrow(edges, "pattern long, instance long, kind int").distinct()
+    return texts.mapInArrow(edges, "pattern long, instance long, kind int, c long").groupBy("pattern", "instance", "kind").agg(F.sum("c").alias("c"))
 
 
 def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -178,10 +179,10 @@ def learn_patterns(texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
     if best.isEmpty():
         return {}
     counts = context_counts(texts, best)
-    size = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("links"))
+    size = edges.groupBy("pattern").agg(F.sum("c").alias("links"))
     best = best.join(size, "pattern").join(counts, "pattern", "left").withColumn("n", F.greatest(F.coalesce("n", F.lit(0)), "links"))
     # only edges of these patterns matter; a seed stands for the kind that its pattern is of
-    graph = cut(edges.join(best, "pattern").withColumn("seed", F.col("kind") == F.col("of")).select("pattern", "instance", "kind", "of", "n", "seed"), "graph")
+    graph = cut(edges.join(best, "pattern").withColumn("seed", F.col("kind") == F.col("of")).select("pattern", "instance", "kind", "c", "of", "n", "seed"), "graph")
     patterns = None
     for _ in range(rounds):
         if patterns is None:
@@ -189,7 +190,7 @@ def learn_patterns(texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
         else:
             by_instance = graph.join(patterns.select("pattern", "p"), "pattern").groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("score"))
             scored = graph.join(by_instance, ["instance", "of"]).withColumn("score", F.when(F.col("seed"), 1.0).when(F.col("kind") >= 0, 0.0).otherwise(F.col("score")))
-        patterns = cut(scored.groupBy("pattern", "of", "n").agg((F.sum("score") / F.col("n")).alias("p")), "scores")
+        patterns = cut(scored.groupBy("pattern", "of", "n").agg((F.sum(F.col("score") * F.col("c")) / F.col("n")).alias("p")), "scores")
     return {r.pattern: r.of for r in patterns.filter(F.col("p") >= min_score).collect()}
 
 
