@@ -261,6 +261,16 @@ def test_lm_against_an_explicit_automaton(spark):
         assert r.score == pytest.approx(sum(math.log10(prob(tuple(seq[max(0, i - 2) : i]), w)) for i, w in enumerate(seq)))
 
 
+def test_ngrams_seen_twice_are_states_at_any_size(spark):
+    # two million tokens, so that a share of them would ask for more than two
+    rows = [(k, "x " * 20000) for k in range(100)] + [(1000 + k, "alpha beta gamma") for k in range(2)] + [(2000, "alpha gamma beta")]
+    got = {r.doc_id: r for r in ngram_lm.score_lm(make(spark, rows), F.lit(True)).collect()}
+    assert got[1000].train_tokens == 2000112 and got[1000].base_score == pytest.approx(got[2000].base_score)
+    # alpha from the root, then arcs: beta follows alpha in 2 of 3, gamma and the end follow twice each
+    first = math.log10(3.5 / (2000112 + 0.5 * 6))
+    assert got[1000].score == pytest.approx(first + math.log10(1.5 / 3) + 2 * math.log10(1.5 / 2))
+
+
 # ---- 7
 
 

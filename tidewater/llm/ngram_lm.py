@@ -1,42 +1,45 @@
 """LM scoring: a weighted backoff automaton over smoothed n-grams.
 
 Training counts all words exactly (one row per distinct word, summed by Spark). Words, and runs of words up to ``order``,
-that make up at least ``least_share`` of all training tokens (and occur twice) become states; so each order has
-at most 1 / least_share states whatever the corpus, which bounds what executors are sent. A state's arcs are the kept
+that occur ``LEAST`` times in training become states, however many these are. A state's arcs are the kept
 n-grams that extend it, weighted by absolute discounting; its failure arc leads to its longest proper suffix and
 carries the backoff weight that makes the state's probabilities sum to one. The root's arcs are all words, seen or
 not: log10((c + 0.5) / (N + 0.5 (V + 1))).
 
 A text is scored in one left-to-right traversal: from the state reached so far take the arc of the next token, or add
 the failure weight and try again from the shorter state; the longest known suffix is the next state. As a
-state is a function of the last order - 1 tokens, the traversal is done for all tokens of a block at once: the states
+state is a function of the last order - 1 tokens, the traversal is done for all tokens of a block at once: the n-grams
 at all positions order by order, then weights from the longest order down.
 
-Counts of rare words don't fit everywhere: documents are dealt into blocks, each block asks for its own distinct words once,
-by a join of (block, word) rows with the counts, and scores its documents with what comes back.
+The model fits nowhere, it stays in tables of Spark: documents are dealt into blocks, and each block asks for the counts of its
+own distinct words and n-grams by a join of (block, n-gram) rows (of longer n-grams, only those whose prefix and suffix came back).
+A block that holds an n-gram holds its prefix and suffix, too, so counts are all it needs for the arcs. One of the
+blocks, the lead, adds an n-gram to the sums of its prefix, from which the backoff weights come; these are fetched like counts.
 
-Words are told apart by 64-bit hashes. Defined results: null or empty text is the end token alone; without training
+Words and n-grams are told apart by 64-bit hashes. Defined results: null or empty text is the end token alone; without training
 rows every count is 0 (N = 0, V = 0); repeated rows are scored each and each counts in training.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm._spark import block_of, cut, fold, n_blocks
 from tidewater.llm._text import U, mix, words
 
-#: Least share of the training tokens that a state's n-gram makes up; 1 / LEAST_SHARE bounds the states of an order.
-LEAST_SHARE = 2e-6
+#: Occurrences in training that make an n-gram a state, whatever the size of the corpus.
+LEAST = 2
 ORDER = 3
 DISCOUNT = 0.5
 END = mix(np.array([0xE0F], U))[0]
+#: Bytes of text whose n-grams are made at once.
+PIECE = 4 << 20
 
 
 def with_ends(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,170 +58,163 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-@dataclass
-class Automaton:
-    """States of order 1 are the kept words (sorted hashes), those of order k are keys: shorter state * words + word."""
-
-    total: int
-    distinct: int
-    words: np.ndarray
-    counts: np.ndarray
-    keys: list[np.ndarray] = field(default_factory=list)  # of orders 2 and up
-    log_p: list[np.ndarray] = field(default_factory=list)  # of the arc into each state, orders 2 and up
-    backoff: list[np.ndarray] = field(default_factory=list)  # of each state's failure arc, orders 1 and up
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        """Log10 probability of words with such counts at the root."""
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-
-    def states(self, ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each order, the state that the tokens up to each position end in, -1 if there is none."""
-        starts = np.zeros(len(ids), bool)
-        starts[first[:-1]] = True
-        out = [ids]
-        for keys in self.keys:
-            before = np.concatenate([[-1], out[-1][:-1]])
-            before[starts] = -1
-            known = np.flatnonzero((before >= 0) & (ids >= 0))
-            here = np.full(len(ids), -1, np.int64)
-            here[known] = find(keys, before[known] * len(self.words) + ids[known])
-            out.append(here)
-        return out
-
-    def walk(self, ids: np.ndarray, first: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Log10 probability of each token; ``root`` has that of its arc from the root."""
-        states = self.states(ids, first)
-        starts = np.zeros(len(ids), bool)
-        starts[first[:-1]] = True
-        out, open_ = np.zeros(len(ids)), np.ones(len(ids), bool)
-        for k in range(len(states) - 1, 0, -1):
-            context = np.concatenate([[-1], states[k - 1][:-1]])
-            context[starts] = -1
-            arc = open_ & (states[k] >= 0)
-            out[arc] += self.log_p[k - 1][states[k][arc]]
-            open_ &= ~arc
-            fail = open_ & (context >= 0)
-            if k - 1 < len(self.backoff):
-                out[fail] += self.backoff[k - 1][context[fail]]
-        out[open_] += root[open_]
-        return out
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        parts = [with_ends(h, first) for _, _, h, first in words(batch.column(0))]
-        if parts:
-            sizes = np.cumsum([0, *[len(h) for h, _ in parts]])
-            yield np.concatenate([h for h, _ in parts]), np.concatenate([[0], *[f[1:] + s for (_, f), s in zip(parts, sizes, strict=False)]])
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(h, c) of every distinct token of the one text column."""
+def keys_at(h: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order, the key of the n-gram that ends at each token, and whether it lies within one row.
+
+    The key of words is their hash, that of longer n-grams is made of the keys of their prefix and suffix.
+    """
+    starts = np.zeros(len(h), bool)
+    starts[first[:-1]] = True
+    keys, inside = [h], [np.ones(len(h), bool)]
+    for _ in range(1, order):
+        k, ok = np.zeros(len(h), U), np.zeros(len(h), bool)
+        k[1:] = mix(keys[-1][:-1] * U(0x9E3779B97F4A7C15) + mix(keys[-1][1:]))
+        ok[1:] = inside[-1][:-1] & inside[-1][1:] & ~starts[1:]
+        keys.append(k)
+        inside.append(ok)
+    return keys, inside
+
+
+def _rows(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for _, _, h, first in words(col, piece=PIECE):
+        yield with_ends(h, first)
+
+
+def count_grams(texts: DataFrame, k: int) -> DataFrame:
+    """(h, c) of every distinct n-gram of ``k`` tokens of the one text column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, _ in _tokens(batches):
-            h, c = np.unique(h, return_counts=True)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+        for batch in batches:
+            for h, first in _rows(batch.column(0)):
+                keys, inside = keys_at(h, first, k)
+                h, c = np.unique(keys[-1][inside[-1]], return_counts=True)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
     return texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def count_states(texts: DataFrame, model: Automaton, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the next order's n-grams: a state followed by a kept word, their suffix being a state too."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)  # at most 1 / least_share entries per order
+class Known:
+    """What came back to a block: counts, whether it leads, and backoff weights, by key."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for h, first in _tokens(batches):
-            ids = find(model.words, h)
-            states = model.states(ids, first)[-1]
-            before = np.concatenate([[-1], states[:-1]])
-            before[first[:-1]] = -1
-            known = (before >= 0) & (states >= 0)
-            keys, c = np.unique(before[known] * len(model.words) + ids[known], return_counts=True)
-            yield pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(c.astype(np.int64))], names=["k", "c"])
-
-    kept = texts.mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).toArrow()
-    keys, counts = kept.column("k").to_numpy(), kept.column("c").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def train(texts: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE) -> tuple[Automaton, DataFrame]:
-    """The automaton over a DataFrame of one text column, and the table (h, c) of all its words."""
-    counts = cut(count_words(texts), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, int(np.ceil(least_share * total)))
-    kept = counts.filter(F.col("c") >= least).toArrow()
-    h, c = kept.column("h").to_numpy().view(U), kept.column("c").to_numpy()
-    by = np.argsort(h)
-    model = Automaton(total, distinct, h[by], c[by])
-    above, lower = model.counts, model.root(model.counts)  # of the states of the order before: counts; log10 p of the words
-    for k in range(2, order + 1):
-        keys, n = count_states(texts, model, least)
-        context, word = keys // max(1, len(model.words)), keys % max(1, len(model.words))
-        p = (n - DISCOUNT) / above[context]
-        if k == 2:
-            shorter = 10 ** lower[word]
-        else:
-            # the suffix of a kept n-gram is a state of the order before, by the way n-grams are counted
-            shorter = 10 ** model.log_p[-1][suffix_state(model, context, word)]
-        left = 1 - np.bincount(context, p, len(above))
-        lower_left = 1 - np.bincount(context, shorter, len(above))
-        model.backoff.append(np.log10(np.maximum(left, 1e-12) / np.maximum(lower_left, 1e-12)))
-        model.keys.append(keys)
-        model.log_p.append(np.log10(p))
-        above = n
-    return model, counts
-
-
-def suffix_state(model: Automaton, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """State of the order before that an n-gram (context, word) ends in: the context's words but the first, then the word."""
-    tails, state = [], context
-    for keys in reversed(model.keys):
-        tails.append(keys[state] % len(model.words))
-        state = keys[state] // len(model.words)
-    at = tails[-1]
-    for depth, w in enumerate([*tails[-2::-1], word]):
-        at = find(model.keys[depth], at * len(model.words) + w)
-    return at
-
-
-def score_lm(docs: DataFrame, train_rows: Column, order: int = ORDER, least_share: float = LEAST_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of every document, learned from those where ``train_rows`` holds."""
+    def __init__(self, table: pa.Table):
+        h = table.column("h").to_numpy().view(U)
+        by = np.argsort(h)
+        self.h = h[by]
+        self.columns = {x: np.concatenate([table.column(x).to_numpy()[by], [0]]) for x in table.column_names if x not in ("block", "h")}
+
+    def get(self, name: str, keys: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """A column at the keys, 0 for those that aren't inside or didn't come back."""
+        at = find(self.h, keys)
+        return self.columns[name][np.where(inside, at, -1)]
+
+
+def before(x: np.ndarray) -> np.ndarray:
+    """The value at the token before."""
+    return np.concatenate([np.zeros_like(x[:1]), x[:-1]])
+
+
+def arcs(counts: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """For each order from 2, the probability of the arc of the n-gram that ends at each token; 0 where it is no state."""
+    return [np.where(c >= least, (c - DISCOUNT) / np.maximum(before(shorter), 1), 0.0) for shorter, c in zip(counts[:-1], counts[1:], strict=True)]
+
+
+def score_lm(docs: DataFrame, train_rows: Column, order: int = ORDER, least_share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of every document, learned from those where ``train_rows`` holds.
+
+    With ``least_share`` n-grams have to make up that share of the training tokens, too.
+    """
     docs = docs.select(id_col, text_col)
-    model, counts = train(docs.filter(train_rows).select(text_col), order, least_share)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    texts = docs.filter(train_rows).select(text_col)
+    counts = [cut(count_grams(texts, 1), "words")]
+    total, distinct = counts[0].agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    least = max(LEAST, int(np.ceil(least_share * total)))
+    counts += [cut(count_grams(texts, k).filter(F.col("c") >= least), "grams") for k in range(2, order + 1)]
     blocks = docs.withColumn("block", block_of(n_blocks(docs, text_col), id_col))
+    root = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
 
-    def ask(table: pa.Table) -> pa.Table:
-        found = [np.unique(h) for _, _, h, _ in words(table.column(text_col))]
-        h = np.unique(np.concatenate(found)) if found else np.zeros(0, U)
-        h = h[find(sent.value.words, h) < 0]
-        return pa.table({"block": pa.array(np.full(len(h), table.column("block")[0].as_py()), pa.int32()), "h": h.view(np.int64)})
+    def block_table(table: pa.Table, **columns: np.ndarray) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        return pa.table({"block": pa.array(np.full(n, table.column("block")[0].as_py() if n else 0), pa.int32()), **{k: pa.array(v) for k, v in columns.items()}})
 
-    known = blocks.groupBy("block").applyInArrow(ask, "block int, h long").join(counts, "h").select("block", "h", "c")
+    def came(asks: DataFrame, found: DataFrame, k: int) -> DataFrame:
+        """Counts of what blocks asked for, and whether the block is the lead of the n-gram."""
+        rows = asks.join(found, "h").withColumn("lead", F.col("block") == F.min("block").over(Window.partitionBy("h")))
+        return cut(rows.select("block", "h", "c", F.col("lead").cast("int").alias("lead"), F.lit(k).cast("byte").alias("k")), "known")
+
+    def ask_words(table: pa.Table) -> pa.Table:
+        found = [np.unique(h) for h, _ in _rows(table.column(text_col))]
+        return block_table(table, h=np.unique(np.concatenate([np.zeros(0, U), *found])).view(np.int64))
+
+    def ask_longer(k: int):
+        def ask(table: pa.Table, known: pa.Table) -> pa.Table:
+            known, found = Known(known), []
+            for h, first in _rows(table.column(text_col)):
+                keys, inside = keys_at(h, first, k)
+                state = known.get("c", keys[-2], inside[-2]) >= least
+                found.append(np.unique(keys[-1][inside[-1] & state & before(state)]))
+            return block_table(table, h=np.unique(np.concatenate([np.zeros(0, U), *found])).view(np.int64))
+
+        return ask
+
+    known = [came(blocks.groupBy("block").applyInArrow(ask_words, "block int, h long"), counts[0], 1)]
+    for k in range(2, order + 1):
+        asks = blocks.groupBy("block").cogroup(known[-1].select("block", "h", "c").groupBy("block")).applyInArrow(ask_longer(k), "block int, h long")
+        known.append(came(asks, counts[k - 1], k))
+    every = known[0]
+    for x in known[1:]:
+        every = every.unionByName(x)
+
+    def sums(table: pa.Table, known: pa.Table) -> pa.Table:
+        known, found = Known(known), [[np.zeros(0, U), np.zeros(0, U), np.zeros(0), np.zeros(0)]]
+        for h, first in _rows(table.column(text_col)):
+            keys, inside = keys_at(h, first, order)
+            c = [known.get("c", *x) for x in zip(keys, inside, strict=True)]
+            lower = 10 ** root(c[0])
+            for k, p in enumerate(arcs(c, least), 1):
+                mine = np.flatnonzero((p > 0) & (known.get("lead", keys[k], inside[k]) > 0))
+                _, at = np.unique(keys[k][mine], return_index=True)
+                at = mine[at]
+                found.append([keys[k][at], keys[k - 1][at - 1], p[at], lower[at]])
+                lower = p
+        gram, prefix, p, lower = (np.concatenate(x) for x in zip(*found, strict=True))
+        _, at = np.unique(gram, return_index=True)
+        h, group = np.unique(prefix[at], return_inverse=True)
+        return pa.table({"h": h.view(np.int64), "p": np.bincount(group, p[at], len(h)).astype(float), "lower": np.bincount(group, lower[at], len(h)).astype(float)})
+
+    # the sums of a state's arcs, and what its failure arc weighs
+    rest = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+    added = blocks.groupBy("block").cogroup(every.select("block", "h", "c", "lead").groupBy("block")).applyInArrow(sums, "h long, p double, lower double")
+    backoff = cut(added.groupBy("h").agg(F.log10(rest("p") / rest("lower")).alias("w")), "backoff")
+    weights = cut(every.filter(F.col("k") < order).select("block", "h").join(backoff, "h").select("block", "h", "w"), "weights")
+    back = every.select("block", "h", "c", F.lit(0.0).alias("w"), F.lit(False).alias("fails"))
+    back = back.unionByName(weights.select("block", "h", F.lit(0).cast("long").alias("c"), "w", F.lit(True).alias("fails")))
 
     def score(table: pa.Table, known: pa.Table) -> pa.Table:
-        model = sent.value
-        rare, rare_counts = known.column("h").to_numpy().view(U), known.column("c").to_numpy()
-        by = np.argsort(rare)
-        rare, rare_counts = rare[by], np.concatenate([rare_counts[by], [0]])
-        kept_counts = np.concatenate([model.counts, [0]])
+        fails = known.column("fails")
+        weights = Known(known.filter(fails).select(["block", "h", "w"]))
+        known = Known(known.filter(pc.invert(fails)).select(["block", "h", "c"]))
         out = [[], [], [], []]
-        for _, _, h, first in words(table.column(text_col)):
-            h, first = with_ends(h, first)
-            ids = find(model.words, h)
-            c = kept_counts[ids]
-            c[ids < 0] = rare_counts[find(rare, h[ids < 0])]
-            root = model.root(c)
-            for x, v in zip(out, (np.diff(first), np.add.reduceat(c > 0, first[:-1], dtype=np.int64), np.add.reduceat(root, first[:-1]), np.add.reduceat(model.walk(ids, first, root), first[:-1])), strict=True):
+        for h, first in _rows(table.column(text_col)):
+            keys, inside = keys_at(h, first, order)
+            c = [known.get("c", *x) for x in zip(keys, inside, strict=True)]
+            base = root(c[0])
+            s, open_ = np.zeros(len(h)), np.ones(len(h), bool)
+            starts = np.zeros(len(h), bool)
+            starts[first[:-1]] = True
+            for k, p in reversed([*enumerate(arcs(c, least), 1)]):
+                arc = open_ & (p > 0)
+                s[arc] += np.log10(p[arc])
+                open_ &= ~arc
+                w = before(weights.get("w", keys[k - 1], inside[k - 1]))
+                s[open_ & ~starts] += w[open_ & ~starts]
+            s[open_] += base[open_]
+            for x, v in zip(out, (np.diff(first), np.add.reduceat(c[0] > 0, first[:-1], dtype=np.int64), np.add.reduceat(base, first[:-1]), np.add.reduceat(s, first[:-1])), strict=True):
                 x.append(v)
         n, n_known, base, s = (np.concatenate(x) if x else np.zeros(0) for x in out)
-        return pa.table({id_col: table.column(id_col), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(n), model.total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(s, pa.float64())})
+        return pa.table({id_col: table.column(id_col), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(n), total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(s, pa.float64())})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
