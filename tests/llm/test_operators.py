@@ -123,6 +123,20 @@ def test_extraction(spark):
     assert html_text.fit_weights(df.limit(0))[""] == 1.0
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content-with-sidebar", "post no-sidebar", "entry share-enabled", "side-by-side", "page sidebar"])
+def test_class_names_around_an_article(name):
+    body = "<p>" + "story of many words " * 20 + "</p>"
+    page = f'<html><body><div class="{name}">{body}</div><div class="ads">Buy now</div></body></html>'
+    assert html_text.main_text(page, html_text.weigh({})) == ("story of many words " * 20).strip()
+
+
+@pytest.mark.parametrize("open_, rest", [("<p class=byline>", "<p>"), ("<ul><li class=share>", "<li>"), ("<table><tr><td class=share>", "<td>"), ("<dl><dd class=share>", "<dt>"), ("<ul><li class=share>", "</ul><p>"), ("<p class=byline>", "<div>")])
+def test_elements_without_end_tags(open_, rest):
+    page = f"<html><body>{open_}By me{rest}{'text that stays ' * 20}{rest}more of it</body></html>"
+    got = " ".join(t for tag, t in html_text.tokens(page) if tag is None)
+    assert "By me" not in got and got.count("text that stays") == 20 and "more of it" in got
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_best_run_matches_brute_force(seed):
     s = [random.Random(seed * 100 + k).randint(-5, 5) for k in range(15)]

@@ -6,8 +6,9 @@ that mark their own content with an ``article`` element: a tag costs the more, t
 articles rather than inside (log-odds), in units of the words that such text holds on average. ``FIT_PAGES`` such pages
 are read at most, those with the smallest hash of their id; Spark counts their tags and scores all pages.
 
-Elements that hold no article text whatever stands around them (scripts, forms, menus, and blocks whose class, id or role
-says that they are adverts, notices, comments and the like) are taken out first, and stand as one cheap tag each.
+Elements that hold no article text whatever stands around them (scripts, forms, menus) are taken out first, and stand as one
+cheap tag each. So are blocks of which a whole class, id or role says that they are adverts, notices, comments and the like, unless
+they hold more than half of the page's words. Tags that HTML lets out (of p, li, td and the like) end where the next ones say so.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks (split by block tags
 and ``br``) are trimmed and joined by one newline, empty ones dropped.
@@ -34,12 +35,14 @@ FIT_PAGES = 1000
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _LABEL = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Words of a class, id or role that mark a block as not part of an article.
-_NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|"
+_WORD = (
+    r"(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|"
     r"disqus|repl(?:y|ies)|respond|discussion|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|related|recommended|share|sharing|social|footer|header|masthead|topbar|toolbar|pagination|pager|"
-    r"complementary|contentinfo|search|copyright|legal|disclaimer|tags|byline)(?:$|[\s_-])",
-    re.I,
+    r"complementary|contentinfo|search|copyright|legal|disclaimer|tags|byline)"
 )
+#: Words that say nothing of a block, and may stand beside these.
+_PLAIN = r"(?:list|box|block|bar|buttons?|item|form|inner|unit|slot)"
+_NOT_CONTENT = re.compile(rf"(?:{_PLAIN}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_PLAIN}))*", re.I)
 #: Elements whose content is not markup, up to their end tag.
 _RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 #: Elements that are never article text.
@@ -51,6 +54,14 @@ _BLOCK = {
     "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in _RAW}
+#: What a start tag ends though no end tag is written: names, and the elements that it doesn't reach out of.
+_TABLE = {"table"}
+_ENDS: dict[str, tuple[set[str], set[str]]] = {
+    "li": ({"li"}, _BLOCK - {"li", "div", "p", "address"}), **dict.fromkeys(("dd", "dt"), ({"dd", "dt"}, _BLOCK - {"dd", "dt", "div", "p", "address"})),
+    **dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", *_TABLE})), "tr": ({"tr"}, _TABLE), **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr"}, _TABLE)),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}),
+}
+_P_ENDS = _BLOCK - {"br", "body", "html", "head", "title", "legend", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 DROPPED = "dropped"
 
 
@@ -58,13 +69,33 @@ def tokens(page: str) -> list[tuple[str | None, str]]:
     """(tag, text) in page order: tag is a name, "/name" or DROPPED for an element taken out; None for a run of text."""
     out: list[tuple[str | None, str]] = []
     at, skip, depth, articles = 0, None, 0, 0
+    # open elements, with their place in out if they are marked, how many of a name are open, and where marked ones lie
+    stack: list[tuple[str, int | None]] = []
+    is_open: Counter = Counter()
+    marked: list[tuple[int, int]] = []
+
+    def close(n: int) -> None:
+        while len(stack) > n:
+            tag, start = stack.pop()
+            is_open[tag] -= 1
+            if start is not None:
+                marked.append((start, len(out)))
+
+    def end_before(names: set[str], stop: set[str]) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                return close(k)
+            if stack[k][0] in stop:
+                return
+
     while True:
         m = _MARKUP.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text and skip is None:
             out.append((None, text))
         if not m:
-            return out
+            close(0)
+            return without(out, marked)
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -83,20 +114,54 @@ def tokens(page: str) -> list[tuple[str | None, str]]:
             continue
         if name == "article":
             articles = max(0, articles + (-1 if closing else 1))
-        if closing or name in _VOID or m[3].endswith("/"):
-            out.append((("/" if closing else "") + name, ""))
+        if closing:
+            at_end = 0 if name in ("body", "html") else len(stack)
+            if at_end and is_open[name]:
+                at_end -= 1
+                while stack[at_end][0] != name:
+                    at_end -= 1
+                close(at_end + 1)
+            elif not at_end:
+                close(0)
+            out.append(("/" + name, ""))
+            close(at_end)
+            continue
+        if name in _ENDS and any(is_open[x] for x in _ENDS[name][0]):
+            end_before(*_ENDS[name])
+        if name in _P_ENDS and is_open["p"]:
+            end_before({"p"}, _BLOCK - {"p"})
+        if name in _VOID or m[3].endswith("/"):
+            out.append((name, ""))
             continue
         if name in _RAW:
             at = _RAW_END[name].search(page, at).end()
             out.append((DROPPED, ""))
             continue
-        labels = " ".join(a or b or c for a, b, c in _LABEL.findall(m[3]))
-        marked = name not in ("html", "body", "article", "main") and bool(_NOT_CONTENT.search(labels)) or name == "header" and not articles
-        if name in _DROP or marked:
+        if name in _DROP or name == "header" and not articles:
             out.append((DROPPED, ""))
             skip, depth = name, 1
-        else:
-            out.append((name, ""))
+            continue
+        labels = " ".join(a or b or c for a, b, c in _LABEL.findall(m[3])).split()
+        marks = name not in ("html", "body", "article", "main") and any(_NOT_CONTENT.fullmatch(x) for x in labels)
+        stack.append((name, len(out) if marks else None))
+        is_open[name] += 1
+        out.append((name, ""))
+
+
+def without(seq: list[tuple[str | None, str]], marked: list[tuple[int, int]]) -> list[tuple[str | None, str]]:
+    """The tokens with each marked run as one DROPPED, unless it holds more than half of all words."""
+    if not marked:
+        return seq
+    sums = [0]
+    for tag, text in seq:
+        sums.append(sums[-1] + (len(text.split()) if tag is None else 0))
+    out, at = [], 0
+    for a, b in sorted(marked, key=lambda x: (x[0], -x[1])):
+        if a >= at and 2 * (sums[b] - sums[a]) <= sums[-1]:
+            out += seq[at:a]
+            out.append((DROPPED, ""))
+            at = b
+    return out + seq[at:]
 
 
 def count_tags(page: str) -> Counter:
