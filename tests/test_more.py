@@ -79,3 +79,17 @@ def test_tables(spark, tmp_path):
     fit = regression.Fit(["a"], np.array([1.0]), 0.5)
     tables.save_model(spark, fit, str(tmp_path / "m"))
     assert tables.load_model(spark, str(tmp_path / "m"), [regression.Fit]).alpha == 0.5
+
+
+def test_single_series_queries_use_orders_of_every_status(spark, tmp_path):
+    from tidewater.queries import QUERIES
+
+    rows = [("OPF"[k % 3], k // 3, 100.0 + k % 21) for k in range(1200)]
+    day = F.expr("date_add(date'1996-01-01', k)").cast("timestamp_ntz")
+    orders = spark.createDataFrame(rows, "o_orderstatus string, k int, o_totalprice double").withColumn("o_orderdate", day).drop("k")
+    orders.write.parquet(str(tmp_path / "all" / "orders.parquet"))
+    orders.filter("o_orderstatus = 'F'").write.parquet(str(tmp_path / "f" / "orders.parquet"))
+    every, only = (QUERIES["seasonality_orders"](spark, str(tmp_path / x)).collect() for x in ("all", "f"))
+    assert len(every) == len(only) == 8 and every[0].aic != only[0].aic
+    forecast = QUERIES["forecast_linear_simulated"](spark, str(tmp_path / "all")).agg(F.avg("forecast")).first()[0]
+    assert forecast == pytest.approx(330, rel=0.05)

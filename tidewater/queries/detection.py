@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tidewater.functions import calendar as cal
 from tidewater.operators import changepoints, detect, evaluation, events, forecasters, labels, linear_model, reconcile, regression, seasonality, timegrid
 from tidewater.queries._base import OD, OG, events_hourly, money, orders_daily, query, rounded, table
-from tidewater.queries.features import daily_grid
 from tidewater.queries.modelling import SIM, similarity
 
 K = ["series"]
@@ -189,19 +188,21 @@ def _(spark, d):
     return spark.createDataFrame([(k, round(v, 2)) for k, v in fit.coefficients().items()], "term string, estimate double")
 
 
-def _status_f(spark, d):
-    return daily_grid(spark, d).filter("series = 'F'").select("ts", "y")
+def orders_total(spark, d):
+    """Value of all orders of a day, whatever their status; null on days without orders."""
+    o = table(spark, d, "orders").select(F.date_trunc("DAY", "o_orderdate").cast("timestamp_ntz").alias("ts"), "o_totalprice")
+    return timegrid.fill_gaps(o.groupBy("ts").agg(money("o_totalprice").alias("y")), "1 day").select("ts", "y")
 
 
 @query("trend_changepoints")
 def _(spark, d):
-    found = changepoints.trend_changepoints(_status_f(spark, d), yearly_order=4)
+    found = changepoints.trend_changepoints(orders_total(spark, d), yearly_order=4)
     return spark.createDataFrame([(t,) for t in found], "ts timestamp_ntz")
 
 
 @query("seasonality_orders")
 def _(spark, d):
-    df = _status_f(spark, d)
+    df = orders_total(spark, d)
     rows = [(n, *[r[k] for k in ("order", "aic", "bic")]) for n in ("weekly", "yearly") for r in seasonality.order_criteria(df, seasonality.COMPONENTS[n], 4)]
     return spark.createDataFrame(rows, "component string, k int, aic double, bic double")
 
@@ -209,7 +210,7 @@ def _(spark, d):
 @query("forecast_linear")
 def _(spark, d):
     """Trend, seasonality, holidays, autoregression beyond the horizon, ridge and intervals by weekday."""
-    df = _status_f(spark, d)
+    df = orders_total(spark, d)
     hol = events.event_keys(events.holidays(spark, ["US"], 1995, 2002), ["Christmas Day", "Thanksgiving"])
     spec = linear_model.ModelSpec(seasonality={"weekly": 3, "yearly": 5}, event_keys=["Christmas_Day", "Thanksgiving"], autoreg={"orders": [14, 15], "intervals": [(14, 20)]}, uncertainty={"by": ["dow"], "quantiles": (0.025, 0.975)})
     model = linear_model.fit_linear(df, spec, hol)
@@ -220,7 +221,7 @@ def _(spark, d):
 def _(spark, d):
     """Autoregression within the horizon: recursive paths."""
     spec = linear_model.ModelSpec(seasonality={"weekly": 3}, autoreg={"orders": [1, 2, 7], "intervals": [(1, 7)]}, uncertainty={"quantiles": (0.1, 0.9)})
-    model = linear_model.fit_linear(_status_f(spark, d), spec)
+    model = linear_model.fit_linear(orders_total(spark, d), spec)
     return linear_model.predict_linear(model, linear_model.future_rows(spark, model, 14), paths=20).select("ts", "forecast", "forecast_lower", "forecast_upper", "err_std")
 
 
