@@ -317,7 +317,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_matches_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 4)
-    monkeypatch.setattr(jaccard_join, "QUERY_ROWS", 3)
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 60)
     rng = random.Random(seed)
     rows, k = [], 0
     for _ in range(25):
@@ -350,6 +350,52 @@ def test_bound_of_groups_of_several_sizes(spark):
         assert n0 < n1 or may == want, (c, n, n0, n1)
 
 
+def test_links_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """A family in which nearly all pairs link gives one link for each copy, not one for each pair."""
+    rng, rows = random.Random(3), {}
+    base = [f"w{k}" for k in range(100)]
+    opened = jaccard_join.open_groups
+    for n in (150, 300):
+        texts = []
+        for _ in range(n):
+            text = list(base)
+            text[rng.randrange(100)] = f"x{rng.random()}"
+            texts.append(" ".join(text))
+        found = []
+        monkeypatch.setattr(jaccard_join, "open_groups", lambda *a, found=found, **k: (found.append(opened(*a, **k)), found[-1])[1])
+        monkeypatch.setattr(jaccard_join, "free", lambda *t: None)
+        assert {r.component_id for r in jaccard_join.jaccard_components(make(spark, [*enumerate(texts)])).collect()} == {0}
+        rows[n] = sum(f.count() for f in found)
+    assert rows[150] < 300 and rows[300] < 600
+
+
+def test_spanning_links_match_brute_force():
+    rng = random.Random(4)
+    for _ in range(30):
+        sets = [np.unique(np.array([rng.randrange(12) for _ in range(rng.randint(1, 9))], np.uint64)) for _ in range(14)]
+        asks = np.array([rng.random() < 0.5 for _ in sets])
+        node, root = np.arange(14), np.array([rng.randrange(14) for _ in sets])
+        links = jaccard_join.spanning_links(sets, node, root, asks, 60)
+        near = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))
+        label = list(root)
+        for a in np.flatnonzero(asks):
+            for b in np.flatnonzero(~asks):
+                if near(a, b):
+                    label = [label[a] if x == label[b] else x for x in label]
+        got = list(root)
+        for a, b in links:
+            assert asks[a] and not asks[b] and near(a, b) and got[a] != got[b]
+            got = [got[a] if x == got[b] else x for x in got]
+        assert [[x == y for x in got] for y in got] == [[x == y for x in label] for y in label]
+
+
+def test_jaccard_of_null_and_repeated_ids(spark):
+    a, b = "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s u"
+    rows = [(None, a), (None, b), (None, "x y z x y"), (5, a), (5, "q w e r t"), (5, None), (None, None)]
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(make(spark, rows)).collect())
+    assert got == Counter([(None, 16, 5), (None, 16, 5), (None, 1, None), (5, 16, 5), (5, 1, 5), (5, 0, 5), (None, 0, None)])
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(make(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard_join.jaccard_components(make(spark, [(3, "a b c")])).collect()] == [(3, 1, 3)]

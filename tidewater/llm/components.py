@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm._spark import cut
+from tidewater.llm._spark import cut, free
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(smallest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small, "links")
+        old, edges = edges, cut(small, "links")
+        free(old)
         after = _signature(edges)
         if after == before:
             break
