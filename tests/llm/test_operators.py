@@ -229,60 +229,82 @@ def test_clashing_names(spark):
 # ---- 6
 
 
-def test_lm_against_an_explicit_automaton(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_against_an_explicit_automaton(spark, order, monkeypatch):
     texts = [t + "\nalpha beta gamma delta" * (k % 2) for k, t in enumerate(random_texts(80, 6))]
     texts += texts[:10]
+    monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(ngram_lm, "SHARD_BYTES", 2000)
     docs = make(spark, [*enumerate(texts), (1000, None)])
     held = lambda k: zlib.crc32(str(k).encode()) % 5 == 1
     train = [t for k, t in enumerate(texts) if not held(k)] + ([] if held(1000) else [None])
-    counts = [Counter() for _ in range(3)]
+    counts = [Counter() for _ in range(order)]
     for t in train:
         seq = [*tokens(t), "</s>"]
-        for n in (1, 2, 3):
+        for n in range(1, order + 1):
             counts[n - 1].update(tuple(seq[i : i + n]) for i in range(len(seq) - n + 1))
     total, distinct = sum(counts[0].values()), len(counts[0])
-    share = 0.004
-    least = max(2, math.ceil(share * total))
-    states = [{g for g, c in counts[0].items() if c >= least}]
-    for n in (1, 2):
-        states.append({g for g, c in counts[n].items() if c >= least and g[:-1] in states[n - 1] and g[1:] in states[n - 1]})
+    pairs = [tuple(seq[i : i + 2]) for t in train for seq in [[*tokens(t), "</s>"]] for i in range(len(seq) - 1)]
     p0 = lambda w: (counts[0][w,] + 0.5) / (total + 0.5 * (distinct + 1))
-
-    def prob(context, w):
-        if not context:
-            return p0(w)
-        arc = (*context, w)
-        if arc in states[len(context)]:
-            return (counts[len(context)][arc] - ngram_lm.DISCOUNT) / counts[len(context) - 1][context]
-        if context not in states[len(context) - 1]:
-            return prob(context[1:], w)
-        arcs = [a for a in states[len(context)] if a[:-1] == context]
-        left = 1 - sum((counts[len(context)][a] - ngram_lm.DISCOUNT) / counts[len(context) - 1][context] for a in arcs)
-        lower = 1 - sum(prob(context[1:], a[-1]) for a in arcs)
-        return max(left, 1e-12) / max(lower, 1e-12) * prob(context[1:], w)
+    left_out = {b: sum(math.log10((counts[1][g] - 1 + b * p0(g[1])) / (counts[0][g[:1]] - 1 + b)) for g in pairs) for b in ngram_lm.CONCENTRATIONS}
+    b = max(left_out, key=left_out.get) if order > 2 else 64.0
+    states = {(), *(g for c in counts[:-1] for g in c)}
+
+    def weight(state, w):
+        """Weight of the arc of w from a state, None if it has none."""
+        if not state:
+            return (counts[0][w,] + 0.5) / (total + 0.5 * (distinct + 1))
+        if (n := counts[len(state)][(*state, w)]) == 0:
+            return None
+        return (n + b * walk(state[1:], w)) / (counts[len(state) - 1][state] + b)
+
+    def walk(state, w):
+        """Probability of w along arcs and failure arcs from a state."""
+        p = 1.0
+        while (arc := weight(state, w)) is None:
+            p *= b / (counts[len(state) - 1][state] + b)
+            state = state[1:]
+            while state not in states:
+                state = state[1:]
+        return p * arc
 
     # a state's probabilities, with one unseen word, sum to one
-    for context in [(), *list(states[0])[:5], *list(states[1])[:5]]:
-        if "</s>" not in context:
-            assert sum(prob(context, w) for (w,) in counts[0]) + prob(context, "unseen") == pytest.approx(1)
-    got = {r.doc_id: r for r in ngram_lm.score_lm(docs, ~(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1), 3, share).collect()}
-    assert len(states[2]) > 0 and len(got) == len(texts) + 1
+    for state in random.Random(1).sample(sorted(states), 12):
+        if "</s>" not in state:
+            assert sum(walk(state, w) for (w,) in counts[0]) + walk(state, "unseen") == pytest.approx(1)
+    got = {r.doc_id: r for r in ngram_lm.score_lm(docs, ~(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1), order).collect()}
+    assert len(got) == len(texts) + 1
     for k, t in [*enumerate(texts), (1000, None)]:
-        seq = [*tokens(t), "</s>"]
+        score, state = 0.0, ()
+        for w in (seq := [*tokens(t), "</s>"]):
+            score += math.log10(walk(state, w))
+            state = (*state, w)[1 - order :]
+            while state not in states:
+                state = state[1:]
         r = got[k]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(seq), sum(counts[0][w,] > 0 for w in seq), total)
-        assert r.base_score == pytest.approx(sum(math.log10(p0(w)) for w in seq))
-        assert r.score == pytest.approx(sum(math.log10(prob(tuple(seq[max(0, i - 2) : i]), w)) for i, w in enumerate(seq)))
+        assert r.base_score == pytest.approx(sum(math.log10(weight((), w)) for w in seq))
+        assert r.score == pytest.approx(score)
 
 
-def test_ngrams_seen_twice_are_states_at_any_size(spark):
-    # two million tokens, so that a share of them would ask for more than two
-    rows = [(k, "x " * 20000) for k in range(100)] + [(1000 + k, "alpha beta gamma") for k in range(2)] + [(2000, "alpha gamma beta")]
-    got = {r.doc_id: r for r in ngram_lm.score_lm(make(spark, rows), F.lit(True)).collect()}
+def test_all_ngrams_are_states_at_any_size(spark):
+    # two million tokens around three documents
+    rows = [(k, "x " * 20000) for k in range(100)] + [(1000 + k, "alpha beta gamma") for k in range(2)] + [(2000, "alpha gamma beta"), (None, "alpha beta gamma")]
+    got = {r.doc_id: r for r in ngram_lm.score_lm(make(spark, rows), F.col("doc_id") < 5000).collect()}
     assert got[1000].train_tokens == 2000112 and got[1000].base_score == pytest.approx(got[2000].base_score)
-    # alpha from the root, then arcs: beta follows alpha in 2 of 3, gamma and the end follow twice each
-    first = math.log10(3.5 / (2000112 + 0.5 * 6))
-    assert got[1000].score == pytest.approx(first + math.log10(1.5 / 3) + 2 * math.log10(1.5 / 2))
+    assert got[None].score == got[1000].score > got[2000].score + 0.1
+
+
+def test_lm_of_nothing(spark):
+    assert ngram_lm.score_lm(make(spark, []), F.lit(True)).count() == 0
+    got = ngram_lm.score_lm(make(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 3, 0, 0), (2, 1, 0, 0)]
+    assert all(r.score == r.base_score == 0 for r in got)  # log10(0.5 / 0.5) each
+
+
+def test_counts_are_packed():
+    counts = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    assert ngram_lm.unpack(ngram_lm.pack(counts), len(counts)).tolist() == counts.tolist()
 
 
 # ---- 7
