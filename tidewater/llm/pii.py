@@ -1,24 +1,29 @@
 """PII: bootstrapped contextual extraction.
 
-Base rules find e-mail addresses, IP addresses, card and phone numbers. They are the seeds. The one and two words to
-the left of a seed are lexical patterns; what else such patterns precede, among strings that look like
-identifiers (long numbers with separators, addresses with a spelt-out at) but that no rule matches, are instances to be judged.
+Base rules find e-mail addresses, IP addresses, card and phone numbers. They are the seeds. Lexical patterns are the word to the
+left of a seed, the two words to its left, the word to its right (of a word that holds the seed, the part beside it), and
+its own shape (digits as 9, letters as a). What else such patterns go with, among strings that look like identifiers (long
+numbers with separators, addresses with a spelt-out at) but that no rule matches, are instances to be judged.
 Patterns and instances form a graph with one row per edge, which Spark scores in rounds:
 
-    pattern:  sum of the scores of its instances, each as often as it follows / number of times its words occur in the corpus
+    pattern:  sum of the scores of its instances, each as often as it goes with it / occurrences of the pattern in the corpus
+              (of its words; of a shape: among strings that look like identifiers)
     instance: 1 for seeds, else 1 - product over its patterns of (1 - score)
 
-so that words which mostly don't precede identifiers score low, however many seeds they precede. Patterns
-with ``MIN_SEEDS`` distinct seeds of one kind and a score of ``MIN_SCORE`` then mark whatever identifier-like string follows
-them, as that kind. All patterns with enough seeds enter the rounds, as rows of Spark tables; executors are sent only those
-that reach the score. Base spans are never changed.
+so that words which mostly don't stand beside identifiers score low, however many seeds they go with. A pattern takes part
+once ``MIN_SEEDS`` distinct accepted instances of one kind go with it. Seeds are accepted from the start, and others
+in the round after they reach ``MIN_SCORE``: so new instances bring new patterns, for ``ROUNDS`` rounds.
+Patterns that reach ``MIN_SCORE`` then mark whatever identifier-like string they go with, as their kind. The rounds run on
+Spark tables of all patterns; executors are sent only those that reach the score. Base spans are never changed.
 
-Defined results: null text is empty; extra spans never overlap base spans or each other; without seeds there are none;
-repeated documents and instances count each in a pattern's score, above and below the line, but once among its seeds.
+Defined results: null text is empty; extra spans never overlap base spans or each other; without seeds there are none, nor in an
+empty table; repeated documents and instances count each in a pattern's score, above and below the line, but once among its
+seeds; of the patterns that mark a string the first counts, in the order above, two words before one; other columns are left out.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -30,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm._spark import cut
-from tidewater.llm._text import grams, words
+from tidewater.llm._spark import cut, free
+from tidewater.llm._text import U, grams, hash_spans, mix, utf8, word_spans, words
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS, MIN_SCORE, ROUNDS = 3, 0.5, 3
@@ -40,12 +45,14 @@ FILTER_BITS = 22
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: What may be an identifier though no base rule says so: seven digits or more with separators; an address with its at spelt out.
-_LIKELY = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}(?![A-Za-z0-9])|[A-Za-z0-9._%+-]+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]+)+")
+_LIKELY = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}(?![A-Za-z0-9])")
+_SPELT_AT = re.compile(r"\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]+)+")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def luhn(digits: str) -> bool:
@@ -73,14 +80,27 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Four runs of digits with dots between, from the left: looked for part by part, as a scan of a long run is quadratic."""
+    for m in _DOTTED.finditer(text):
+        start, parts, k = m.start(), m[0].split("."), 0
+        while k + 3 < len(parts):
+            if all(parts[k : k + 4]):
+                end = start + sum(map(len, parts[k : k + 4])) + 3
+                yield start, end
+                start, k = end + 1, k + 4
+            else:
+                start, k = start + len(parts[k]) + 1, k + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of what the base rules match, in order; code points."""
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return out
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
-            out.append((m.start(), 1, m.end()))
+    for a, b in _addresses(text) if "." in text else ():
+        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in text[a:b].split(".")):
+            out.append((a, 1, b))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -94,30 +114,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def likely_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like strings that overlap no base span."""
-    if not _DIGIT.search(text) and "at)" not in text and "at]" not in text:
-        return []
-    out = []
-    for m in _LIKELY.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in taken):
-            out.append(m.span())
+    """Identifier-like strings that overlap no base span nor each other, in order."""
+    found = [m.span() for m in _LIKELY.finditer(text)] if _DIGIT.search(text) else []
+    if "at)" in text or "at]" in text:
+        end = 0
+        for m in _SPELT_AT.finditer(text):
+            start = m.start()
+            while start > end and text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            if start < m.start():
+                end = m.end()
+                found.append((start, end))
+        found.sort()
+    starts, ends, out = [a for a, _, _ in taken], [], []
+    for _, _, b in taken:
+        ends.append(max(b, ends[-1]) if ends else b)
+    for a, b in found:
+        k = bisect.bisect_left(starts, b)
+        if not (k and ends[k - 1] > a) and not (out and out[-1][1] > a):
+            out.append((a, b))
     return out
 
 
-def _context(text: str, start: int) -> str:
-    """The two words (or the one) left of a place, however long the text before."""
-    found = re.split(r"[\x20\x09-\x0D]+", text[max(0, start - 200) : start].strip(" \t\n\x0b\x0c\r"))
-    return " ".join(found[-2:])
-
-
-def _pattern_keys(contexts: list[str]) -> list[list[int]]:
-    """Hashes of the last word and of the last two of each context."""
-    out: list[list[int]] = []
-    for _, _, h, first in words(pa.array(contexts, pa.string())):
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            own = h[a:b]
-            keys = [int(k) for n in (1, 2) if len(own) >= n for k in grams(own[-n:], n).view(np.int64)]
-            out.append(keys)
+def _rightward(keys: np.ndarray) -> np.ndarray:
+    """The pattern of a word to the right, from that of the same word to the left."""
+    return mix(keys ^ U(0x8EBC6AF09C88C6E3))
+
+
+def _pattern_keys(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Of each span the patterns: two words left, one word left, one word right, shape; those that it has."""
+    data, offsets = utf8(pa.array([text], pa.string()))
+    s, e, _ = word_spans(data, offsets)
+    at = np.arange(len(data) + 1) if len(data) == len(text) else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    a, b = at[[x for x, _ in spans]], at[[x for _, x in spans]]
+    w, v = np.searchsorted(s, a, "right") - 1, np.searchsorted(s, b - 1, "right") - 1
+    # what is left of the span in its own word, or the word before; likewise to the right
+    own, rest = a > s[w], b < e[v]
+    one = np.where(own, w, w - 1)
+    left = hash_spans(data, np.where(own, s[w], s[one]), np.where(own, a, e[one]))
+    two = hash_spans(data, s[np.maximum(one - 1, 0)], e[np.maximum(one - 1, 0)])
+    after = np.minimum(np.where(rest, v, v + 1), len(s) - 1)
+    right = hash_spans(data, np.where(rest, b, s[after]), e[after])
+    out = []
+    for k, (x, y) in enumerate(spans):
+        keys = []
+        if one[k] >= 1:
+            keys.append(grams(np.array([two[k], left[k]]), 2)[0])
+        if one[k] >= 0:
+            keys.append(grams(left[k : k + 1], 1)[0])
+        if rest[k] or v[k] + 1 < len(s):
+            keys.append(_rightward(grams(right[k : k + 1], 1))[0])
+        out.append([*np.array(keys, U).view(np.int64).tolist(), _value("shape " + _LETTER.sub("a", _DIGIT.sub("9", text[x:y])))])
     return out
 
 
@@ -126,24 +173,23 @@ def _value(text: str) -> int:
 
 
 def pattern_edges(texts: DataFrame) -> DataFrame:
-    """(pattern, instance, kind, c) of the graph, kind -1 for instances that no rule matches; one row per edge, c times in the corpus."""
+    """(pattern, instance, kind, shape, c) of the graph, kind -1 for instances that no rule matches; one row per edge, c times in the corpus."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contexts, values, kinds = [], [], []
+            rows: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
                 base = base_spans(text)
-                for a, kind, b in [*base, *((a, -1, b) for a, b in likely_spans(text, base))]:
-                    contexts.append(_context(text, a))
-                    values.append(_value(text[a:b]))
-                    kinds.append(kind)
-            rows = Counter((p, v, k) for keys, v, k in zip(_pattern_keys(contexts), values, kinds, strict=True) for p in keys)
-            p, v, k = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(p, pa.int64()), pa.array(v, pa.int64()), pa.array(k, pa.int32()), pa.array(rows.values(), pa.int64())], names=["pattern", "instance", "kind", "c"])
+                every = [*base, *((a, -1, b) for a, b in likely_spans(text, base))]
+                for (a, kind, b), keys in zip(every, _pattern_keys(text, [(a, b) for a, _, b in every]) if every else (), strict=True):
+                    value = _value(text[a:b])
+                    rows.update((p, value, kind, n == len(keys) - 1) for n, p in enumerate(keys))
+            p, v, k, x = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.record_batch([pa.array(p, pa.int64()), pa.array(v, pa.int64()), pa.array(k, pa.int32()), pa.array(x, pa.bool_()), pa.array(rows.values(), pa.int64())], names=["pattern", "instance", "kind", "shape", "c"])
 
-    return texts.mapInArrow(edges, "pattern long, instance long, kind int, c long").groupBy("pattern", "instance", "kind").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(edges, "pattern long, instance long, kind int, shape boolean, c long").groupBy("pattern", "instance", "kind", "shape").agg(F.sum("c").alias("c"))
 
 
 def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -164,6 +210,9 @@ def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
                     if n == 2:
                         g = g[~last[: len(g)]]
                     found.append(g[sent.value[g & (size - 1)]])
+                    if n == 1:
+                        g = _rightward(g.view(U)).view(np.int64)
+                        found.append(g[sent.value[g & (size - 1)]])
                 g, total = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch([pa.array(g), pa.array(total.astype(np.int64))], names=["pattern", "n"])
 
@@ -173,24 +222,27 @@ def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 def learn_patterns(texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> dict[int, int]:
     """Kind of each high-confidence pattern."""
     edges = cut(pattern_edges(texts), "edges")
-    seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds")).filter(F.col("seeds") >= min_seeds)
-    best = seeds.groupBy("pattern").agg(F.max(F.struct("seeds", -F.col("kind"))).alias("b")).select("pattern", (-F.col("b.col2")).alias("of"), F.col("b.seeds").alias("seeds"))
-    best = cut(best, "patterns")
-    if best.isEmpty():
+    # only patterns with enough instances, and one of them a seed or near one, can ever take part
+    enough = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("instances"), F.sum("c").alias("links"), F.max("shape").alias("shape")).filter(F.col("instances") >= min_seeds)
+    enough = cut(enough, "enough")
+    if enough.isEmpty():
         return {}
-    counts = context_counts(texts, best)
-    size = edges.groupBy("pattern").agg(F.sum("c").alias("links"))
-    best = best.join(size, "pattern").join(counts, "pattern", "left").withColumn("n", F.greatest(F.coalesce("n", F.lit(0)), "links"))
-    # only edges of these patterns matter; a seed stands for the kind that its pattern is of
-    graph = cut(edges.join(best, "pattern").withColumn("seed", F.col("kind") == F.col("of")).select("pattern", "instance", "kind", "c", "of", "n", "seed"), "graph")
+    counts = context_counts(texts, enough.filter(~F.col("shape")))
+    n = F.when(F.col("shape"), F.col("links")).otherwise(F.greatest(F.coalesce("n", F.lit(0)), "links"))
+    sized = enough.join(counts, "pattern", "left").select("pattern", n.alias("n"))
+    graph = cut(edges.select("pattern", "instance", "kind", "c").join(sized, "pattern"), "graph")
+    free(edges, enough)
+    # what is accepted: (instance, of); seeds stand for their own kind only
+    seeds = graph.filter("kind >= 0").select("instance", F.col("kind").alias("of"), F.lit(1.0).alias("score")).distinct()
+    accepted = cut(seeds, "accepted")
     patterns = None
     for _ in range(rounds):
-        if patterns is None:
-            scored = graph.withColumn("score", F.col("seed").cast("double"))
-        else:
-            by_instance = graph.join(patterns.select("pattern", "p"), "pattern").groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("score"))
-            scored = graph.join(by_instance, ["instance", "of"]).withColumn("score", F.when(F.col("seed"), 1.0).when(F.col("kind") >= 0, 0.0).otherwise(F.col("score")))
-        patterns = cut(scored.groupBy("pattern", "of", "n").agg((F.sum(F.col("score") * F.col("c")) / F.col("n")).alias("p")), "scores")
+        known = graph.join(accepted, "instance").filter((F.col("kind") < 0) | (F.col("kind") == F.col("of")))
+        scored = known.groupBy("pattern", "of", "n").agg(F.count_distinct("instance").alias("seeds"), (F.sum(F.col("score") * F.col("c")) / F.col("n")).alias("p")).filter(F.col("seeds") >= min_seeds)
+        best = scored.groupBy("pattern").agg(F.max(F.struct("p", "seeds", -F.col("of"))).alias("b")).select("pattern", (-F.col("b.col3")).alias("of"), F.least("b.p", F.lit(1.0)).alias("p"))
+        patterns = cut(best, "patterns")
+        found = graph.filter("kind < 0").join(patterns, "pattern").groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("score")).filter(F.col("score") >= min_score)
+        accepted = cut(seeds.unionByName(found), "accepted")
     return {r.pattern: r.of for r in patterns.filter(F.col("p") >= min_score).collect()}
 
 
@@ -208,8 +260,8 @@ def find_pii(docs: DataFrame, patterns: dict[int, int], id_col: str = "doc_id",
                     counts[k, kind] += 1
                 every = base
                 if sent.value and (likely := likely_spans(text, base)):
-                    keys = _pattern_keys([_context(text, a) for a, _ in likely])
-                    every = sorted([*base, *((a, of[0], b) for (a, b), own in zip(likely, keys, strict=True) if (of := [sent.value[p] for p in reversed(own) if p in sent.value]))])
+                    keys = _pattern_keys(text, likely)
+                    every = sorted([*base, *((a, of[0], b) for (a, b), own in zip(likely, keys, strict=True) if (of := [sent.value[p] for p in own if p in sent.value]))])
                 digests.append(hashlib.sha256(",".join(f"{KINDS[n]}:{a}:{b}" for a, n, b in base).encode()).hexdigest())
                 spans.append(",".join(f"{KINDS[n]}:{a}:{b}" for a, n, b in every))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T.copy()), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[id_col, *(f"n_{x}" for x in KINDS), "base_sha256", "spans"])
