@@ -189,10 +189,11 @@ def weigh(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     if not total[True]:
         return {"": 1.0, "<": -1.0, "<" + DROPPED: -0.5}
     run = max(3.0, counts.get(("", False), 0) / max(1, counts.get(("run", False), 0)))
-    out = {"": 1.0, "<": -run / 2}
+    # of tags that no labelled page has nothing is known: they cost what those of articles do
+    out = {"": 1.0, "<": -0.1}
     for tag in {k for k, _ in counts if k[:1] == "<"}:
         odds = math.log((counts.get((tag, True), 0) + 0.5) / (total[True] + 1)) - math.log((counts.get((tag, False), 0) + 0.5) / (total[False] + 1))
-        out[tag] = -0.25 if odds > 0 else -max(0.25, min(8.0, -odds) * run)
+        out[tag] = -0.1 if odds > 0 else -max(0.25, min(8.0, -odds) * run)
     # what is taken out gives no text, so that it may lie inside of an article of few words, too
     out["<" + DROPPED] = -0.5
     return out
@@ -240,8 +241,7 @@ def fit_weights(pages: DataFrame, fit_pages: int = FIT_PAGES, id_col: str = "pag
 
     picked = pages.select(id_col, html_col).join(F.broadcast(labelled), id_col).filter(F.lower(html_col).contains("<article")).select(html_col)
     summed = picked.mapInArrow(count, "tag string, inside boolean, n long").groupBy("tag", "inside").agg(F.sum("n").alias("n"))
-    # made-up tag names don't pile up: those seen most, a fixed number
-    return weigh({(r.tag, r.inside): r.n for r in summed.orderBy(F.desc("n"), "tag", "inside").limit(2000).collect()})
+    return weigh({(r.tag, r.inside): r.n for r in summed.collect()})  # the tags of at most fit_pages pages
 
 
 def extract_text(pages: DataFrame, weights: dict[str, float], html_col: str = "html") -> DataFrame:
