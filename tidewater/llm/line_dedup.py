@@ -31,6 +31,8 @@ from tidewater.llm._text import U, mix
 _STRIP = " \t\n\x0b\x0c\r"
 SHARD_BYTES = 16 << 20
 _NO_ID = -(1 << 63)
+#: Name of the block column beside a caller's own.
+_BLOCK = "__block"
 
 
 def _line_hashes(text: str | None, min_chars: int) -> tuple[list[str], list[bytes | None]]:
@@ -95,7 +97,7 @@ def find_repeats(blocks: DataFrame, n_shards: int, min_docs: int = 3, min_chars:
 
     def extract(table: pa.Table) -> pa.Table:
         found: dict[bytes, list] = {}
-        block = table.column("block")[0].as_py()
+        block = table.column(_BLOCK)[0].as_py()
         for doc, text in zip(table.column(id_col).to_pylist(), table.column(text_col).to_pylist(), strict=True):
             doc = _NO_ID if doc is None else doc
             for h in {h for h in _line_hashes(text, min_chars)[1] if h}:
@@ -107,7 +109,7 @@ def find_repeats(blocks: DataFrame, n_shards: int, min_docs: int = 3, min_chars:
         both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
         return pa.table({"block": pa.array(np.full(len(found), block), pa.int32()), "hi": both[:, 0], "lo": both[:, 1], "n": pa.array([x[0] for x in found.values()], pa.int64()), "largest": pa.array([x[1] for x in found.values()], pa.int64())})
 
-    lines = blocks.groupBy("block").applyInArrow(extract, _FOUND).withColumn("shard", F.pmod(F.col("hi"), F.lit(n_shards)).cast("int"))
+    lines = blocks.groupBy(_BLOCK).applyInArrow(extract, _FOUND).withColumn("shard", F.pmod(F.col("hi"), F.lit(n_shards)).cast("int"))
     counts = lines.groupBy("shard", "hi", "lo").agg(F.sum("n").alias("n"), F.max("largest").alias("largest")).filter(F.col("n") >= min_docs)
 
     def index(table: pa.Table) -> pa.Table:
@@ -122,7 +124,9 @@ def find_repeats(blocks: DataFrame, n_shards: int, min_docs: int = 3, min_chars:
         more = np.stack([hi[twins], lo[twins], n[twins], largest[twins]]).astype("<i8")
         return pa.table({"shard": table.column("shard").slice(0, 1), **{k: pa.array([v.astype("<i8").tobytes()], pa.binary()) for k, v in (("seeds", perfect.seeds), ("fingerprints", fingerprints), ("counts", counted), ("ids", ids), ("twins", more))}})
 
-    shards = counts.groupBy("shard").applyInArrow(index, "shard int, seeds binary, fingerprints binary, counts binary, ids binary, twins binary")
+    # shards are few bytes and much work: a number of partitions that is given isn't merged by bytes
+    spread = counts.repartition(min(n_shards, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
+    shards = spread.groupBy("shard").applyInArrow(index, "shard int, seeds binary, fingerprints binary, counts binary, ids binary, twins binary")
 
     def probe(asked: pa.Table, shard: pa.Table) -> pa.Table:
         block, hi, lo = (asked.column(c).to_numpy() for c in ("block", "hi", "lo"))
@@ -149,9 +153,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     spark = docs.sparkSession
     size = total_bytes(docs, text_col)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.drop("n_lines", "n_dropped").withColumn("block", block_of(max(least, -(-size // BLOCK_BYTES)), id_col))
+    blocks = docs.drop("n_lines", "n_dropped").withColumn(_BLOCK, block_of(max(least, -(-size // BLOCK_BYTES)), id_col, text_col))
     found = find_repeats(blocks, max(least, -(-size // SHARD_BYTES)), min_docs, min_chars, id_col, text_col)
-    out = T.StructType([*[f for f in blocks.schema if f.name != "block"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = T.StructType([*[f for f in blocks.schema if f.name != _BLOCK], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def drop(table: pa.Table, found: pa.Table) -> pa.Table:
         both = np.stack([found.column("hi").to_numpy(), found.column("lo").to_numpy()], axis=1).astype("<i8")
@@ -164,12 +168,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
             texts.append(text if len(kept) == len(lines) else "\n".join(kept))
-        table = table.drop_columns(["block"])
+        table = table.drop_columns([_BLOCK])
         at = table.column_names.index(text_col)
         table = table.set_column(at, text_col, pa.array(texts, table.schema.field(text_col).type))
         return table.append_column("n_lines", pa.array(n_lines, pa.int64())).append_column("n_dropped", pa.array(n_dropped, pa.int64()))
 
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(drop, out)
+    return blocks.groupBy(_BLOCK).cogroup(found.groupBy("block")).applyInArrow(drop, out)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
