@@ -12,7 +12,8 @@ Only tokens that stand in a shared seed can be in a tile, so of a long document
 Items are handed to all executors in parts of ``PART_BYTES`` at most; a larger benchmark takes several passes.
 
 Defined results: null or empty documents and items match nothing; an item with fewer than ``min_match`` tokens has
-one seed, its whole sequence; repeated items are each reported; other columns stay.
+one seed, its whole sequence; repeated items are each reported; ids may be of any type;
+without documents or items nothing is found; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewater.llm._spark import total_bytes
 from tidewater.llm._text import U, grams, words
@@ -147,7 +149,7 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, thr
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc, item, matched tokens, coverage) of every pair whose coverage reaches the threshold."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("matched", T.LongType()), T.StructField("coverage", T.DoubleType())])
-    found = None
+    item_type, found = to_arrow_type(schema[1].dataType), None
     for seeds in _parts(benchmark, item_col, text_col, min_match, threshold):
         sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
@@ -157,7 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
                 ids = batch.column(0)
                 for a, _, h, first in words(batch.column(1), words_only=True):
                     out += [(ids[a + row].as_py(), item, n, n / size) for row, item, n, size in sent.value.matches(h, first)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, [ids.type, pa.int64() if schema[1].dataType == T.LongType() else None, pa.int64(), pa.float64()], strict=True)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, [ids.type, item_type, pa.int64(), pa.float64()], strict=True)], names=schema.names)
 
         part = docs.select(id_col, text_col).mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)
