@@ -1,10 +1,10 @@
 """Corpus operators against brute force on small fixtures, and the defined results of odd rows."""
 
 import hashlib
-import inspect
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -137,6 +137,23 @@ def test_elements_without_end_tags(open_, rest):
     assert "By me" not in got and got.count("text that stays") == 20 and "more of it" in got
 
 
+@pytest.mark.parametrize(
+    "article,want",
+    [
+        ('<p>First real words here.</p><p class="notice">x<p>Real text goes on with many words.', "First real words here.\nReal text goes on with many words."),
+        ('<ul><li class="share">Share it<li>first item<li>second item</ul><p>Tail text of the article.', "first item\nsecond item\nTail text of the article."),
+        ('<section class="legal disclaimer"><p>This is the article about disclaimers.</p></section>', "This is the article about disclaimers."),
+        ("<p>Some intro text.</p><table><tr><td>c1</td><td>c2</td></tr></table>", "Some intro text.\nc1\nc2"),
+        ("<h2>Head</h2><figure><img src=a><figcaption>Caption</figcaption></figure><p>Body text.</p><dl><dt>a</dt><dd>b</dd></dl>", "Head\nCaption\nBody text.\na\nb"),
+    ],
+)
+def test_whole_articles(article, want):
+    plain = "<html><body><nav>Menu one</nav><article><h1>A title</h1><p>some words of text and more</p></article><footer>foot</footer></body></html>"
+    weights = html_text.weigh(html_text.count_tags(plain * 3))
+    for start, end in (("<article>", "</article>"), ("<div id=main>", "</div>")):
+        assert html_text.main_text(f"<html><body><nav><a href=x>Menu</a></nav>{start}{article}{end}<footer>foot</footer></body></html>", weights) == want
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_best_run_matches_brute_force(seed):
     s = [random.Random(seed * 100 + k).randint(-5, 5) for k in range(15)]
@@ -527,8 +544,7 @@ def test_frequent_words_do_not_push_out_rare_patterns(spark):
     number = lambda: f"+1 ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
     rows = [(k, f"the end of the day , the {number()}") for k in range(30)] + [(100 + k, f"Dial {number()} now") for k in range(4)] + [(200, "Dial (555) 123-4567 now")]
     docs = make(spark, rows)
-    few = {"max_patterns": 2} if "max_patterns" in inspect.signature(pii.learn_patterns).parameters else {}
-    got = {r.doc_id: r.spans for r in pii.find_pii(docs, pii.learn_patterns(docs.select("text"), **few)).collect()}
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs, pii.learn_patterns(docs.select("text"))).collect()}
     assert got[200] == "phone:5:19"
 
 
@@ -550,12 +566,110 @@ def test_context_counts_match_brute_force(spark, monkeypatch):
         w = tokens(t)
         pairs.update((x,) for x in w)
         pairs.update(zip(w[:-1], w[1:], strict=True))
-    key = lambda g: pii._pattern_keys([" ".join(g)])[0][-1]
+    key = lambda g: pii._pattern_keys(" ".join(g) + " 5", [(len(" ".join(g)) + 1, len(" ".join(g)) + 2)])[0][0]
     picked = sorted(pairs)[::3]
+    right = next(g for g in picked if len(g) == 1)
+    after = pii._pattern_keys("5 " + right[0], [(0, 1)])[0][0]
     monkeypatch.setattr(pii, "FILTER_BITS", 4)
-    patterns = make(spark, [(key(g),) for g in picked] + [(12345,)], "pattern long")
+    patterns = make(spark, [(key(g),) for g in picked] + [(12345,), (after,)], "pattern long")
     got = {r.pattern: r.n for r in pii.context_counts(make(spark, [*enumerate([*texts, None])]).select("text"), patterns).collect()}
-    assert got == {key(g): pairs[g] for g in picked}
+    assert got == {key(g): pairs[g] for g in picked} | {after: pairs[right]}
+
+
+def test_pattern_keys_match_the_words_around():
+    rng = random.Random(16)
+    for _ in range(200):
+        left, right = ([rng.choice(["foo", "Bär", "x,", "é"]) for _ in range(rng.randint(0, 3))] for _ in range(2))
+        glued, tail = rng.choice(["", "tel:"]), rng.choice(["", ",", ")ö"])
+        text = " ".join([*left, glued + "555-1234" + tail, *right])
+        a = text.index("555")
+        got = pii._pattern_keys(text, [(a, a + 8)])[0]
+        h = lambda *w: next(words(pa.array([" ".join(w)])))[2]
+        before, after = [*left, *filter(None, [glued])], [*filter(None, [tail]), *right]
+        want = [grams(h(*before[-k:]), k)[0] for k in (2, 1) if len(before) >= k]
+        if after:
+            want.append(pii._rightward(grams(h(after[0]), 1))[0])
+        assert got[:-1] == np.array(want, np.uint64).view(np.int64).tolist()
+        assert got[-1] == pii._pattern_keys("444-9876", [(0, 8)])[0][-1]
+
+
+def test_long_runs_take_linear_time():
+    for run in ("1" * 200000, "1." * 100000, "a." * 100000, "1 " * 100000, "+1" * 100000, "a(at)" * 40000, "@a" * 100000, "1-" * 100000, "." * 200000):
+        began = time.process_time()
+        pii.likely_spans(run, base := pii.base_spans(run))
+        assert time.process_time() - began < 3, (run[:5], len(base))
+
+
+def test_new_instances_bring_new_patterns(spark):
+    """Cards that fail the check digit follow words of good ones; the word that follows those finds further ones."""
+    rng = random.Random(17)
+
+    def card(valid):
+        while True:
+            digits = "4" + "".join(rng.choices("0123456789", k=15))
+            if pii.luhn(digits) == valid:
+                return digits
+
+    rows = [(k, f"pay by {card(True)} today") for k in range(30)]
+    rows += [(100 + k, f"pay by {card(False)} cvv given") for k in range(6)] + [(200 + k, f"some other {card(False)} cvv given") for k in range(6)]
+    rows += [(300 + k, f"parcel {rng.randint(10**11, 10**12)} left") for k in range(30)]
+    got = {r.doc_id: r.spans for r in pii.find_pii(make(spark, rows), pii.learn_patterns(make(spark, rows).select("text"))).collect()}
+    hit = {k for k, spans in got.items() if spans}
+    planted = {k for k, _ in rows if k < 300}
+    assert len(hit & planted) >= 0.9 * len(planted) and len(hit & planted) >= 0.9 * len(hit)
+    assert got[200] == "card:11:27" and not any(got[k] for k in got if k >= 300)
+
+
+def naive_patterns(texts, rounds=3):
+    edges, n = Counter(), Counter()
+    for text in texts:
+        w = text.split(" ")
+        for k in range(len(w)):
+            n["1", w[k].lower()] += 1
+            n["r", w[k].lower()] += 1
+            n["2", " ".join(w[max(0, k - 1) : k + 1]).lower()] += k > 0
+        base = pii.base_spans(text)
+        for a, kind, b in [*base, *((a, -1, b) for a, b in pii.likely_spans(text, base))]:
+            left, right = text[:a].split(), text[b:].split()
+            own = [("2", " ".join(left[-2:]).lower())] * (len(left) > 1) + [("1", left[-1].lower())] * bool(left) + [("r", right[0].lower())] * bool(right)
+            own.append(("s", re.sub("[^\\W\\d_]", "a", re.sub("[0-9]", "9", text[a:b]))))
+            edges.update((p, text[a:b].lower(), kind) for p in own)
+    for p in {p for p, _, _ in edges}:
+        links = sum(c for (q, _, _), c in edges.items() if q == p)
+        n[p] = links if p[0] == "s" else max(n[p], links)
+    seeds = {(v, k): 1.0 for _, v, k in edges if k >= 0}
+    accepted = dict(seeds)
+    for _ in range(rounds):
+        scores = {}
+        for p in {p for p, _, _ in edges}:
+            for of in range(4):
+                mine = [(v, c * accepted[v, of]) for (q, v, k), c in edges.items() if q == p and k in (-1, of) and (v, of) in accepted]
+                if len({v for v, _ in mine}) >= 3:
+                    scores[p] = max(scores.get(p, (-1, 0, 0)), (sum(c for _, c in mine) / n[p], len({v for v, _ in mine}), -of))
+        accepted = dict(seeds)
+        for v in {v for _, v, k in edges if k < 0}:
+            for of in range(4):
+                own = [min(scores[p][0], 0.999999) for (p, x, k) in edges if x == v and k < 0 and p in scores and -scores[p][2] == of]
+                if own and 1 - math.prod(1 - x for x in own) >= 0.5:
+                    accepted[v, of] = 1 - math.prod(1 - x for x in own)
+    return {p: -s[2] for p, s in scores.items() if s[0] >= 0.5}
+
+
+def test_patterns_match_a_naive_graph(spark):
+    rng = random.Random(18)
+    number = lambda: rng.choice([f"+1 {rng.randint(200, 999)} {rng.randint(100, 999)}-{rng.randint(1000, 9999)}", f"555-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", f"10.{rng.randint(0, 300)}.1.{rng.randint(0, 9)}", str(rng.randint(10**8, 10**9))])
+    texts = [f"{rng.choice(['call me', 'host', 'the number', 'the', 'order no'])} {number()} {rng.choice(['now', 'today', 'the end'])}" for _ in range(120)] + ["the the end"] * 10
+    naive = naive_patterns(texts)
+
+    def key(p):
+        if p[0] == "s":
+            return pii._value("shape " + p[1])
+        h = next(words(pa.array([p[1]])))[2]
+        g = grams(h, len(h))
+        return int((pii._rightward(g) if p[0] == "r" else g).view(np.int64)[0])
+
+    got = pii.learn_patterns(make(spark, [*enumerate(texts)]).select("text"))
+    assert got == {key(p): of for p, of in naive.items()} and len(got) > 3
 
 
 # ---- 10
@@ -599,6 +713,34 @@ def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
+def test_ids_of_any_type(spark):
+    for kind, value in (("int", 3), ("short", 3), ("string", "q"), ("date", __import__("datetime").date(2020, 1, 2))):
+        bench = make(spark, [(value, "one two three four five six")], f"item_id {kind}, text string")
+        got = decontaminate.find_leaks(make(spark, [(1, "zero one two three four five six")]), bench).collect()
+        assert [(r.doc_id, r.item_id, r.matched) for r in got] == [(1, value, 6)]
+
+
+def test_columns_of_any_name(spark):
+    names = ("block", "shard", "n", "node", "keys", "hi", "kind", "size", "k")
+    rows = make(spark, [(k, "the same line of text here\nown line", *range(9)) for k in range(4)], "doc_id long, text string, " + ", ".join(f"{x} int" for x in names))
+    assert all(tuple(r[x] for x in names) == tuple(range(9)) for r in line_dedup.dedup_lines(rows).collect())
+    bench = make(spark, [(1, "one two three four five")], "item_id long, text string")
+    for table in (decontaminate.drop_leaks(rows, bench), decontaminate.find_leaks(rows, bench), ngram_lm.score_lm(rows, F.lit(True)), pii.find_pii(rows, {}), sketch.fingerprint_versions(rows), mixing.mix_sources(rows.withColumn("source", F.lit("a")))):
+        table.collect()
+
+
+def test_empty_tables(spark):
+    docs, bench = make(spark, [], SCHEMA), make(spark, [], "item_id long, text string")
+    some = make(spark, [(1, "one two three four five")], "item_id long, text string")
+    for items in (bench, some):
+        assert decontaminate.find_leaks(docs, items).count() == decontaminate.drop_leaks(docs, items).count() == 0
+    pages = make(spark, [], "page_id long, url string, html string")
+    assert html_text.extract_text(pages, html_text.fit_weights(pages)).count() == 0
+    assert pii.find_pii(docs, pii.learn_patterns(docs.select("text"))).count() == 0
+    assert line_dedup.dedup_lines(docs).count() == 0 and mixing.mix_sources(docs).count() == 0
+    assert sketch.fingerprint_versions(docs).count() == 0
+
+
 def test_odd_rows_in_every_operator(spark):
     docs = make(spark, [(a, t, "en", None, 0) for a, t in ODD], SCHEMA)
     bench = make(spark, [(1, "one two three four five")], "item_id long, text string")
