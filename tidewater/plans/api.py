@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,58 @@ from tidewater.plans import templates
 from tidewater.plans.config import DetectionConfig, ForecastConfig
 from tidewater.schema import ACTUAL, FORECAST, TIME, VALUE, simple_frequency
 
-_STEPS = {"H": "1 hour", "D": "1 day", "min": "1 minute", "MS": "1 month", "QS": "3 months", "YS": "1 year"}
+_UNITS = {"S": (1, "second"), "min": (1, "minute"), "H": (1, "hour"), "h": (1, "hour"), "D": (1, "day"), "W": (7, "day"), "M": (1, "month"), "MS": (1, "month"), "ME": (1, "month"), "QS": (3, "month"), "QE": (3, "month"), "YS": (1, "year"), "YE": (1, "year")}
+#: Metrics of which more is better; of all others less is.
+_MORE_IS_BETTER = {"CORR", "R2", "R2_null_model_score", "PREDICTION_BAND_COVERAGE"}
+#: Names of growth terms.
+_GROWTH = {"linear": "ct1", "quadratic": "ct2", "cubic": "ct3", "sqrt": "ct_sqrt", "cuberoot": "ct_root3", None: ""}
+_HOLIDAYS = ["Christmas Day", "New Year's Day", "Thanksgiving", "Independence Day", "Labor Day"]
+
+
+def interval_of(freq: str | None) -> str:
+    """The interval of a frequency name: a number, a unit, and for weeks the day that they end with (5min, 2H, W-SUN, ME)."""
+    m = re.fullmatch(r"(\d*)([A-Za-z]+)(?:-[A-Z]{3})?", freq or "")
+    if not m or m[2] not in _UNITS:
+        raise ValueError(f"a regular frequency is needed, found {freq}")
+    n, unit = _UNITS[m[2]]
+    return f"{int(m[1] or 1) * n} {unit}"
+
+
+def at_period_end(freq: str) -> bool:
+    return freq.rstrip("0123456789").endswith("E") and freq != "E"
+
+
+def with_components(settings: dict, components) -> dict:
+    """Template settings with what a configuration says of single components on top; unknown names are an error."""
+    out = dict(settings)
+
+    def known(name: str, given: dict, names: tuple[str, ...]) -> dict:
+        if extra := set(given) - set(names):
+            raise ValueError(f"unknown keys of {name}: {sorted(extra)}")
+        return given
+
+    if g := known("growth", components.growth, ("growth_term",)):
+        out["growth"] = _GROWTH.get(g["growth_term"], g["growth_term"])
+    if components.changepoints:
+        c = known("changepoints", components.changepoints, ("method", "n", "dates", "strength", "freq"))
+        out["changepoints"] = None if c.get("method", "auto") is None else {"method": "auto", "strength": 0.6} | c
+    for name, order in known("seasonality", components.seasonality, tuple(seasonality.COMPONENTS)).items():
+        orders = dict(out["seasonality"])
+        orders.pop(name, None)
+        if order is True or order == "auto":
+            order = seasonality.COMPONENTS[name].order
+        out["seasonality"] = orders | ({name: int(order)} if order else {})
+    if components.events:
+        e = known("events", components.events, ("countries", "holidays", "days", "daily"))
+        out["events"] = e
+        out["holiday_days"] = e.get("days", out["holiday_days"] if out["holiday_days"] is not None else 0) if e.get("holidays", True) else None
+    if components.autoregression:
+        out["autoreg"] = known("autoregression", components.autoregression, ("autoreg",))["autoreg"]
+    out["regressors"] = list(known("regressors", components.regressors, ("columns",)).get("columns", []))
+    out["lagged_regressors"] = dict(components.lagged_regressors)
+    out["uncertainty"] = known("uncertainty", components.uncertainty, ("by", "method", "min_rows", "small_quantile", "quantiles"))
+    out |= {k: v for k, v in known("custom", components.custom, ("grid", "extra_terms", "algorithm", "params", "drop_terms", "lower", "upper")).items() if k != "grid"}
+    return out
 
 
 @dataclass
@@ -28,6 +80,15 @@ class ForecastResult:
     settings: dict = field(default_factory=dict)
 
 
+def best_of(search: list[dict], metric: str) -> dict:
+    """The configuration with the best mean, of equal ones the first; those without a score (a metric that is null) don't count."""
+    known = [r for r in search if r["mean"] is not None]
+    if not known:
+        raise ValueError(f"{metric} is null for every configuration; choose another metric")
+    side = -1 if metric in _MORE_IS_BETTER else 1
+    return min(known, key=lambda r: (side * r["mean"], r["config"]))
+
+
 class Forecaster:
     """Canonical data, templates to settings, choice by rolling origins, backtest, final fit and forecast of one series.
 
@@ -43,30 +104,53 @@ class Forecaster:
         points: list = []
         if settings.get("changepoints") and days >= 60:
             c = settings["changepoints"]
-            points = changepoints.trend_changepoints(df, 20, min(8, orders.get("yearly", 0)), c.get("freq", "7D") if seconds <= 86400 else None, c["strength"], skip_last_days=min(90, days / 5))
+            if c["method"] == "custom":
+                points = list(c["dates"])
+            elif c["method"] == "uniform":
+                points = [r[TIME] for r in changepoints.evenly_spaced_times(df, c["n"]).orderBy("k").collect()]  # n dates
+            else:
+                points = changepoints.trend_changepoints(df, 20, min(8, orders.get("yearly", 0)), c.get("freq", "7D") if seconds <= 86400 else None, c["strength"], skip_last_days=min(90, days / 5))
+        said = settings.get("events") or {}
         table, keys = None, []
         if settings.get("holiday_days") is not None and seconds <= 86400:
             span = df.agg(F.year(F.min(TIME)).alias("a"), F.year(F.max(TIME)).alias("b")).first()
-            named = events.holidays(spark, self.countries, span.a, span.b + 1)
-            every = [events.key_of(h) for h in ("Christmas Day", "New Year's Day", "Thanksgiving", "Independence Day", "Labor Day")]
-            table = events.expand_window(events.event_keys(named, ["Christmas Day", "New Year's Day", "Thanksgiving", "Independence Day", "Labor Day"]), settings["holiday_days"], settings["holiday_days"])
-            keys = [*every, "Other"]
-        auto = lags.auto_lags(seconds / 86400, horizon, False) if settings.get("autoreg") else None
+            named = events.holidays(spark, said.get("countries", self.countries), span.a, span.b + 1)
+            # all holidays together have one key and its neighbours; otherwise those named have their own
+            separate = [] if settings.get("holidays_together") else said["holidays"] if isinstance(said.get("holidays"), list) else _HOLIDAYS
+            width, bare = settings["holiday_days"], [*(events.key_of(h) for h in separate), "Other"]
+            table = events.expand_window(events.event_keys(named, separate), width, width)
+            keys = [k + side for k in bare for side in ("", *(f"_{s}_{n}" for s in ("minus", "plus") for n in range(1, width + 1)))]
+        if said.get("daily"):
+            own = spark.createDataFrame([(k, d, "event") for k, dates in said["daily"].items() for d in dates], "event_key string, date string, event_name string").withColumn("date", F.to_date("date"))
+            table = own if table is None else table.unionByName(own)
+            keys = [*keys, *said["daily"]]
+        auto = settings.get("autoreg")
+        if auto and not isinstance(auto, dict):
+            auto = lags.auto_lags(seconds / 86400, horizon, False)
         terms = templates.feature_sets(seconds, days) if settings.get("feature_sets") == "AUTO" else []
         u = None
         if coverage:
-            u = {"by": ["dow_hr"] if seconds <= 3600 else [], "quantiles": ((1 - coverage) / 2, (1 + coverage) / 2)}
-        spec = linear_model.ModelSpec(settings["growth"], points, orders, keys, auto, extra_terms=[t for t in terms if not t.startswith("C(str_dow):")], algorithm=settings["algorithm"], params={"alpha": 1.0} if settings["algorithm"] == "ridge" else {}, uncertainty=u, interval=interval)
+            u = {"by": ["dow_hr"] if seconds <= 3600 else [], "quantiles": ((1 - coverage) / 2, (1 + coverage) / 2)} | settings.get("uncertainty", {})
+        more = {k: settings[k] for k in ("lower", "upper", "drop_terms", "regressors", "lagged_regressors") if settings.get(k) is not None}
+        params = settings.get("params", {"alpha": 1.0} if settings["algorithm"] == "ridge" else {})
+        spec = linear_model.ModelSpec(settings["growth"], points, orders, keys, auto, extra_terms=[*terms, *settings.get("extra_terms", [])], algorithm=settings["algorithm"], params=params, uncertainty=u, interval=interval, **more)
         return spec, table
 
     def run(self, df: DataFrame, config: ForecastConfig) -> ForecastResult:
+        """Regressors need their values in the rows after the last value of the series, which are forecast then.
+
+        Periods that are named by their last day are handled by the first day of the next, a calendar step apart.
+        """
         meta, ev = config.metadata, config.evaluation
-        base = df.select(F.col(meta.time_col).cast("timestamp_ntz").alias(TIME), F.col(meta.value_col).cast("double").alias(VALUE))
+        if meta.keys:
+            raise ValueError("one series at a time; with keys use similarity_forecast, lag_forecast or fit_many")
+        columns = [*config.components.regressors.get("columns", []), *config.components.lagged_regressors]
+        base = df.select(F.col(meta.time_col).cast("timestamp_ntz").alias(TIME), F.col(meta.value_col).cast("double").alias(VALUE), *dict.fromkeys(columns))
         freq = meta.freq or timegrid.infer_frequency(base)
-        if freq is None or (freq not in _STEPS and not freq.startswith("W")):
-            raise ValueError(f"a regular frequency is needed, found {freq}")
-        interval = _STEPS.get(freq, "7 days")
-        canonical = timegrid.canonicalise(base, interval, train_end=meta.train_end)
+        interval, ends = interval_of(freq), at_period_end(freq)
+        if ends:
+            base = base.withColumn(TIME, F.col(TIME) + F.expr("interval 1 day"))
+        canonical = timegrid.canonicalise(base, interval, train_end=meta.train_end, regressors=columns)
         fit_df = canonical.fit_df
         stats = timegrid.history_days(fit_df).first()
         seconds, days, n = stats.period, stats.num_training_days, stats.data_points
@@ -75,26 +159,38 @@ class Forecaster:
         step = ev.periods_between_splits or cv_horizon
         possible = max(0, (n - cv_horizon - (ev.cv_min_train or 2 * cv_horizon)) // step + 1)
         names = templates.auto_template(freq, horizon, possible, cv_horizon, ev.cv_max_splits) if config.template == "AUTO" else templates.TEMPLATES.get(config.template, [config.template])
-        choices = templates.expand(names, {k: v for k, v in config.components.custom.get("grid", {}).items()})
+        grid = config.components.custom.get("grid", {})
+        # the grid has the last word
+        choices = [with_components(c, config.components) | {k: c[k] for k in grid} for c in templates.expand(names, grid)]
         search = []
         if len(choices) > 1:
             splits = evaluation.rolling_splits(n, cv_horizon, ev.cv_min_train, step, ev.periods_between_train_test, ev.cv_expanding, ev.cv_max_splits)
             for k, s in enumerate(choices):
                 scores = [self._score(fit_df, s, interval, seconds, days, train, test, ev.metric) for train, test in splits]
                 known = [x for x in scores if x is not None]
-                search.append({"config": k, "settings": s, "scores": scores, "mean": sum(known) / len(known) if known else float("inf")})
-            best = min(search, key=lambda r: (r["mean"], r["config"]))["settings"]
+                search.append({"config": k, "settings": s, "scores": scores, "mean": sum(known) / len(known) if known else None})
+            best = best_of(search, ev.metric)["settings"]
         else:
             best = choices[0]
-        test_n = min(ev.test_horizon if ev.test_horizon is not None else horizon, n // 5)
+        # a test part that is asked for is taken as it is; the usual one leaves most of a short series for training
+        test_n = ev.test_horizon if ev.test_horizon is not None else min(horizon, n // 5)
+        if test_n >= n:
+            raise ValueError(f"a test part of {test_n} rows leaves none of {n} for training")
         split = timegrid.train_test_split(fit_df, test_n)
         train, test = split.filter("not is_test").drop("is_test"), split.filter("is_test").drop("is_test")
-        back = self._forecast(train, test.select(TIME), best, interval, seconds, days, test_n, config.coverage)
+        back = self._forecast(train, test.drop(VALUE), best, interval, seconds, days, test_n, config.coverage)
         backtest = back.join(test.withColumnRenamed(VALUE, ACTUAL), TIME)
         found = metrics.evaluate(backtest).first().asDict() if test_n else {}
+        if test_n and ev.agg_periods:
+            found |= {f"{k}_agg": v for k, v in metrics.evaluate_preaggregated(backtest, ev.agg_periods).first().asDict().items()}
         spec, table = self._spec(best, fit_df, interval, seconds, days, horizon, config.coverage)
         model = linear_model.fit_linear(fit_df, spec, table)
-        forecast = linear_model.predict_linear(model, linear_model.future_rows(df.sparkSession, model, horizon))
+        future = linear_model.future_rows(df.sparkSession, model, horizon)
+        if columns:
+            future = future.join(canonical.df.drop(VALUE), TIME, "left")
+        forecast = linear_model.predict_linear(model, future)
+        if ends:
+            forecast, backtest = (x.withColumn(TIME, F.col(TIME) - F.expr("interval 1 day")) for x in (forecast, backtest))
         return ForecastResult(model, forecast, backtest, found, search, best)
 
     def _forecast(self, train, rows, settings, interval, seconds, days, horizon, coverage):
@@ -107,7 +203,7 @@ class Forecaster:
         numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(TIME)) - 1)
         a = numbered.filter(F.col("_i").between(train.start, train.stop - 1)).drop("_i")
         b = numbered.filter(F.col("_i").between(test.start, test.stop - 1)).drop("_i")
-        f = self._forecast(a, b.select(TIME), settings, interval, seconds, days * len(train) / max(1, train.stop), len(test), None)
+        f = self._forecast(a, b.drop(VALUE), settings, interval, seconds, days * len(train) / max(1, train.stop), len(test), None)
         return metrics.evaluate(f.join(b.withColumnRenamed(VALUE, ACTUAL), TIME), names=[metric]).first()[metric]
 
 
@@ -124,7 +220,7 @@ class AnomalyDetector:
         meta = self.forecast_config.metadata
         base = df.select(F.col(meta.time_col).cast("timestamp_ntz").alias(TIME), F.col(meta.value_col).cast("double").alias(VALUE))
         freq = meta.freq or timegrid.infer_frequency(base)
-        interval = _STEPS.get(freq, "7 days")
+        interval = interval_of(freq)
         sources = [detect.anomaly_from_outliers(base, VALUE)] + ([anomalies] if anomalies is not None else [])
         merged = detect.merge_anomaly_sources(sources, interval)
         full = timegrid.fill_gaps(base, interval)

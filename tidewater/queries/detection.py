@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import calendar as cal
 from tidewater.operators import changepoints, detect, evaluation, events, forecasters, labels, linear_model, reconcile, regression, seasonality, timegrid
 from tidewater.queries._base import OD, OG, events_hourly, money, orders_daily, query, rounded, table
+from tidewater.queries.further import BENCHMARK, STAGES
 from tidewater.queries.modelling import SIM, similarity
 
 K = ["series"]
@@ -225,7 +226,7 @@ def _(spark, d):
     return linear_model.predict_linear(model, linear_model.future_rows(spark, model, 14), paths=20).select("ts", "forecast", "forecast_lower", "forecast_upper", "err_std")
 
 
-@query("forecast_multistage")
+@query("forecast_multistage", STAGES)
 def _(spark, d):
     """A daily stage over the whole history, then hourly seasonality of what it leaves, per series."""
     g = timegrid.fill_gaps(events_hourly(spark, d), "1 hour", K)
@@ -237,10 +238,10 @@ def _(spark, d):
     stage1 = forecasters.similarity_forecast(coarse, ask, ["dow"], keys=K)
     fitted = train.withColumn("_d", day).join(stage1.select("series", F.col("ts").alias("_d"), "forecast"), ["series", "_d"]).withColumn("y", F.col("y") - F.col("forecast")).drop("forecast", "_d")
     stage2 = forecasters.similarity_forecast(fitted, test.select("series", "ts", "hour"), ["hour"], keys=K)
-    return forecasters.combine_stages([stage1, stage2], test.select("series", "ts", F.col("y").alias("actual")), [day, F.col("ts")], K)
+    return rounded(forecasters.combine_stages([stage1, stage2], test.select("series", "ts", F.col("y").alias("actual")), [day, F.col("ts")], K))
 
 
-@query("benchmark_forecasters")
+@query("benchmark_forecasters", BENCHMARK)
 def _(spark, d):
     """Seasonal means by three keys over four rolling origins, errors by configuration."""
     from tidewater.functions import metrics as m
@@ -252,7 +253,7 @@ def _(spark, d):
     for name, match in {"dow_hr": ["dow_hr"], "hour": ["hour"], "hour_weekend": ["hour", "is_weekend"]}.items():
         f = forecasters.similarity_forecast(train, test, match, keys=["series", "back"]).withColumnRenamed("y", "actual").filter("actual is not null").withColumn("config", F.lit(name))
         out = f if out is None else out.unionByName(f)
-    return m.evaluate(out, ["config", "series"], ["MAE", "RMSE", "sMAPE"])
+    return rounded(m.evaluate(out, ["config", "series"], ["MAE", "RMSE", "sMAPE"]))
 
 
 # ---- reconciliation: revenue of nations and regions by month
