@@ -42,6 +42,8 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS, MIN_SCORE, ROUNDS = 3, 0.5, 3
 #: Bits of a filter that keeps most words that are no pattern from being counted; which pass matters to speed only.
 FILTER_BITS = 22
+#: Counts that a task holds before it gives them out.
+HELD = 1 << 20
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -199,24 +201,33 @@ def context_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     bits[patterns.select(F.pmod("pattern", F.lit(size)).alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
+    def added_up(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        g, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(g for g, _ in found)]), return_inverse=True)
+        c = np.zeros(len(g), np.int64)
+        np.add.at(c, at, np.concatenate([np.zeros(0, np.int64), *(c for _, c in found)]))
+        return g, c
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # counts of a task are added up across its batches, and given out where they are many
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, _, h, first in words(batch.column(0)):
                 last = np.zeros(len(h) + 1, bool)
                 last[first[1:] - 1] = True
-                found = []
                 for n in (1, 2):
                     g = grams(h, n).view(np.int64)
                     if n == 2:
                         g = g[~last[: len(g)]]
-                    found.append(g[sent.value[g & (size - 1)]])
-                    if n == 1:
-                        g = _rightward(g.view(U)).view(np.int64)
-                        found.append(g[sent.value[g & (size - 1)]])
-                g, total = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.record_batch([pa.array(g), pa.array(total.astype(np.int64))], names=["pattern", "n"])
-
-    return texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).join(patterns.select("pattern"), "pattern", "left_semi")
+                    sides = [g, _rightward(g.view(U)).view(np.int64)] if n == 1 else [g]
+                    held += [np.unique(x[sent.value[x & (size - 1)]], return_counts=True) for x in sides]
+                if sum(len(g) for g, _ in held) > HELD:
+                    held = [added_up(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield pa.record_batch([pa.array(x) for x in held.pop()], names=["pattern", "n"])
+        yield pa.record_batch([pa.array(x) for x in added_up(held)], names=["pattern", "n"])
+
+    counts = cut(texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")), "contexts")
+    return counts.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
 def learn_patterns(texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> dict[int, int]:
