@@ -202,6 +202,21 @@ def test_nnpu_risk_gradient_separates():
     assert w[0] + b > 0 > w[1] + b
 
 
+def test_toxicity_blocks_cover_all_documents(spark, monkeypatch):
+    """Features are counted over all training documents, and every block of them has a part in the model."""
+    docs = make(spark, [(k, "meadow river cloud stone " + ("vileword " if k % 5 == 0 else f"plain{k % 7} ") * 3) for k in range(400)], "doc_id long, text string")
+    labels = make(spark, [(k, int(k % 5 == 0)) for k in range(0, 400, 2)], "doc_id long, toxic int")
+    whole = toxicity.fit_toxicity(docs, labels, F.col("doc_id") < 300)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 60)
+    split = toxicity.fit_toxicity(docs, labels, F.col("doc_id") < 300)
+    again = toxicity.fit_toxicity(docs.repartition(7), labels, F.col("doc_id") < 300)
+    assert whole.ids.tolist() == split.ids.tolist() and (split.weights == again.weights).all() and split.bias == again.bias
+    for model in (whole, split):
+        got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, model).collect()}
+        assert all(got[k] == int(k % 5 == 0) for k in range(300, 400))
+    assert toxicity.fit_toxicity(docs.limit(0), labels, F.lit(True)).bias == -50.0
+
+
 # ---- 4
 
 

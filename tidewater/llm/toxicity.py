@@ -1,9 +1,8 @@
 """Toxicity: non-negative positive-unlabelled learning.
 
-The classifier is linear over the presence of hashed words and word prefixes. It is trained in numpy from two
-samples with fixed bounds: confirmed toxic documents (P, ``FIT_TOXIC`` at most) and documents as they come,
-labelled or not (U, ``FIT_UNLABELLED`` at most). No document counts as clean. With g the decision function and l
-the sigmoid loss, the risk is
+The classifier is linear over the presence of hashed words and word prefixes. It is trained in numpy from confirmed
+toxic documents (P, a sample of ``FIT_TOXIC`` labelled rows at most) and from all documents of the training part,
+labelled or not (U). No document counts as clean. With g the decision function and l the sigmoid loss, the risk is
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
@@ -11,8 +10,10 @@ the second term being the risk on clean text, from which the toxic share of U is
 negative, the step goes against its own gradient instead, which keeps the fit from explaining U away. The class prior is
 a parameter; by default it is the share of confirmed toxic rows among the labelled rows.
 
-Spark counts the features of both samples and keeps the ``MAX_FEATURES`` whose document frequencies differ most
-(z-score); training sees those only. Scoring runs over whole texts of all documents.
+Spark counts features over all confirmed toxic and all training documents and keeps the ``MAX_FEATURES`` whose document
+frequencies differ most (z-score); training sees those only. U is dealt by a hash of the id into blocks of about
+``BLOCK_ROWS`` documents; each block is fitted against P in a task of its own, and the mean of the blocks' weights is the
+model, so that every document counts and no task or driver holds more than a block. Scoring runs over whole texts of all documents.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; without confirmed toxic
 rows every score is 0; repeated ids in the labels count once, toxic winning; extra columns stay.
@@ -29,11 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm._spark import fold
+from tidewater.llm._spark import cut, fold, free
 from tidewater.llm._text import U, hash_spans, pieces, utf8, word_spans
 
 FIT_TOXIC = 4000
-FIT_UNLABELLED = 8000
+#: Unlabelled documents of a block; their number decides only how many blocks there are.
+BLOCK_ROWS = 8000
 MAX_FEATURES = 4096
 #: Least z-score of a feature, and least number of toxic documents that have it.
 MIN_Z, MIN_DOCS = 4.0, 5
@@ -93,36 +95,54 @@ def train_nnpu(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_features
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, prior: float | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fit on rows for which ``train_rows`` (over id_col) holds."""
-    known = labels.filter(train_rows & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    n, n1 = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
-    if not n1:
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0)
-    prior = min(0.9, max(1e-4, n1 / n)) if prior is None else prior
-    order = (F.xxhash64(id_col), F.col(id_col))
-    toxic = known.filter("_y = 1").orderBy(*order).limit(FIT_TOXIC).select(id_col, F.lit(True).alias("_toxic"))
-    as_it_comes = docs.filter(train_rows).select(id_col).orderBy(*order).limit(FIT_UNLABELLED).select(id_col, F.lit(False).alias("_toxic"))
-    sample = docs.select(id_col, text_col).join(F.broadcast(toxic.unionByName(as_it_comes)), id_col).select(text_col, "_toxic")
+def _counter(wanted=None):
+    """Counts, task by task, the documents that have a bucket; with ``wanted`` (packed bits, broadcast) only those buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = None if wanted is None else np.unpackbits(wanted.value).view(bool)
+        total = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            flags = np.array(batch.column(1).to_pylist(), bool)
             for a, b in pieces(offsets, 8 << 20):
                 rows, ids = doc_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                both = np.unique(rows << BITS | ids)
-                ids, inverse = np.unique(both & ((1 << BITS) - 1), return_inverse=True)
-                p = np.bincount(inverse, flags[a:b][both >> BITS], len(ids)).astype(np.int64)
-                yield pa.record_batch([pa.array(ids), pa.array(p), pa.array(np.bincount(inverse, minlength=len(ids)) - p)], names=["id", "p", "u"])
+                if allowed is not None:
+                    rows, ids = rows[allowed[ids]], ids[allowed[ids]]
+                ids, n = np.unique(np.unique(rows << BITS | ids) & ((1 << BITS) - 1), return_counts=True)
+                total[ids] += n.astype(np.int32)
+        ids = np.flatnonzero(total)
+        for k in range(0, len(ids), 1 << 16):
+            part = ids[k : k + (1 << 16)]
+            yield pa.record_batch([pa.array(part), pa.array(total[part].astype(np.int64))], names=["id", "c"])
+
+    return count
+
 
-    n_p, n_u = sample.agg(F.count_if("_toxic"), F.count_if(~F.col("_toxic"))).first()
-    n_p, n_u = max(1, n_p), max(1, n_u)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, prior: float | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    """Fit on rows for which ``train_rows`` (over id_col) holds."""
+    known = labels.filter(train_rows & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
+    n, n1 = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
+    if not n1:
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0)
+    prior = min(0.9, max(1e-4, n1 / n)) if prior is None else prior
+    toxic = known.filter("_y = 1").select(id_col)
+    train = docs.filter(train_rows).select(id_col, text_col)
+    confirmed = train.join(toxic, id_col, "left_semi")
+
+    # a feature has to stand in MIN_DOCS toxic documents; only such ones are counted over the whole training part
+    p_counts = cut(confirmed.select(text_col).mapInArrow(_counter(), "id long, c long").groupBy("id").agg(F.sum("c").alias("p")).filter(F.col("p") >= MIN_DOCS), "toxic-features")
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[p_counts.select("id").toArrow().column("id").to_numpy()] = True  # 2 ** BITS buckets at most
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    n_p, n_u = confirmed.count(), train.count()
+    if not n_u:
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), -50.0)
+    n_p = max(1, n_p)
     pooled = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    counted = sample.mapInArrow(count, "id long, p long, u long").groupBy("id").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    best = counted.withColumn("z", z).filter((F.col("z") >= MIN_Z) & (F.col("p") >= MIN_DOCS)).orderBy(F.desc("z"), "id").limit(MAX_FEATURES)
+    u_counts = train.select(text_col).mapInArrow(_counter(sent), "id long, c long").groupBy("id").agg(F.sum("c").alias("u"))
+    best = p_counts.join(u_counts, "id").withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "id").limit(MAX_FEATURES)
     features = np.array(sorted(r.id for r in best.select("id").collect()), np.int64)
+    free(p_counts)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,13 +152,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, prior:
                 at = np.minimum(np.searchsorted(features, ids), max(0, len(features) - 1))
                 ok = features[at] == ids if len(features) else np.zeros(len(ids), bool)
                 both = np.unique(rows[ok] << 16 | at[ok])
-                found = [(both[both >> 16 == k] & 65535).astype("<i4").tobytes() for k in range(b - a)]
-                yield pa.record_batch([batch.column(1).slice(a, b - a), pa.array(found, pa.binary())], names=["toxic", "at"])
-
-    rows = sorted((r.toxic, bytes(r["at"])) for r in sample.mapInArrow(present, "toxic boolean, at binary").collect())
-    cols = [np.frombuffer(at, "<i4") for _, at in rows]
-    weights, bias = train_nnpu(np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([np.zeros(0, "<i4"), *cols]).astype(np.int64), np.array([t for t, _ in rows]), len(features), prior)
-    return ToxicityModel(features, weights.astype(np.float32), bias)
+                ends = np.searchsorted(both >> 16, np.arange(b - a + 1))
+                at = (both & 65535).astype("<u2")
+                yield pa.record_batch([batch.column(1).slice(a, b - a), pa.array([at[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())], names=["block", "at"])
+
+    chosen = toxic.orderBy(F.xxhash64(id_col), id_col).limit(FIT_TOXIC)  # labelled rows: the documented bound
+    marked = train.join(F.broadcast(chosen), id_col, "left_semi").select(text_col, F.lit(0).alias("block"))
+    positive = sorted(bytes(r["at"]) for r in marked.mapInArrow(present, "block int, at binary").collect())
+    n_blocks = -(-n_u // BLOCK_ROWS)
+    unlabelled = train.select(text_col, F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("block")).mapInArrow(present, "block int, at binary")
+    p_sent = docs.sparkSession.sparkContext.broadcast(positive)  # FIT_TOXIC rows of MAX_FEATURES numbers at most
+
+    def fit(block: pa.Table) -> pa.Table:
+        rows = [*p_sent.value, *sorted(block.column("at").to_pylist())]  # in a fixed order: reruns agree
+        cols = [np.frombuffer(at, "<u2") for at in rows]
+        is_toxic = np.arange(len(rows)) < len(p_sent.value)
+        w, bias = train_nnpu(np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([np.zeros(0, "<u2"), *cols]).astype(np.int64), is_toxic, len(features), prior)
+        return pa.table({"block": block.column("block").slice(0, 1), "n": pa.array([block.num_rows], pa.int64()), "w": pa.array([np.append(w, bias).tobytes()], pa.binary())})
+
+    total, n_rows = np.zeros(len(features) + 1), 0
+    dealt = unlabelled.repartition(n_blocks, "block")  # by number: the rows are small, and a fit takes seconds
+    for r in dealt.groupBy("block").applyInArrow(fit, "block int, n long, w binary").orderBy("block").toLocalIterator():  # a few thousand weights a block
+        total += r.n * np.frombuffer(r.w)
+        n_rows += r.n
+    return ToxicityModel(features, (total[:-1] / n_rows).astype(np.float32), float(total[-1] / n_rows))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
