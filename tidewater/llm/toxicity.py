@@ -37,6 +37,10 @@ FIT_TOXIC = 4000
 #: Unlabelled documents of a block; their number decides only how many blocks there are.
 BLOCK_ROWS = 8000
 MAX_FEATURES = 4096
+#: Up to so many ids of toxic documents (they have been counted) are broadcast, so that texts stay where they are.
+BROADCAST_IDS = 1_000_000
+#: Weights are added up over the blocks as whole numbers of this unit: the sum doesn't depend on their order.
+UNIT = 2.0**-16
 #: Least z-score of a feature, and least number of toxic documents that have it.
 MIN_Z, MIN_DOCS = 4.0, 5
 BITS = 22
@@ -126,7 +130,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, prior:
     prior = min(0.9, max(1e-4, n1 / n)) if prior is None else prior
     toxic = known.filter("_y = 1").select(id_col)
     train = docs.filter(train_rows).select(id_col, text_col)
-    confirmed = train.join(toxic, id_col, "left_semi")
+    small = F.broadcast if n1 <= BROADCAST_IDS else lambda df: df
+    confirmed = train.join(small(toxic), id_col, "left_semi")
 
     # a feature has to stand in MIN_DOCS toxic documents; only such ones are counted over the whole training part
     p_counts = cut(confirmed.select(text_col).mapInArrow(_counter(), "id long, c long").groupBy("id").agg(F.sum("c").alias("p")).filter(F.col("p") >= MIN_DOCS), "toxic-features")
@@ -168,14 +173,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, prior:
         cols = [np.frombuffer(at, "<u2") for at in rows]
         is_toxic = np.arange(len(rows)) < len(p_sent.value)
         w, bias = train_nnpu(np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([np.zeros(0, "<u2"), *cols]).astype(np.int64), is_toxic, len(features), prior)
-        return pa.table({"block": block.column("block").slice(0, 1), "n": pa.array([block.num_rows], pa.int64()), "w": pa.array([np.append(w, bias).tobytes()], pa.binary())})
+        whole = np.rint(np.append(w, bias) * (block.num_rows / UNIT)).astype(np.int64)
+        return pa.table({"at": np.arange(len(whole), dtype=np.int32), "w": whole})
 
-    total, n_rows = np.zeros(len(features) + 1), 0
     dealt = unlabelled.repartition(n_blocks, "block")  # by number: the rows are small, and a fit takes seconds
-    for r in dealt.groupBy("block").applyInArrow(fit, "block int, n long, w binary").orderBy("block").toLocalIterator():  # a few thousand weights a block
-        total += r.n * np.frombuffer(r.w)
-        n_rows += r.n
-    return ToxicityModel(features, (total[:-1] / n_rows).astype(np.float32), float(total[-1] / n_rows))
+    summed = dealt.groupBy("block").applyInArrow(fit, "at int, w long").groupBy("at").agg(F.sum("w").alias("w")).collect()  # MAX_FEATURES + 1 rows at most
+    total = np.zeros(len(features) + 1)
+    for r in summed:
+        total[r["at"]] = r.w * UNIT / n_u
+    return ToxicityModel(features, total[:-1].astype(np.float32), float(total[-1]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
