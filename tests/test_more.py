@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import auto, intervals, regression, timegrid
+from tidewater import schema
+from tidewater.functions import calendar as cal
+from tidewater.operators import auto, clean, intervals, regression, timegrid
 from tidewater.sources import tables
 from tidewater.streaming import scoring
 
@@ -93,3 +95,51 @@ def test_single_series_queries_use_orders_of_every_status(spark, tmp_path):
     assert len(every) == len(only) == 8 and every[0].aic != only[0].aic
     forecast = QUERIES["forecast_linear_simulated"](spark, str(tmp_path / "all")).agg(F.avg("forecast")).first()[0]
     assert forecast == pytest.approx(330, rel=0.05)
+
+
+def test_folds_are_runs_without_a_sort(spark):
+    df = spark.range(0, 103, numPartitions=7).select((F.lit(102) - F.col("id")).alias("k"))
+    placed = regression.with_folds(df, 5, F.col("k"))
+    sizes = placed.groupBy("_fold").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).orderBy("_fold").collect()
+    assert [r.n for r in sizes] == [21, 21, 20, 21, 20] and all(x.b < y.a for x, y in zip(sizes, sizes[1:]))
+    assert "Window" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert regression.with_folds(df, 4).select("_fold").distinct().count() == 4
+    assert regression.with_folds(df, 4, F.lit(1)).select("_fold").distinct().count() == 4
+    nulls = regression.with_folds(spark.createDataFrame([(None,), (1,), (2,), (3,)], "k int"), 2, F.col("k"))
+    assert {r.k: r["_fold"] for r in nulls.collect()}[None] == 1
+
+
+def test_rank_scaled_is_percent_rank(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, None if k % 17 == 0 else float(rng.integers(0, 40))) for k in range(500)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    got = {r.k: r.x for r in clean.scale_features(df, ["x"], "QuantileTransformer").collect()}
+    order = sorted(-math.inf if x is None else x for _, x in rows)
+    first = {v: order.index(v) for v in set(order)}
+    assert all(math.isclose(got[k], first[-math.inf if x is None else x] / 499) for k, x in rows)
+    assert clean.scale_features(df.limit(1), ["x"], "QuantileTransformer").first().x == 0.0
+    assert clean.scale_features(df.limit(0), ["x"], "QuantileTransformer").count() == 0
+
+
+def test_zone_daylight_saving(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 15, 12),), (dt.datetime(2024, 7, 15, 12),)], "ts timestamp_ntz")
+    seen = {z: [r[0] for r in df.orderBy("ts").select(cal.zone_dst(F.col("ts"), z)).collect()] for z in ("America/New_York", "Australia/Sydney", "Asia/Tokyo")}
+    assert seen == {"America/New_York": [False, True], "Australia/Sydney": [True, False], "Asia/Tokyo": [False, False]}
+
+
+def test_significant_digits_and_columns(spark):
+    df = spark.createDataFrame([(0.0123456, 1, "a"), (-98765.4321, 2, "b"), (0.0, 3, "c"), (None, 4, "d")], "x double, k int, s string")
+    assert [r[0] for r in df.orderBy("k").select(cal.round_significant(F.col("x"), 3)).collect()] == [0.0123, -98765.0, 0.0, None]
+    assert schema.columns_of_type(df, ["double", "int"]) == ["x", "k"] and schema.columns_of_type(df, exclude=["int"]) == ["x", "s"]
+    assert schema.reorder(df, {"s": 1, "k": 0}).columns == ["k", "s", "x"]
+
+
+def test_future_parts(spark):
+    day = lambda k: T0 + dt.timedelta(k)
+    train = spark.createDataFrame([("a", day(k)) for k in range(5, 10)], "series string, ts timestamp_ntz")
+    future = spark.createDataFrame([("a", day(3)), ("a", day(7)), ("a", day(12)), ("a", day(13)), ("b", day(1))], "series string, ts timestamp_ntz")
+    got = sorted((r.series, (r.ts - T0).days, r.part) for r in timegrid.partition_future(train, future, "1 day", ["series"]).collect())
+    assert got == [("a", 3, "before"), ("a", 7, "inside"), ("a", 10, "gap"), ("a", 11, "gap"), ("a", 12, "after"), ("a", 13, "after"), ("b", 1, None)]
+    next_day = timegrid.partition_future(train.drop("series"), future.filter("series = 'a'").drop("series").filter(F.col("ts") < F.lit(day(12))), "1 day")
+    assert next_day.filter("part = 'gap'").count() == 0 and next_day.count() == 2
+    assert timegrid.partition_future(train, future.limit(0), "1 day", ["series"]).count() == 0

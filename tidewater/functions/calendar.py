@@ -175,3 +175,23 @@ def weekday_weekend_suffix(date: Column) -> Column:
 def grouped_dow_suffix(date: Column) -> Column:
     dow = F.weekday(date) + 1
     return F.when(dow == 6, "_Sat").when(dow == 7, "_Sun").when(dow.isin(1, 5), "_Mon/Fri").otherwise("_WD")
+
+
+def utc_offset_seconds(ts: Column, zone: str) -> Column:
+    """Seconds by which local time in ``zone`` is ahead of UTC at a local time."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+    return F.timestamp_diff("SECOND", utc, ts)
+
+
+def zone_dst(ts: Column, zone: str) -> Column:
+    """Whether a local time falls into daylight saving of a zone of the tz database: its offset is above the smaller of
+    those on the first of January and of July."""
+    january, july = (F.make_timestamp_ntz(F.year(ts), F.lit(m), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) for m in (1, 7))
+    return utc_offset_seconds(ts, zone) > F.least(utc_offset_seconds(january, zone), utc_offset_seconds(july, zone))
+
+
+def round_significant(x: Column, digits: int = 3) -> Column:
+    """Rounded to significant digits; digits before the point all stay."""
+    size = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x))) + 1)
+    scale = F.pow(F.lit(10.0), F.greatest(F.lit(digits) - size, F.lit(0)).cast("double"))
+    return F.round(x * scale) / scale

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -151,6 +152,26 @@ def normalise(df: DataFrame, cols: Sequence[str], method: str = "zero_to_one", k
     return df.withColumns(out)
 
 
+def rank_scaled(df: DataFrame, c: str) -> DataFrame:
+    """A column as its rank among all rows on [0, 1], as percent_rank has it (nulls first, equal values share a rank).
+
+    Distinct values are counted and dealt into ranges by quantiles; each range is ordered by itself and starts where the
+    counts of those before it end, so that no task orders the whole table.
+    """
+    n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    q = df.agg(F.percentile_approx(c, [k / n for k in range(1, n)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(q))]) if q else None
+    part = F.lit(0) if bounds is None else F.when(F.col("_v").isNull(), 0).otherwise(1 + F.size(F.filter(bounds, lambda b: b < F.col("_v"))))
+    values = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_part", part)
+    sums = values.groupBy("_part").agg(F.sum("_n").alias("_rows"))  # one row per range
+    ahead = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("_part", ahead.alias("_ahead"), F.sum("_rows").over(Window.partitionBy()).alias("_all"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = values.withColumn("_in", inside).join(F.broadcast(starts), "_part")
+    ranks = ranks.select("_v", F.when(F.col("_all") > 1, (F.col("_ahead") + F.col("_in")) / (F.col("_all") - 1)).otherwise(0.0).alias("_rank"))
+    return df.join(ranks, F.col(c).eqNullSafe(F.col("_v"))).withColumn(c, F.col("_rank")).drop("_v", "_rank")
+
+
 def scale_features(df: DataFrame, cols: Sequence[str], name: str = "MinMaxScaler", **params) -> DataFrame:
     """A fitted pyspark.ml scaler by name over the columns as one vector, given back as columns."""
     from pyspark.ml import feature
@@ -158,8 +179,7 @@ def scale_features(df: DataFrame, cols: Sequence[str], name: str = "MinMaxScaler
 
     kinds = {"MinMaxScaler", "MaxAbsScaler", "StandardScaler", "RobustScaler", "Normalizer"}
     if name == "QuantileTransformer":
-        # rank among the rows on [0, 1]
-        return df.withColumns({c: F.percent_rank().over(Window.orderBy(c)) for c in cols})
+        return reduce(rank_scaled, cols, df)
     if name not in kinds:
         raise ValueError(f"unknown scaler {name}")
     vector = feature.VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)

@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -336,10 +337,7 @@ def fit_by_name(df: DataFrame, columns: dict[str, Column], response: Column, alg
     if algorithm in ("wls", "statsmodels_wls"):
         return fit_ols(gram(df, columns, response, weight))
     if algorithm in ("ridge", "lasso") and params.get("alpha") is None:
-        from pyspark.sql import Window
-
-        at = F.ntile(folds).over(Window.orderBy(order if order is not None else F.monotonically_increasing_id()))
-        rows = gram_table(df.withColumn("_fold", at), list(columns.values()), response, weight, ["_fold"]).collect()
+        rows = gram_table(with_folds(df, folds, order), list(columns.values()), response, weight, ["_fold"]).collect()  # one matrix per fold
         parts = [gram_from(r.sums, list(columns)) for r in rows]
         total = Gram(parts[0].names, sum(p.xx for p in parts), sum(p.xy for p in parts), sum(p.yy for p in parts), sum(p.n for p in parts), sum(p.rows for p in parts))
         return fit_ridge_cv(total, parts, params.get("alphas")) if algorithm == "ridge" else fit_lasso_cv(total, parts)
@@ -552,12 +550,26 @@ def fit_l1_quantile(df: DataFrame, columns: dict[str, Column], response: Column,
     return Fit(list(columns), beta, alpha, {"q": q})
 
 
+def with_folds(df: DataFrame, folds: int, order: Column | None = None) -> DataFrame:
+    """Adds _fold, 1 to ``folds``: runs of rows in order, cut at quantiles of the order, so that nothing is sorted.
+
+    Rows equal in order share a fold; without an order, or where it has one value only, rows run as they are read.
+    """
+    as_read = F.monotonically_increasing_id()
+    at = [k / folds for k in range(1, folds)]
+    for chosen in ([] if order is None else [order]) + [as_read]:
+        placed = df.withColumn("_order", chosen)
+        row = placed.agg(F.percentile_approx("_order", at, 10_000).alias("q"), F.max("_order").alias("most")).first()
+        bounds = [b for b in row.q or [] if b < row.most]
+        if bounds:
+            break
+    above = reduce(lambda a, b: a + b, [F.when(F.col("_order") > F.lit(b), 1).otherwise(0) for b in bounds], F.lit(1))
+    return placed.withColumn("_fold", above).drop("_order")
+
+
 def contiguous_folds(df: DataFrame, columns: dict[str, Column], response: Column, folds: int, order: Column) -> list[Gram]:
     """Sums of each of ``folds`` runs of rows in the given order."""
-    from pyspark.sql import Window
-
-    at = F.ntile(folds).over(Window.orderBy(order))
-    rows = gram_table(df.withColumn("_fold", at), list(columns.values()), response, None, ["_fold"]).collect()  # one matrix per fold
+    rows = gram_table(with_folds(df, folds, order), list(columns.values()), response, None, ["_fold"]).collect()  # one matrix per fold
     return [gram_from(r.sums, list(columns)) for r in rows]
 
 

@@ -216,3 +216,19 @@ def aggregate_from_end(df: DataFrame, size: int, agg: str = "sum", keys: Sequenc
     bins = ranked.withColumn("_bin", F.floor(F.col("_r") / size)).filter((F.col("_bin") < F.floor(F.col("_n") / size)) | (F.col("_n") < size))
     out = bins.groupBy(*keys, "_bin").agg(F.min(ts).alias(ts), AGGREGATES[agg](F.col(value)).alias(value))
     return out.drop("_bin")
+
+
+def partition_future(train: DataFrame, future: DataFrame, interval: str, keys: Sequence[str] = (), ts: str = TIME) -> DataFrame:
+    """(keys, ts, part): rows of ``future`` as before, inside or after the training times of their series, and the grid
+    times between the last training time and the first row after it as gap: a recursive forecast passes through them.
+
+    Series without training rows have part null; repeated rows stay.
+    """
+    span = train.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
+    joined = future.select(*keys, ts).join(span, list(keys), "left") if keys else future.select(ts).crossJoin(F.broadcast(span))  # one row
+    t = F.col(ts)
+    placed = joined.withColumn("part", F.when(t < F.col("_a"), "before").when(t <= F.col("_b"), "inside").when(t > F.col("_b"), "after"))
+    first = placed.filter("part = 'after'").groupBy(*keys, "_b").agg(F.min(ts).alias("_first"))
+    step = F.expr(f"interval {interval}")
+    gap = first.filter(F.col("_b") + step < F.col("_first")).select(*keys, F.explode(F.sequence(F.col("_b") + step, F.col("_first"), step)).alias(ts), "_first")
+    return placed.select(*keys, ts, "part").unionByName(gap.filter(t < F.col("_first")).select(*keys, ts, F.lit("gap").alias("part")))

@@ -149,3 +149,48 @@ f AS (SELECT 'dow_hr' AS config, te.series, te.y, coalesce(m.f, o.f) AS f FROM t
 UNION ALL SELECT 'hour', te.series, te.y, coalesce(m.f, o.f) FROM te JOIN o USING (series, back) LEFT JOIN (SELECT series, back, h, avg(y) AS f FROM tr GROUP BY ALL) m USING (series, back, h)
 UNION ALL SELECT 'hour_weekend', te.series, te.y, coalesce(m.f, o.f) FROM te JOIN o USING (series, back) LEFT JOIN (SELECT series, back, h, we, avg(y) AS f FROM tr GROUP BY ALL) m USING (series, back, h, we))
 SELECT config, series, round(avg(abs(y - f)), 6) AS "MAE", round(sqrt(avg((y - f) ** 2)), 6) AS "RMSE", round(CASE WHEN min(abs(y) + abs(f)) > 0 THEN avg(100 * abs(y - f) / (abs(y) + abs(f))) END, 6) AS "sMAPE" FROM f GROUP BY 1, 2"""
+
+
+@query("rank_scaled", "SELECT l_orderkey, l_linenumber, round(percent_rank() OVER (ORDER BY l_extendedprice), 9) AS price_rank, round(percent_rank() OVER (ORDER BY l_quantity), 9) AS quantity_rank FROM lineitem")
+def _(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price_rank"), F.col("l_quantity").cast("double").alias("quantity_rank"))
+    return rounded(clean.scale_features(li, ["price_rank", "quantity_rank"], "QuantileTransformer"), 9)
+
+
+@query("significant_digits", "WITH a AS (SELECT l_suppkey, avg(l_extendedprice)::DOUBLE AS x FROM lineitem GROUP BY 1), s AS (SELECT *, pow(10.0, greatest(2 - floor(log10(abs(x)))::INTEGER - 1, 0)::DOUBLE) AS k2, pow(10.0, greatest(7 - floor(log10(abs(x)))::INTEGER - 1, 0)::DOUBLE) AS k7 FROM a) SELECT l_suppkey, round(x * k2) / k2 AS two, round(round(x * k7) / k7, 6) AS seven FROM s")
+def _(spark, d):
+    a = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg(F.col("l_extendedprice").cast("double")).alias("x"))
+    return a.select("l_suppkey", cal.round_significant(F.col("x"), 2).alias("two"), F.round(cal.round_significant(F.col("x"), 7), 6).alias("seven"))
+
+
+def _zone_sql(table_name: str, ts: str, zone: str) -> str:
+    ahead = "date_diff('second', timezone('UTC', timezone('{z}', {t})), {t})"
+    at = {k: ahead.format(z=zone, t=t) for k, t in {"now": "t", "jan": "make_timestamp(year(t), 1, 1, 0, 0, 0)", "jul": "make_timestamp(year(t), 7, 1, 0, 0, 0)"}.items()}
+    return f"WITH x AS (SELECT date_trunc('day', {ts})::TIMESTAMP + INTERVAL 12 HOUR AS t, count(*) AS n FROM {table_name} GROUP BY 1) SELECT t AS ts, n, {at['now']}::BIGINT AS ahead, {at['now']} > least({at['jan']}, {at['jul']}) AS dst FROM x"
+
+
+@query("zone_dst_orders", _zone_sql("orders", "o_orderdate", "America/New_York"))
+def _(spark, d):
+    o = table(spark, d, "orders").groupBy((F.date_trunc("DAY", "o_orderdate").cast("timestamp_ntz") + F.expr("interval 12 hours")).alias("ts")).agg(F.count("*").alias("n"))
+    return o.select("ts", "n", cal.utc_offset_seconds(F.col("ts"), "America/New_York").alias("ahead"), cal.zone_dst(F.col("ts"), "America/New_York").alias("dst"))
+
+
+@query("zone_dst_south", _zone_sql("events", "ts", "Australia/Sydney"))
+def _(spark, d):
+    e = table(spark, d, "events").groupBy((F.date_trunc("DAY", "ts").cast("timestamp_ntz") + F.expr("interval 12 hours")).alias("ts")).agg(F.count("*").alias("n"))
+    return e.select("ts", "n", cal.utc_offset_seconds(F.col("ts"), "Australia/Sydney").alias("ahead"), cal.zone_dst(F.col("ts"), "Australia/Sydney").alias("dst"))
+
+
+@query(
+    "partition_future",
+    f"""WITH {OD}, n AS (SELECT series, ts, row_number() OVER w AS i, count(*) OVER (PARTITION BY series) AS c FROM od WINDOW w AS (PARTITION BY series ORDER BY ts)),
+    tr AS (SELECT series, min(ts) AS a, max(ts) AS b FROM n WHERE i > 10 AND i <= c - 40 GROUP BY 1), fu AS (SELECT series, ts FROM n WHERE i <= 20 OR i > c - 30 OR (i > c - 50 AND i <= c - 40)),
+    p AS (SELECT series, ts, CASE WHEN ts < a THEN 'before' WHEN ts <= b THEN 'inside' WHEN ts > b THEN 'after' END AS part, b FROM fu LEFT JOIN tr USING (series)),
+    g AS (SELECT series, b, min(ts) AS f FROM p WHERE part = 'after' GROUP BY 1, 2), e AS (SELECT series, f, unnest(generate_series(b + INTERVAL 1 DAY, f, INTERVAL 1 DAY)) AS ts FROM g)
+    SELECT series, ts, part FROM p UNION ALL SELECT series, ts, 'gap' FROM e WHERE ts < f""",
+)
+def _(spark, d):
+    w = Window.partitionBy("series")
+    n = orders_daily(spark, d).withColumns({"i": F.row_number().over(w.orderBy("ts")), "c": F.count("*").over(w)})
+    train, future = n.filter("i > 10 AND i <= c - 40"), n.filter("i <= 20 OR i > c - 30 OR (i > c - 50 AND i <= c - 40)")
+    return timegrid.partition_future(train, future, "1 day", K)

@@ -6,6 +6,7 @@ The column names and categories are fixed values: results are told apart by them
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -85,3 +86,14 @@ def split_by_patterns(names: list[str], patterns: dict[str, str]) -> tuple[dict[
         out[group] = [n for n in left if re.match(pattern, n)]
         left = [n for n in left if n not in out[group]]
     return out, left
+
+
+def columns_of_type(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> list[str]:
+    """Columns whose simple type name (before any bracket) is among ``include`` (empty: any) and not among ``exclude``."""
+    kinds = [(c, t.split("(")[0].split("<")[0]) for c, t in df.dtypes]
+    return [c for c, t in kinds if (not include or t in include) and t not in exclude]
+
+
+def reorder(df: DataFrame, rank: dict[str, float]) -> DataFrame:
+    """Columns by ascending rank; those without one come last, in the order they had."""
+    return df.select(*sorted(df.columns, key=lambda c: rank.get(c, float("inf"))))
