@@ -722,6 +722,20 @@ def test_mixing(spark):
 # ---- all
 
 
+def test_mixing_many_sources_gives_the_same(spark, monkeypatch):
+    """Where sources are too many to be broadcast, the join by source and bucket gives the same rows."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "b", "b", "c", None])) for k in range(300)] + [(7, "w w", "b"), (900, None, "z"), (None, "x y", None)]
+    df = make(spark, rows, "doc_id long, text string, source string")
+
+    def seen():
+        return Counter(tuple(r) for r in mixing.mix_sources(df, bucket_rows=20).collect())
+
+    narrow = seen()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert seen() == narrow and sum(narrow.values()) == len(rows)
+
+
 def test_every_operator_is_registered():
     from tidewater.llm.queries import ORACLE_SQL, QUERIES
 

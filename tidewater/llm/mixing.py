@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a bucket of a source that the sample aims at.
 BUCKET_ROWS = 2000
-#: Up to so many sources (one row of sums each) are broadcast; more are joined by shuffles, where Spark splits hot ones.
+#: Up to so many sources (one row of sums each) are broadcast; more are joined by source and bucket.
 BROADCAST_SOURCES = 20_000
 
 
@@ -90,15 +90,20 @@ def mix_sources(
     tie = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     keyed = base.withColumn("_key", key).withColumn("_bucket", bucket)
     # sources are few as a rule; where they are, texts needn't be dealt by source, which a hot one would make uneven
-    few = F.broadcast if base.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else lambda df: df
-    edge = keyed.join(few(ends), F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    narrow = base.select(source_col).distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    edge = keyed.join(F.broadcast(ends) if narrow else ends, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     edge = edge.select("_s", "_b", "_left", "_key", word_count(F.col(text_col)).alias("size"), tie.alias("_tie")).groupBy("_s", "_b", "_left", "_key", "size", "_tie").agg(F.count("*").alias("_same"))
     before = F.coalesce(F.sum(F.col("size") * F.col("_same")).over(Window.partitionBy("_s").orderBy("_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = edge.withColumn("_before", before).filter((F.col("_before") <= F.col("_left")) & (F.col("_left") < F.col("_before") + F.col("size") * F.col("_same")))
     edge = edge.select(F.col("_s").alias("_e"), F.struct("_b", "_key", "size", "_tie").alias("_edge"), F.floor((F.col("_left") - F.col("_before")) / F.col("_same")).alias("_part"))
     plan = sources.withColumnRenamed("source", "_s").join(edge, F.col("_s").eqNullSafe(F.col("_e")), "left").select("_s", "source_size", "target", "_whole", "_rest", "_edge", "_part")
 
-    joined = sized.join(few(plan), F.col(source_col).eqNullSafe(F.col("_s")))
+    same = F.col(source_col).eqNullSafe(F.col("_s"))
+    if narrow:
+        joined = sized.join(F.broadcast(plan), same)
+    else:  # by source and bucket: a hot source is spread over its buckets
+        spread = plan.join(buckets.select(F.col("source").alias("_p"), F.col("_bucket").alias("_pb")), F.col("_s").eqNullSafe(F.col("_p")))
+        joined = sized.join(spread, same & (F.col("_bucket") == F.col("_pb")))
     here, end = F.struct("_bucket", "_key", "size"), F.struct("_edge._b", "_edge._key", "_edge.size")
     at_edge = F.when(tie < F.col("_edge._tie"), F.col("size")).when(tie == F.col("_edge._tie"), F.col("_part")).otherwise(0)
     part = F.when(F.col("_edge").isNull(), F.when(F.col("_rest") > 0, F.col("size")).otherwise(0)).when(here < end, F.col("size")).when(here == end, at_edge).otherwise(0)
