@@ -95,6 +95,27 @@ def test_tiles_match_brute_force(seed):
     assert abs(sum(n for *_, n in tiles) - brute_tiles(doc, item, 3)) <= 3
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_seeded_pairs_match_tiling_of_all_pairs(seed):
+    rng = random.Random(seed)
+    some = [f"w{k}" for k in range(9)]
+    items = [(k, " ".join(rng.choices(some, k=rng.randint(0, 14)))) for k in range(40)]
+    texts = [" ".join(rng.choices(some, k=rng.randint(0, 60))) for _ in range(25)] + [items[3][1], items[5][1] + " x " + items[6][1], ""]
+    seeds = decontaminate.Seeds(items, 4, 0.6)
+    got = {}
+    for a, _, h, first in decontaminate.words(pa.array(texts), words_only=True):
+        got |= {(a + row, item): (n, size) for row, item, n, size in seeds.matches(h, first)}
+    want = {}
+    for r, text in enumerate(texts):
+        for i, item in items:
+            x, y = text.split(), item.split()
+            number = {w: k for k, w in enumerate({*x, *y})}
+            n = sum(m for *_, m in decontaminate.greedy_tiles([number[w] for w in x], [number[w] for w in y], min(4, len(y)))) if y else 0
+            if y and n >= 0.6 * len(y):
+                want[r, i] = (n, len(y))
+    assert got == want
+
+
 def test_leaks_in_any_order(spark):
     item = [f"q{k}" for k in range(20)]
     mixed = item[10:15] + ["x"] + item[:10] + ["y"] + item[15:]

@@ -87,56 +87,67 @@ def greedy_tiles(doc: list[int], item: list[int], min_match: int) -> list[tuple[
 
 
 class Seeds:
-    """Seed hashes of a part of the benchmark, sorted, with the items and positions behind each."""
+    """Seed hashes of a part of the benchmark, sorted, with the items and positions behind each, in flat arrays."""
 
     def __init__(self, items: list[tuple[int, str]], min_match: int, threshold: float):
         self.min_match, self.threshold = min_match, threshold
         self.ids = [i for i, _ in items]
-        self.tokens: list[np.ndarray] = []
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        col = pa.array([t for _, t in items], pa.string())
-        for a, b, h, first in words(col, words_only=True):
-            for k in range(b - a):
-                own = h[first[k] : first[k + 1]]
-                self.tokens.append(own)
-                n = min(min_match, len(own))
-                for pos, g in enumerate(grams(own, n).tolist() if n else []):
-                    at[n][g].append((a + k, pos))
-        self.by_length = {n: (np.array(sorted(x), U), [x[g] for g in sorted(x)]) for n, x in at.items()}
+        tokens, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for _, _, h, first in words(pa.array([t for _, t in items], pa.string()), words_only=True):
+            tokens.append(h)
+            sizes.append(np.diff(first))
+        self.tokens, size = np.concatenate(tokens), np.concatenate(sizes)
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        #: Length of a seed: its hashes (sorted, distinct), the first entry of each, and the entries' items and positions.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({int(x) for x in np.minimum(size[size > 0], min_match)}):
+            which = np.flatnonzero(np.minimum(size, min_match) == n)
+            item = np.repeat(which, size[which] - n + 1).astype(np.int32)
+            pos = (np.arange(len(item)) - np.repeat(np.cumsum(size[which] - n + 1) - (size[which] - n + 1), size[which] - n + 1)).astype(np.int32)
+            g = grams(self.tokens, n)[self.first[item] + pos]
+            by = np.argsort(g, kind="stable")
+            seeds, start = np.unique(g[by], return_index=True)
+            self.by_length[n] = seeds, np.append(start, len(by)), item[by], pos[by]
 
     def matches(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, item id, matched tokens, tokens of the item) of the rows' pairs whose tiles reach the threshold."""
-        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        for n, (sorted_seeds, behind) in self.by_length.items():
+        for n, (seeds, start, items, positions) in self.by_length.items():
             g = grams(h, n)
             if not len(g):
                 continue
-            at = np.minimum(np.searchsorted(sorted_seeds, g), len(sorted_seeds) - 1)
-            hits = np.flatnonzero((sorted_seeds[at] == g) & (row_of[: len(g)] == row_of[n - 1 :]))
-            for p in hits.tolist():
-                for item, pos in behind[at[p]]:
-                    found[int(row_of[p]), item].append((p, pos))
-        for (row, item), seeds in found.items():
-            tokens = self.tokens[item]
-            n = min(self.min_match, len(tokens))
-            covered = np.zeros(len(tokens) + 1, bool)
-            for _, pos in seeds:
-                covered[pos : pos + n] = True
-            if covered[:-1].sum() < self.threshold * len(tokens):  # tiles cover no more than seeds do
+            at = np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)
+            hits = np.flatnonzero((seeds[at] == g) & (row_of[: len(g)] == row_of[n - 1 :]))
+            if not len(hits):
                 continue
-            # segments of the document under the item's seeds, apart by a token that occurs nowhere else
-            starts = sorted({p for p, _ in seeds})
-            segment, last, gap = [], -1, -1
-            for p in starts:
-                if p > last and segment:
-                    segment.append(gap)
-                    gap -= 1
-                segment += h[max(p, last) : p + n].tolist()
-                last = p + n
-            matched = sum(t[2] for t in greedy_tiles(segment, tokens.tolist(), n))
-            if matched >= self.threshold * len(tokens):
-                yield row, self.ids[item], matched, len(tokens)
+            many = start[at[hits] + 1] - start[at[hits]]
+            entry = np.repeat(start[at[hits]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            p, item, pos = np.repeat(hits, many), items[entry], positions[entry]
+            by = np.lexsort((pos, item, row_of[p]))
+            p, item, pos = p[by], item[by], pos[by]
+            row = row_of[p]
+            new = np.ones(len(p), bool)
+            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+            pair = np.flatnonzero(new)
+            # tokens of the item that lie under its seeds: each adds n, or as far as the next one of the pair
+            ahead = np.full(len(p), n)
+            ahead[:-1][~new[1:]] = np.minimum(pos[1:] - pos[:-1], n)[~new[1:]]
+            under = np.add.reduceat(ahead, pair)
+            ends = np.append(pair[1:], len(p))
+            for k in np.flatnonzero(under >= self.threshold * (self.first[item[pair] + 1] - self.first[item[pair]])):  # tiles cover no more than seeds do
+                own = item[pair[k]]
+                tokens = self.tokens[self.first[own] : self.first[own + 1]].tolist()
+                # segments of the document under the item's seeds, apart by a token that occurs nowhere else
+                segment, last, gap = [], -1, -1
+                for q in np.unique(p[pair[k] : ends[k]]).tolist():
+                    if q > last and segment:
+                        segment.append(gap)
+                        gap -= 1
+                    segment += h[max(q, last) : q + n].tolist()
+                    last = q + n
+                matched = sum(t[2] for t in greedy_tiles(segment, tokens, n))
+                if matched >= self.threshold * len(tokens):
+                    yield int(row[pair[k]]), self.ids[own], matched, len(tokens)
 
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, threshold: float) -> Iterator[Seeds]:
