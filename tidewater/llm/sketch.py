@@ -39,6 +39,7 @@ HASHES = 3
 CELLS, GROW = 12, 4
 #: Bytes of text of one range of ids; a task works on one range.
 RANGE_BYTES = 8 << 20
+WEIGHT_BYTES = 1024
 _CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")])
 
 
@@ -157,13 +158,15 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Fingerprints of every text and of its edited version, and likenesses to that and to the next document.
 
     The next document is the one with the next smaller id; null ids come last, then the first again; rows of one id follow
-    by text. Documents are dealt into ranges of ids by quantiles; each range also gets a copy of the first document of the
-    range after it, so that nothing else crosses ranges.
+    by text. Documents are dealt into ranges of ids of about as many bytes by quantiles; each range also gets a copy of the
+    first document of the range after it, so that nothing else crosses ranges.
     """
     docs = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes(docs, text_col) // RANGE_BYTES))
-    edges = np.array(sorted(set(docs.stat.approxQuantile(id_col, [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else [], np.int64)
+    # an id counts once for every WEIGHT_BYTES of its text, so that ranges are even in bytes
+    weighed = docs.select(F.explode(F.array_repeat(id_col, (F.octet_length(text_col) / WEIGHT_BYTES + 1).cast("int"))).alias("id"))
+    edges = np.array(sorted(set(weighed.stat.approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else [], np.int64)
     sent = spark.sparkContext.broadcast(edges)  # one number per RANGE_BYTES of text
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +175,18 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             # range 0 has the largest ids, the last one null ids
             at = len(sent.value) - np.searchsorted(sent.value, ids.fill_null(0).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(known, at, len(sent.value) + 1), pa.int32())], names=[id_col, text_col, "range"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(known, at, len(sent.value) + 1), pa.int32())], names=[*batch.schema.names, "range"])
 
-    ranged = docs.mapInArrow(deal, T.StructType([*docs.schema, T.StructField("range", T.IntegerType())]))
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(deal, T.StructType([*rows.schema, T.StructField("range", T.IntegerType())]))
+
+    ranged = dealt(docs)
     order = F.struct(F.coalesce(-F.col(id_col), F.lit(0)).alias("o"), F.col(text_col))
     heads = ranged.groupBy("range").agg(F.min(order).alias("head"))
-    by_range = Window.orderBy("range")  # one row per range
-    to = F.coalesce(F.lag("range").over(by_range), F.max("range").over(Window.partitionBy()))
-    guests = heads.select(F.lit(None).cast(docs.schema[id_col].dataType).alias(id_col), F.col(f"head.{text_col}").alias(text_col), to.alias("range"), F.lit(True).alias("guest"))
+    # one number per range, no texts
+    to = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy()))
+    numbers = dealt(docs.select(id_col)).select("range").distinct().select("range", to.alias("to"))
+    guests = heads.join(numbers, "range").select(F.lit(None).cast(docs.schema[id_col].dataType).alias(id_col), F.col(f"head.{text_col}").alias(text_col), F.col("to").alias("range"), F.lit(True).alias("guest"))
 
     def work(table: pa.Table) -> pa.Table:
         ids, texts, guest = table.column(id_col).to_pylist(), table.column(text_col).to_pylist(), table.column("guest").to_pylist()
