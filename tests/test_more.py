@@ -143,3 +143,18 @@ def test_future_parts(spark):
     next_day = timegrid.partition_future(train.drop("series"), future.filter("series = 'a'").drop("series").filter(F.col("ts") < F.lit(day(12))), "1 day")
     assert next_day.filter("part = 'gap'").count() == 0 and next_day.count() == 2
     assert timegrid.partition_future(train, future.limit(0), "1 day", ["series"]).count() == 0
+
+
+def test_prediction_scale_and_partial_ridge(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 45))
+    names = [f"x{k}" for k in range(45)]
+    df = spark.createDataFrame([(*map(float, r), float(r[0] + rng.normal())) for r in x], ", ".join(f"{n} double" for n in names) + ", y double")
+    columns = {"Intercept": F.lit(1.0)} | {n: F.col(n) for n in names}
+    g = regression.gram(df, columns, F.col("y"))
+    fit = regression.fit_ols(g)
+    full = np.column_stack([np.ones(60), x])
+    want = np.sqrt(1 + np.einsum("ij,jk,ik->i", full, np.linalg.inv(full.T @ full), full))
+    got = [r.s for r in df.select(regression.prediction_scale(columns, g, fit).alias("s")).collect()]
+    assert np.allclose(sorted(got), sorted(want), rtol=1e-6)
+    assert np.allclose(regression.fit_partial(g, l2=names, l2_alpha=7.0).beta[1:], np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + 7 * np.eye(45), (x - x.mean(0)).T @ np.array([r.y for r in df.select("y").collect()])), atol=1e-5)

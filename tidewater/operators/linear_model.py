@@ -141,7 +141,7 @@ def fitted_values(model: LinearModel, ts: str = TIME, value: str = VALUE) -> Dat
 def _finish(df: DataFrame, model: LinearModel) -> DataFrame:
     if model.ci is None:
         return df
-    scale = prediction_scale(model.design.columns, model.gram, model.fit) if model.gram is not None and len(model.design.columns) <= 40 else None
+    scale = prediction_scale(model.design.columns, model.gram, model.fit) if model.gram is not None else None
     return intervals.with_bounds(intervals.apply_intervals(df, model.ci, FORECAST, scale, model.spec.lower, model.spec.upper))
 
 

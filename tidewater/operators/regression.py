@@ -299,11 +299,11 @@ def fit_adaptive_lasso(g: Gram, initial: np.ndarray | None = None, strength: flo
 
 
 def fit_partial(g: Gram, l1: Sequence[str] = (), l1_alpha: float = 0.0, l2: Sequence[str] = (), l2_alpha: float = 0.0) -> Fit:
-    """Some coefficients with an L1 penalty, some with L2, the others free."""
+    """Some coefficients with an L1 penalty on the mean loss, some with L2 on the summed loss, as lasso and ridge have them; the others free."""
     rest, xx, xy, mx, my = _centred(g)
     names = [g.names[k] for k in rest]
     a = np.array([l1_alpha if n in l1 else 0.0 for n in names])
-    b = np.array([l2_alpha if n in l2 else 0.0 for n in names])
+    b = np.array([l2_alpha / g.n if n in l2 else 0.0 for n in names])
     return Fit(g.names, _from_centred(g, rest, coordinate_descent(xx, xy, a, b), mx, my), l1_alpha, {"l2_alpha": l2_alpha})
 
 
@@ -494,14 +494,23 @@ def prediction_scale(columns: dict[str, Column], g: Gram, fit: Fit) -> Column:
     """sqrt(1 + x'Hx): how much wider a new row's interval is than the residuals', as a column."""
     a = np.linalg.pinv(g.xx + _penalty(g.names, fit.alpha), hermitian=True)
     h = a @ g.xx @ a
-    names = list(columns)
-    total = F.lit(0.0)
-    for i in range(len(names)):
-        inner = F.lit(0.0)
-        for j in range(len(names)):
-            if h[i, j]:
-                inner = inner + F.lit(float(h[i, j])) * columns[names[j]]
-        total = total + columns[names[i]] * inner
+    # H = RR', so that x'Hx adds up (r'x)^2: one array of numbers, and no expression per pair of columns
+    size, vectors = np.linalg.eigh((h + h.T) / 2)
+    keep = size > max(size.max(initial=0.0), 0.0) * 1e-15
+    roots = (vectors[:, keep] * np.sqrt(size[keep])).T
+    if not len(roots):
+        return F.lit(1.0)
+    rows = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in r) + ")" for r in roots.tolist()) + ")")
+    x = F.array(*[columns[k].cast("double") for k in g.names])
+
+    def length(v: Column) -> Column:
+        def add(so_far: Column, r: Column) -> Column:
+            dot = F.aggregate(F.zip_with(r, v, lambda p, q: p * q), F.lit(0.0), lambda a, b: a + b)
+            return so_far + dot * dot
+
+        return F.aggregate(rows, F.lit(0.0), add)
+
+    total = F.transform(F.array(x), length)[0]  # the columns are computed once a row
     return F.sqrt(1 + F.greatest(total, F.lit(0.0)))
 
 
