@@ -2,6 +2,7 @@
 
 from tidewater.llm.classifier import op3_quality_classifier
 from tidewater.llm.decontaminate import op1_decontaminate
+from tidewater.llm.exact_dedup import OP11_SQL, op11_exact_dedup
 from tidewater.llm.html_text import op2_html_extraction
 from tidewater.llm.jaccard_join import op7_jaccard_join
 from tidewater.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_pii": op9_pii,
     "op10_mix_sources": op10_mix_sources,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL, "op11_exact_dedup": OP11_SQL}
