@@ -1,5 +1,6 @@
 """Registered queries of the corpus operators, and SQL where it can express them."""
 
+from tidewater.llm.alignment import op13_align_tokenizers
 from tidewater.llm.classifier import op3_quality_classifier
 from tidewater.llm.decontaminate import op1_decontaminate
 from tidewater.llm.exact_dedup import OP11_SQL, op11_exact_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_mix_sources": op10_mix_sources,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_align_tokenizers": op13_align_tokenizers,
 }
 
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL, "op11_exact_dedup": OP11_SQL}
