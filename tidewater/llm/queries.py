@@ -2,6 +2,7 @@
 
 from tidewater.llm.alignment import op13_align_tokenizers
 from tidewater.llm.classifier import op3_quality_classifier
+from tidewater.llm.collocations import OP12_SQL, op12_collocations
 from tidewater.llm.decontaminate import op1_decontaminate
 from tidewater.llm.exact_dedup import OP11_SQL, op11_exact_dedup
 from tidewater.llm.html_text import op2_html_extraction
@@ -25,7 +26,8 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_mix_sources": op10_mix_sources,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_collocations": op12_collocations,
     "op13_align_tokenizers": op13_align_tokenizers,
 }
 
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL, "op11_exact_dedup": OP11_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op10_mix_sources": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_collocations": OP12_SQL}
