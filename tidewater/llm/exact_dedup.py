@@ -7,11 +7,13 @@ stands for a text. Stretches end between characters and grow ``growth``-fold, so
 log(n / first) rounds, and only as long as another text starts with the same bytes.
 
 Groups are counted where they lie before anything is shuffled. Documents then meet the counts of their part by a join;
-parts with over a thousandth of all documents (a thousand at most) are dealt over several tasks there.
+parts with over a thousandth of all documents (a thousand at most) are dealt over several tasks there. The join is a
+merge at every size, so that its cost grows in proportion.
 
 Defined results: null text counts as empty, and empty texts are equal; null ids are smaller than all others; rows that
 repeat both id and text are one document and share ``kept``, of which ``drop_copies`` leaves one row; an empty table
-gives an empty one; other columns stay, those named like a result or in the way of the internal ones are replaced.
+gives an empty one; other columns stay, save that
+``radix_groups`` replaces those named like its results.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST, GROWTH = 64, 16
 #: A part with more than this share of the documents is dealt over tasks, so at most its inverse of parts are.
 HOT = 1 / 1000
-_GROUP, _HEAD, _ENDED, _SALT, _PART = "__group", "__head", "__ended", "__salt", "__part"
+_GROUP, _HEAD, _ENDED, _SALT, _PART, _N, _KEEP = "__group", "__head", "__ended", "__salt", "__part", "__n", "__keep"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -38,7 +40,7 @@ def _salted(rows: DataFrame, parts: DataFrame, most: int, id_col: str) -> tuple[
     """Rows with a salt, and parts once for every salt that their rows can have."""
     named = F.xxhash64(_GROUP, _HEAD, _ENDED)
     # a part here has over ``most`` rows: by count there are 1 / HOT of them at most
-    hot = F.broadcast(parts.filter(F.col("n") > most).groupBy(named.alias(_PART + "_h")).agg((F.max("n") / most).cast("int").alias(_SALT + "s")))
+    hot = F.broadcast(parts.filter(F.col(_N) > most).groupBy(named.alias(_PART + "_h")).agg((F.max(_N) / most).cast("int").alias(_SALT + "s")))
     spread = F.coalesce(F.col(_SALT + "s"), F.lit(0))
     rows = rows.join(hot, named == F.col(_PART + "_h"), "left").withColumn(_SALT, F.pmod(F.xxhash64(id_col) + F.spark_partition_id(), spread + 1).cast("int"))
     parts = parts.join(hot, named == F.col(_PART + "_h"), "left").withColumn(_SALT, F.explode(F.sequence(F.lit(0), spread)))
@@ -50,7 +52,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The tables can be freed once the result has been written.
     """
-    docs = docs.drop("keep_id", "group_size", "kept", _GROUP, _HEAD, _ENDED, _SALT, _PART)
+    docs = docs.drop("keep_id", "group_size", "kept", _GROUP, _HEAD, _ENDED, _SALT, _PART, _N, _KEEP)
     columns = docs.columns
     most = max(1, int(docs.count() * HOT))
     start, width, live, done, tables = 0, first, docs.withColumn(_GROUP, F.lit(0).cast("long")), [], []
@@ -58,14 +60,14 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         text = text_of(live, text_col)
         # a stretch is counted in characters, so that no character is torn; equal bytes are equal characters
         rows = live.withColumn(_HEAD, ascii_lower(F.substring(text, start + 1, width))).withColumn(_ENDED, F.char_length(text) <= start + width)
-        counted = rows.groupBy(_GROUP, _HEAD, _ENDED).agg(F.count(F.lit(1)).alias("n"), F.max(id_col).alias("keep_id")).filter(F.col("n") > 1)
+        counted = rows.groupBy(_GROUP, _HEAD, _ENDED).agg(F.count(F.lit(1)).alias(_N), F.max(id_col).alias(_KEEP)).filter(F.col(_N) > 1)
         # numbered as it is written: a part keeps its number whatever is computed again later
         parts = cut(counted.withColumn(_PART, F.monotonically_increasing_id()), "exact-parts")
         tables.append(parts)
         salted, spread = _salted(rows, parts, most, id_col)
-        met = salted.join(spread, [_GROUP, _HEAD, _ENDED, _SALT], "left")
+        met = salted.join(spread.hint("merge"), [_GROUP, _HEAD, _ENDED, _SALT], "left")
         out = met.filter(F.col(_PART).isNull() | F.col(_ENDED))
-        done.append(out.select(*columns, F.when(F.col(_PART).isNull(), F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size")))
+        done.append(out.select(*columns, F.when(F.col(_PART).isNull(), F.col(id_col)).otherwise(F.col(_KEEP)).alias("keep_id"), F.coalesce(_N, F.lit(1)).cast("long").alias("group_size")))
         if parts.filter(~F.col(_ENDED)).isEmpty():
             break
         live = cut(met.filter(F.col(_PART).isNotNull() & ~F.col(_ENDED)).select(*columns, F.col(_PART).alias(_GROUP)), "exact-open")
@@ -79,13 +81,13 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without exact copies: of equal texts the one with the largest id stays, in one row."""
-    columns = docs.columns
-    found, tables = radix_groups(docs, id_col, text_col)
-    alone = found.filter(F.col("group_size") == 1)
+    # a row travels whole, so that no name in it can clash
+    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    found, tables = radix_groups(packed, "id", "text")
+    alone = found.filter(F.col("group_size") == 1).select("row.*")
     # rows of one id and text are combined where they lie; any of them serves
-    tied = found.filter(F.col("kept") & (F.col("group_size") > 1)).withColumn(_HEAD, ascii_lower(text_of(found, text_col)))
-    one = tied.groupBy(id_col, _HEAD).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
-    out = cut(alone.select(*columns).unionByName(one.select(*columns)), "exact-kept")
+    tied = found.filter(F.col("kept") & (F.col("group_size") > 1)).withColumn("norm", ascii_lower(text_of(found)))
+    out = cut(alone.unionByName(tied.groupBy("id", "norm").agg(F.first("row").alias("row")).select("row.*")), "exact-kept")
     free(*tables)
     return out
 
