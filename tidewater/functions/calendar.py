@@ -63,29 +63,30 @@ def is_dst(ts: Column, zone: str = "us") -> Column:
     return year.between(first, 2079) & ts.between(start, end)
 
 
-def time_features(ts: Column | str = TIME, origin: float | Column = 0.0) -> dict[str, Column]:
-    """All calendar features by name; ``origin`` is the decimal year at which trends are 0."""
+def time_features(ts: Column | str = TIME, origin: float | Column = 0.0, names: Sequence[str] | None = None) -> dict[str, Column]:
+    """Calendar features by name (all by default); ``origin`` is the decimal year at which trends are 0."""
     t = F.col(ts) if isinstance(ts, str) else ts
-    leap, tod, doy = is_leap(t), time_of_day(t), F.dayofyear(t)
-    year, dow = F.year(t), F.weekday(t) + 1
-    quarter_start = F.to_date(F.date_trunc("QUARTER", t))
-    quarter_length = F.date_diff(F.add_months(quarter_start, 3), quarter_start)
-    month_length = F.dayofmonth(F.last_day(t))
-    dom, doq = F.dayofmonth(t), F.date_diff(F.to_date(t), quarter_start) + 1
-    woy, year_iso = F.weekofyear(t), F.extract(F.lit("YEAROFWEEK"), t)
-    monday_week = F.floor((doy + 7 - dow) / 7)
-    str_dow = F.concat(dow.cast("string"), F.lit("-"), F.date_format(t, "EEE"))
-    ct = continuous_year(t) - origin
-    frozen = F.when(leap & (doy > 60), 1).otherwise(0)
-    return {
-        "datetime": t,
-        "date": F.to_date(t),
+    # every feature is a recipe: only those asked for become expressions
+    leap, tod, doy = (lambda: is_leap(t)), (lambda: time_of_day(t)), (lambda: F.dayofyear(t))
+    year, dow = (lambda: F.year(t)), (lambda: F.weekday(t) + 1)
+    quarter_start = lambda: F.to_date(F.date_trunc("QUARTER", t))
+    quarter_length = lambda: F.date_diff(F.add_months(quarter_start(), 3), quarter_start())
+    month_length = lambda: F.dayofmonth(F.last_day(t))
+    dom, doq = (lambda: F.dayofmonth(t)), (lambda: F.date_diff(F.to_date(t), quarter_start()) + 1)
+    woy, year_iso = (lambda: F.weekofyear(t)), (lambda: F.extract(F.lit("YEAROFWEEK"), t))
+    monday_week = lambda: F.floor((doy() + 7 - dow()) / 7)
+    str_dow = lambda: F.concat(dow().cast("string"), F.lit("-"), F.date_format(t, "EEE"))
+    ct = lambda: continuous_year(t) - origin
+    frozen = lambda: F.when(leap() & (doy() > 60), 1).otherwise(0)
+    every = {
+        "datetime": lambda: t,
+        "date": lambda: F.to_date(t),
         "year": year,
-        "year_length": F.when(leap, 366.0).otherwise(365.0),
-        "quarter": F.quarter(t),
+        "year_length": lambda: F.when(leap(), 366.0).otherwise(365.0),
+        "quarter": lambda: F.quarter(t),
         "quarter_start": quarter_start,
         "quarter_length": quarter_length,
-        "month": F.month(t),
+        "month": lambda: F.month(t),
         "month_length": month_length,
         "woy": woy,
         "doy": doy,
@@ -93,43 +94,43 @@ def time_features(ts: Column | str = TIME, origin: float | Column = 0.0) -> dict
         "dom": dom,
         "dow": dow,
         "str_dow": str_dow,
-        "str_doy": F.date_format(t, "yyyy-MM-dd"),
-        "hour": F.hour(t),
-        "minute": F.minute(t),
-        "second": F.floor(F.second(t)).cast("int"),
-        "year_quarter": F.concat_ws("-", year.cast("string"), F.quarter(t).cast("string")),
-        "year_month": F.date_format(t, "yyyy-MM"),
-        "year_woy": F.concat_ws("_", year.cast("string"), _pad(woy)),
-        "month_dom": F.date_format(t, "MM/dd"),
-        "year_woy_dow": F.concat_ws("_", year.cast("string"), _pad(woy), dow.cast("string")),
-        "woy_dow": F.concat_ws("_", _pad(monday_week), dow.cast("string")),
-        "dow_hr": F.concat_ws("_", dow.cast("string"), F.date_format(t, "HH")),
-        "dow_hr_min": F.concat_ws("_", dow.cast("string"), F.date_format(t, "HH"), F.date_format(t, "mm")),
+        "str_doy": lambda: F.date_format(t, "yyyy-MM-dd"),
+        "hour": lambda: F.hour(t),
+        "minute": lambda: F.minute(t),
+        "second": lambda: F.floor(F.second(t)).cast("int"),
+        "year_quarter": lambda: F.concat_ws("-", year().cast("string"), F.quarter(t).cast("string")),
+        "year_month": lambda: F.date_format(t, "yyyy-MM"),
+        "year_woy": lambda: F.concat_ws("_", year().cast("string"), _pad(woy())),
+        "month_dom": lambda: F.date_format(t, "MM/dd"),
+        "year_woy_dow": lambda: F.concat_ws("_", year().cast("string"), _pad(woy()), dow().cast("string")),
+        "woy_dow": lambda: F.concat_ws("_", _pad(monday_week()), dow().cast("string")),
+        "dow_hr": lambda: F.concat_ws("_", dow().cast("string"), F.date_format(t, "HH")),
+        "dow_hr_min": lambda: F.concat_ws("_", dow().cast("string"), F.date_format(t, "HH"), F.date_format(t, "mm")),
         "year_iso": year_iso,
-        "year_woy_iso": F.concat_ws("_", year_iso.cast("string"), _pad(woy)),
-        "year_woy_dow_iso": F.concat_ws("_", year_iso.cast("string"), _pad(woy), dow.cast("string")),
+        "year_woy_iso": lambda: F.concat_ws("_", year_iso().cast("string"), _pad(woy())),
+        "year_woy_dow_iso": lambda: F.concat_ws("_", year_iso().cast("string"), _pad(woy()), dow().cast("string")),
         "tod": tod,
-        "tow": dow - 1 + tod / 24,
-        "tom": (dom - 1 + tod / 24) / month_length,
-        "toq": (doq - 1 + tod / 24) / quarter_length,
-        "toy": (doy - 1 - frozen + tod / 24 * F.when(leap & (doy == 60), 0).otherwise(1)) / 365.0,
-        "conti_year": continuous_year(t),
-        "is_weekend": dow.isin(6, 7),
-        "dow_grouped": F.when(dow <= 4, "1234-MTuWTh").otherwise(str_dow),
+        "tow": lambda: dow() - 1 + tod() / 24,
+        "tom": lambda: (dom() - 1 + tod() / 24) / month_length(),
+        "toq": lambda: (doq() - 1 + tod() / 24) / quarter_length(),
+        "toy": lambda: (doy() - 1 - frozen() + tod() / 24 * F.when(leap() & (doy() == 60), 0).otherwise(1)) / 365.0,
+        "conti_year": lambda: continuous_year(t),
+        "is_weekend": lambda: dow().isin(6, 7),
+        "dow_grouped": lambda: F.when(dow() <= 4, "1234-MTuWTh").otherwise(str_dow()),
         "ct1": ct,
-        "ct2": signed_power(ct, 2.0),
-        "ct3": signed_power(ct, 3.0),
-        "ct_sqrt": signed_power(ct, 0.5),
-        "ct_root3": signed_power(ct, 1 / 3),
-        "us_dst": is_dst(t, "us"),
-        "eu_dst": is_dst(t, "eu"),
+        "ct2": lambda: signed_power(ct(), 2.0),
+        "ct3": lambda: signed_power(ct(), 3.0),
+        "ct_sqrt": lambda: signed_power(ct(), 0.5),
+        "ct_root3": lambda: signed_power(ct(), 1 / 3),
+        "us_dst": lambda: is_dst(t, "us"),
+        "eu_dst": lambda: is_dst(t, "eu"),
     }
+    return {k: every[k]() for k in (names or every)}
 
 
-def add_time_features(df: DataFrame, names: Sequence[str] | None = None, ts: str = TIME, origin: float = 0.0) -> DataFrame:
+def add_time_features(df: DataFrame, names: Sequence[str] | None = None, ts: str = TIME, origin: float | Column = 0.0) -> DataFrame:
     """Append calendar features (all by default) in one projection."""
-    every = time_features(ts, origin)
-    return df.withColumns({k: every[k] for k in (names or every)})
+    return df.withColumns(time_features(ts, origin, names))
 
 
 def fourier_name(k: int, col: str, function: str, seasonality: str | None = None) -> str:
