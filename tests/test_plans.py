@@ -74,7 +74,33 @@ def test_the_best_configuration_by_metric():
         best_of([{"config": 0, "mean": None}], "MAPE")
 
 
-def test_keys_are_not_ignored(spark):
-    with pytest.raises(ValueError, match="one series"):
-        Forecaster().run(series(spark, [T0]), ForecastConfig(metadata=Metadata(keys=["k"])))
+def test_period_ends():
     assert api.at_period_end("ME") and not api.at_period_end("MS")
+
+
+def test_many_series_in_one_run(spark):
+    one = series(spark, [T0 + dt.timedelta(k) for k in range(90)])
+    both = one.withColumn("k", F.lit("a")).unionByName(series(spark, [T0 + dt.timedelta(k) for k in range(75)]).withColumns({"k": F.lit("b"), "y": F.col("y") * 3 + 5}))
+    config = ForecastConfig(template=PLAIN, horizon=5, evaluation=Evaluation(test_horizon=5, cv_max_splits=2, cv_horizon=5, metric="MAE"), components=ModelComponents(custom={"grid": {"growth": ["ct1", ""]}}))
+    keyed = ForecastConfig(**{**config.__dict__, "metadata": Metadata(keys=["k"])})
+    got, alone = Forecaster().run(both, keyed), Forecaster().run(one, config)
+    assert got.forecast.groupBy("k").count().collect() and got.forecast.count() == 10 and got.backtest.count() == 10
+    mine = {r.ts: r.forecast for r in got.forecast.filter("k = 'a'").collect()}
+    if got.settings["growth"] == alone.settings["growth"]:
+        assert all(abs(mine[r.ts] - r.forecast) < 1e-6 for r in alone.forecast.collect())
+    assert {r.k for r in got.scores.collect()} == {"a", "b"} and len(got.search) == 2 and all(len(r["scores"]) == 2 for r in got.search)
+    with pytest.raises(ValueError, match="with keys"):
+        Forecaster().run(both, ForecastConfig(template=PLAIN, horizon=5, metadata=Metadata(keys=["k"]), components=ModelComponents(custom={"algorithm": "rf"})))
+
+
+def test_search_scores_equal_single_fits(spark):
+    df = series(spark, [T0 + dt.timedelta(k) for k in range(80)])
+    config = ForecastConfig(template=PLAIN, horizon=4, evaluation=Evaluation(cv_max_splits=3, metric="RMSE"), components=ModelComponents(custom={"grid": {"growth": ["ct1", ""], "autoreg": [None, {"orders": [1, 2]}]}}))
+    found = Forecaster().run(df, config).search
+    assert len(found) == 4
+    from tidewater.operators.evaluation import rolling_splits
+
+    splits = rolling_splits(80, 4, None, 4, 0, True, 3)
+    for r in found:
+        for score, (train, test) in zip(r["scores"], splits, strict=True):
+            assert score == pytest.approx(Forecaster()._score(df, r["settings"], "1 day", 86400, 80, train, test, "RMSE"), rel=1e-6)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tidewater.functions.calendar import add_time_features, continuous_year
 from tidewater.operators import intervals, lags, linear_model
 from tidewater.operators.linear_model import ModelSpec
-from tidewater.operators.regression import Fit, Gram, _penalty, fit_adaptive_lasso, fit_elastic_net, fit_lasso, fit_lasso_cv, fit_ols, fit_ridge, fit_ridge_cv
+from tidewater.operators.regression import Design, Fit, Gram, _penalty, fit_adaptive_lasso, fit_elastic_net, fit_lasso, fit_lasso_cv, fit_ols, fit_ridge, fit_ridge_cv
 from tidewater.schema import ERR_STD, FORECAST, QUANTILES, TIME, VALUE
 from tidewater.staging import staged, unstage
 
@@ -34,6 +34,8 @@ _ORIGIN, _FIRST, _LAST, _KNOWN = "_origin", "_first", "_last", "_known"
 #: Parts of the training time that penalties are chosen on.
 FOLDS = 5
 _OLS = ("ols", "linear", "statsmodels_ols", "wls", "statsmodels_wls")
+#: Algorithms that are fitted from sums of products.
+ALGORITHMS = (*_OLS, "ridge", "lasso", "lasso_lars", "lars", "elastic_net", "sgd", "adaptive_lasso")
 
 
 @dataclass
@@ -54,6 +56,17 @@ class SeriesModels:
     def names(self) -> list[str]:
         return list(self.columns)
 
+    @property
+    def design(self) -> Design:
+        """The columns before scaling."""
+        return Design(VALUE, self.columns)
+
+    @property
+    def ci(self) -> intervals.IntervalModel | None:
+        """The residual distributions, where the models have them."""
+        u = self.spec.uncertainty or {}
+        return None if self.fallback is None else intervals.IntervalModel(self.slices, self.fallback, list(u.get("by", ())), list(u.get("quantiles", (0.025, 0.975))))
+
     def coefficients(self) -> DataFrame:
         """(keys, term, estimate): coefficients of the scaled columns."""
         named = F.arrays_zip(F.array(*[F.lit(n) for n in self.names]).alias("term"), F.col("beta").alias("estimate"))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import metrics
-from tidewater.operators import changepoints, clean, detect, events, evaluation, labels, lags, linear_model, seasonality, timegrid
+from tidewater.operators import changepoints, clean, detect, events, evaluation, labels, lags, linear_model, rolling_search, seasonality, series_models, timegrid
 from tidewater.plans import templates
 from tidewater.plans.config import DetectionConfig, ForecastConfig
-from tidewater.schema import ACTUAL, FORECAST, TIME, VALUE, simple_frequency
+from tidewater.schema import ACTUAL, FORECAST, TIME, VALUE, finite, simple_frequency
+from tidewater.staging import staged, unstage
 
 _UNITS = {"S": (1, "second"), "min": (1, "minute"), "H": (1, "hour"), "h": (1, "hour"), "D": (1, "day"), "W": (7, "day"), "M": (1, "month"), "MS": (1, "month"), "ME": (1, "month"), "QS": (3, "month"), "QE": (3, "month"), "YS": (1, "year"), "YE": (1, "year")}
 #: Metrics of which more is better; of all others less is.
@@ -70,14 +72,18 @@ def with_components(settings: dict, components) -> dict:
 
 @dataclass
 class ForecastResult:
-    """What a run gives: the model, its forecast, the backtest with metrics, and the scores of all configurations."""
+    """What a run gives: the model, its forecast, the backtest with metrics (over all series), and the scores of all configurations.
 
-    model: linear_model.LinearModel
+    ``scores`` has the metrics of the backtest by series, where there are keys.
+    """
+
+    model: linear_model.LinearModel | series_models.SeriesModels
     forecast: DataFrame
     backtest: DataFrame
     metrics: dict[str, float]
     search: list[dict] = field(default_factory=list)
     settings: dict = field(default_factory=dict)
+    scores: DataFrame | None = None
 
 
 def best_of(search: list[dict], metric: str) -> dict:
@@ -89,21 +95,42 @@ def best_of(search: list[dict], metric: str) -> dict:
     return min(known, key=lambda r: (side * r["mean"], r["config"]))
 
 
+def _one_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of one series, whose frequency stands for all."""
+    if not keys:
+        return df
+    first = df.select(*keys).filter(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)) == F.lit(False)).limit(1)
+    return df.join(F.broadcast(first), keys)
+
+
+def canonical_series(df: DataFrame, interval: str, keys: list[str], train_end: object = None, regressors: list[str] | tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """Many series in canonical form (first row of a time, gaps filled, infinities null), and their rows up to the last value or ``train_end``."""
+    single = timegrid.dedupe_keep_first(df.withColumn("_at", F.monotonically_increasing_id()), ["_at"], keys).drop("_at")
+    full = timegrid.fill_gaps(single, interval, keys).withColumn(VALUE, finite(VALUE))
+    last = full.filter(F.col(VALUE).isNotNull()).groupBy(*keys).agg(F.max(TIME).alias("_end"))
+    fit = full.join(last, keys).filter(F.col(TIME) <= F.col("_end")).drop("_end")
+    return full, fit if train_end is None else fit.filter(F.col(TIME) <= F.lit(train_end).cast("timestamp_ntz"))
+
+
 class Forecaster:
-    """Canonical data, templates to settings, choice by rolling origins, backtest, final fit and forecast of one series.
+    """Canonical data, templates to settings, choice by rolling origins, backtest, final fit and forecast of one series or many.
 
-    For many series at once use the operators with keys (similarity_forecast, lag_forecast, fit_many).
+    Series of ``metadata.keys`` go through the same jobs: each has a model of its own; they share the configuration (the
+    best on average over all series) and automatic changepoints (those of their mean). The number of Spark jobs depends on
+    neither series, splits nor configurations. Algorithms that aren't fitted from sums of products (quantile regression,
+    gamma, trees) run for one series, a split after the other.
     """
 
     def __init__(self, countries: tuple[str, ...] = ("US", "GB", "IN", "FR", "DE")):
         self.countries = countries
 
-    def _spec(self, settings: dict, df: DataFrame, interval: str, seconds: float, days: float, horizon: int, coverage: float | None) -> tuple[linear_model.ModelSpec, DataFrame | None]:
+    def _spec(self, settings: dict, df: DataFrame, interval: str, seconds: float, days: float, horizon: int, coverage: float | None, keys: tuple = ()) -> tuple[linear_model.ModelSpec, DataFrame | None]:
         spark = df.sparkSession
         orders = {k: n for k, n in settings["seasonality"].items() if days >= seasonality.COMPONENTS[k].min_days}
         points: list = []
         if settings.get("changepoints") and days >= 60:
             c = settings["changepoints"]
+            df = df.groupBy(TIME).agg(F.avg(VALUE).alias(VALUE)) if keys else df
             if c["method"] == "custom":
                 points = list(c["dates"])
             elif c["method"] == "uniform":
@@ -111,7 +138,7 @@ class Forecaster:
             else:
                 points = changepoints.trend_changepoints(df, 20, min(8, orders.get("yearly", 0)), c.get("freq", "7D") if seconds <= 86400 else None, c["strength"], skip_last_days=min(90, days / 5))
         said = settings.get("events") or {}
-        table, keys = None, []
+        table, event_keys = None, []
         if settings.get("holiday_days") is not None and seconds <= 86400:
             span = df.agg(F.year(F.min(TIME)).alias("a"), F.year(F.max(TIME)).alias("b")).first()
             named = events.holidays(spark, said.get("countries", self.countries), span.a, span.b + 1)
@@ -119,11 +146,11 @@ class Forecaster:
             separate = [] if settings.get("holidays_together") else said["holidays"] if isinstance(said.get("holidays"), list) else _HOLIDAYS
             width, bare = settings["holiday_days"], [*(events.key_of(h) for h in separate), "Other"]
             table = events.expand_window(events.event_keys(named, separate), width, width)
-            keys = [k + side for k in bare for side in ("", *(f"_{s}_{n}" for s in ("minus", "plus") for n in range(1, width + 1)))]
+            event_keys = [k + side for k in bare for side in ("", *(f"_{s}_{n}" for s in ("minus", "plus") for n in range(1, width + 1)))]
         if said.get("daily"):
             own = spark.createDataFrame([(k, d, "event") for k, dates in said["daily"].items() for d in dates], "event_key string, date string, event_name string").withColumn("date", F.to_date("date"))
             table = own if table is None else table.unionByName(own)
-            keys = [*keys, *said["daily"]]
+            event_keys = [*event_keys, *said["daily"]]
         auto = settings.get("autoreg")
         if auto and not isinstance(auto, dict):
             auto = lags.auto_lags(seconds / 86400, horizon, False)
@@ -133,7 +160,7 @@ class Forecaster:
             u = {"by": ["dow_hr"] if seconds <= 3600 else [], "quantiles": ((1 - coverage) / 2, (1 + coverage) / 2)} | settings.get("uncertainty", {})
         more = {k: settings[k] for k in ("lower", "upper", "drop_terms", "regressors", "lagged_regressors") if settings.get(k) is not None}
         params = settings.get("params", {"alpha": 1.0} if settings["algorithm"] == "ridge" else {})
-        spec = linear_model.ModelSpec(settings["growth"], points, orders, keys, auto, extra_terms=[*terms, *settings.get("extra_terms", [])], algorithm=settings["algorithm"], params=params, uncertainty=u, interval=interval, **more)
+        spec = linear_model.ModelSpec(settings["growth"], points, orders, event_keys, auto, extra_terms=[*terms, *settings.get("extra_terms", [])], algorithm=settings["algorithm"], params=params, uncertainty=u, interval=interval, **more)
         return spec, table
 
     def run(self, df: DataFrame, config: ForecastConfig) -> ForecastResult:
@@ -141,19 +168,23 @@ class Forecaster:
 
         Periods that are named by their last day are handled by the first day of the next, a calendar step apart.
         """
-        meta, ev = config.metadata, config.evaluation
-        if meta.keys:
-            raise ValueError("one series at a time; with keys use similarity_forecast, lag_forecast or fit_many")
+        meta, ev, keys = config.metadata, config.evaluation, list(config.metadata.keys)
         columns = [*config.components.regressors.get("columns", []), *config.components.lagged_regressors]
-        base = df.select(F.col(meta.time_col).cast("timestamp_ntz").alias(TIME), F.col(meta.value_col).cast("double").alias(VALUE), *dict.fromkeys(columns))
-        freq = meta.freq or timegrid.infer_frequency(base)
+        base = df.select(*keys, F.col(meta.time_col).cast("timestamp_ntz").alias(TIME), F.col(meta.value_col).cast("double").alias(VALUE), *dict.fromkeys(columns))
+        freq = meta.freq or timegrid.infer_frequency(_one_of(base, keys))
         interval, ends = interval_of(freq), at_period_end(freq)
         if ends:
             base = base.withColumn(TIME, F.col(TIME) + F.expr("interval 1 day"))
-        canonical = timegrid.canonicalise(base, interval, train_end=meta.train_end, regressors=columns)
-        fit_df = canonical.fit_df
-        stats = timegrid.history_days(fit_df).first()
-        seconds, days, n = stats.period, stats.num_training_days, stats.data_points
+        if keys:
+            full, fit_df = canonical_series(base, interval, keys, meta.train_end, columns)
+        else:
+            canonical = timegrid.canonicalise(base, interval, train_end=meta.train_end, regressors=columns)
+            full, fit_df = canonical.df, canonical.fit_df
+        full, fit_df = (staged(x, "canonical") for x in (full, fit_df))
+        sizes = timegrid.history_days(fit_df, keys)
+        # the shortest series bounds the splits, the longest has the seasons
+        stats = sizes.agg(F.min("period").alias("period"), F.max("num_training_days").alias("days"), F.min("data_points").alias("n")).first()
+        seconds, days, n = stats.period, stats.days, stats.n
         horizon = config.horizon or timegrid.default_horizon(seconds, n)
         cv_horizon = ev.cv_horizon or horizon
         step = ev.periods_between_splits or cv_horizon
@@ -162,13 +193,19 @@ class Forecaster:
         grid = config.components.custom.get("grid", {})
         # the grid has the last word
         choices = [with_components(c, config.components) | {k: c[k] for k in grid} for c in templates.expand(names, grid)]
+        summed = all(c["algorithm"] in series_models.ALGORITHMS for c in choices)
+        if keys and not summed:
+            raise ValueError("with keys every algorithm has to be one of " + ", ".join(series_models.ALGORITHMS))
         search = []
         if len(choices) > 1:
             splits = evaluation.rolling_splits(n, cv_horizon, ev.cv_min_train, step, ev.periods_between_train_test, ev.cv_expanding, ev.cv_max_splits)
-            for k, s in enumerate(choices):
-                scores = [self._score(fit_df, s, interval, seconds, days, train, test, ev.metric) for train, test in splits]
-                known = [x for x in scores if x is not None]
-                search.append({"config": k, "settings": s, "scores": scores, "mean": sum(known) / len(known) if known else None})
+            if summed:
+                scores = self._search(fit_df, choices, interval, seconds, days, cv_horizon, rolling_search.splits_from_end(splits, n, ev.cv_expanding), ev.metric, keys)
+            else:
+                scores = [[self._score(fit_df, s, interval, seconds, days, train, test, ev.metric) for train, test in splits] for s in choices]
+            for k, own in enumerate(scores):
+                known = [x for x in own if x is not None]
+                search.append({"config": k, "settings": choices[k], "scores": own, "mean": sum(known) / len(known) if known else None})
             best = best_of(search, ev.metric)["settings"]
         else:
             best = choices[0]
@@ -176,22 +213,40 @@ class Forecaster:
         test_n = ev.test_horizon if ev.test_horizon is not None else min(horizon, n // 5)
         if test_n >= n:
             raise ValueError(f"a test part of {test_n} rows leaves none of {n} for training")
-        split = timegrid.train_test_split(fit_df, test_n)
+        split = timegrid.train_test_split(fit_df, test_n, keys)
         train, test = split.filter("not is_test").drop("is_test"), split.filter("is_test").drop("is_test")
-        back = self._forecast(train, test.drop(VALUE), best, interval, seconds, days, test_n, config.coverage)
-        backtest = back.join(test.withColumnRenamed(VALUE, ACTUAL), TIME)
+        spec, table = self._spec(best, fit_df, interval, seconds, days, horizon, config.coverage, keys)
+        if summed:
+            past, past_table = self._spec(best, train, interval, seconds, days, test_n, config.coverage, keys) if best.get("changepoints") else (spec, table)
+            earlier = series_models.fit_series(train, past, keys, past_table)
+            back = staged(series_models.predict_series(earlier, test.drop(VALUE)).drop("part"), "backtest")
+            earlier.free()
+            model = series_models.fit_series(fit_df, spec, keys, table)
+            future = series_models.future_of(model, horizon)
+        else:
+            back = self._forecast(train, test.drop(VALUE), best, interval, seconds, days, test_n, config.coverage)
+            model = linear_model.fit_linear(fit_df, spec, table)
+            future = linear_model.future_rows(df.sparkSession, model, horizon)
+        backtest = back.join(test.select(*keys, TIME, F.col(VALUE).alias(ACTUAL)), [*keys, TIME])
         found = metrics.evaluate(backtest).first().asDict() if test_n else {}
         if test_n and ev.agg_periods:
-            found |= {f"{k}_agg": v for k, v in metrics.evaluate_preaggregated(backtest, ev.agg_periods).first().asDict().items()}
-        spec, table = self._spec(best, fit_df, interval, seconds, days, horizon, config.coverage)
-        model = linear_model.fit_linear(fit_df, spec, table)
-        future = linear_model.future_rows(df.sparkSession, model, horizon)
+            found |= {f"{k}_agg": v for k, v in metrics.evaluate_preaggregated(backtest, ev.agg_periods, keys=keys).agg(*[F.avg(m).alias(m) for m in ("MAE", "RMSE")]).first().asDict().items()}
         if columns:
-            future = future.join(canonical.df.drop(VALUE), TIME, "left")
-        forecast = linear_model.predict_linear(model, future)
+            future = future.join(full.drop(VALUE), [*keys, TIME], "left")
+        forecast = series_models.predict_series(model, future).drop("part") if summed else linear_model.predict_linear(model, future)
         if ends:
             forecast, backtest = (x.withColumn(TIME, F.col(TIME) - F.expr("interval 1 day")) for x in (forecast, backtest))
-        return ForecastResult(model, forecast, backtest, found, search, best)
+        return ForecastResult(model, forecast, backtest, found, search, best, metrics.evaluate(backtest, keys) if keys and test_n else None)
+
+    def _search(self, df, choices, interval, seconds, days, horizon, splits, metric, keys) -> list[list[float | None]]:
+        """Scores of all configurations and splits (the mean over series), from one search."""
+        made = [self._spec(c, df, interval, seconds, days, horizon, None, keys) for c in choices]
+        tables = [t for _, t in made if t is not None]
+        table = reduce(DataFrame.unionByName, tables).distinct() if tables else None
+        scores = rolling_search.rolling_scores(df, [s for s, _ in made], splits, keys, table, [metric])
+        found = {(r.config, r.split): r.m for r in scores.groupBy("config", "split").agg(F.avg(metric).alias("m")).collect()}  # configurations x splits
+        unstage(scores)
+        return [[found.get((k, j)) for j in range(len(splits))] for k in range(len(choices))]
 
     def _forecast(self, train, rows, settings, interval, seconds, days, horizon, coverage):
         spec, table = self._spec(settings, train, interval, seconds, days, horizon, coverage)
@@ -227,7 +282,7 @@ class AnomalyDetector:
         known = clean.adjust_intervals(full, merged, [VALUE])
         result = Forecaster().run(known.select(TIME, VALUE), self.forecast_config)
         self.model = result.model
-        fitted = linear_model.fitted_values(result.model).select(TIME, FORECAST)
+        fitted = (series_models.fitted_series if isinstance(result.model, series_models.SeriesModels) else linear_model.fitted_values)(result.model).select(TIME, FORECAST)
         truth = clean.adjust_intervals(full.withColumnRenamed(VALUE, ACTUAL), merged if anomalies is None else anomalies, [], label="is_anomaly")
         rows = self._features(truth.join(fitted, TIME).filter(F.col(ACTUAL).isNotNull()))
         c = self.detection
@@ -245,7 +300,7 @@ class AnomalyDetector:
         """New rows, after the training rows, with forecast, band, z-score and label."""
         meta = self.forecast_config.metadata
         rows = df.select(F.col(meta.time_col).cast("timestamp_ntz").alias(TIME), F.col(meta.value_col).cast("double").alias(ACTUAL))
-        f = linear_model.predict_linear(self.model, rows.select(TIME)).select(TIME, FORECAST)
+        f = (series_models.predict_series if isinstance(self.model, series_models.SeriesModels) else linear_model.predict_linear)(self.model, rows.select(TIME)).select(TIME, FORECAST)
         return self.detector.predict(self._features(rows.join(f, TIME)))
 
     def intervals(self, df: DataFrame) -> DataFrame:

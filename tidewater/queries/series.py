@@ -123,3 +123,55 @@ def _(spark, d):
     stages = [multistage.Stage(ols(growth="ct1"), "D"), multistage.Stage(ols(extra_terms=["C(dow)"]), "D", "21 days"), multistage.Stage(ols(extra_terms=["C(hour)"]), None, "7 days")]
     model = multistage.fit_multistage(train, stages, "1 hour", K)
     return rounded(multistage.predict_multistage(model, test).select("series", "ts", "forecast_0", "forecast_1", "forecast_2", "forecast"), 4)
+
+
+#: Splits by rows from the end: three test days, the last first.
+SEARCH = f"""
+WITH {EG},
+n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC) - 1 AS back,
+             coalesce(y, first_value(y IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM eg),
+l AS (SELECT *, lag(v, 24) OVER (PARTITION BY series ORDER BY ts) AS x0 FROM n),
+s AS (SELECT unnest([0, 1, 2]) AS split),
+tr AS (SELECT l.*, split, coalesce(x0, min(x0) OVER (PARTITION BY series, split)) AS x FROM l, s WHERE back >= 24 * (split + 1)),
+te AS (SELECT l.*, split FROM l, s WHERE back >= 24 * split AND back < 24 * (split + 1) AND y IS NOT NULL),
+h AS (SELECT series, split, hour(ts) AS h, avg(y) AS f FROM tr GROUP BY ALL),
+d AS (SELECT series, split, isodow(ts) AS d, avg(y) AS f FROM tr GROUP BY ALL),
+r AS (SELECT series, split, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM tr WHERE y IS NOT NULL GROUP BY ALL),
+p AS (
+  SELECT te.series, te.split, 0 AS config, y, f FROM te JOIN h ON h.series = te.series AND h.split = te.split AND h.h = hour(te.ts)
+  UNION ALL SELECT te.series, te.split, 1, y, f FROM te JOIN d ON d.series = te.series AND d.split = te.split AND d.d = isodow(te.ts)
+  UNION ALL SELECT te.series, te.split, 2, y, a + b * x0 FROM te JOIN r ON r.series = te.series AND r.split = te.split)
+SELECT series, config::INT AS config, split::INT AS split, round(avg(abs(y - f)), 4) AS "MAE", round(sqrt(avg((y - f) ^ 2)), 4) AS "RMSE" FROM p GROUP BY series, config, split
+"""
+
+
+@query("rolling_search", SEARCH)
+def _(spark, d):
+    """Hours, weekdays or the value a day before: errors on three test days of each series."""
+    from tidewater.operators import rolling_search
+
+    grid = timegrid.fill_gaps(events_hourly(spark, d), "1 hour", K)
+    specs = [ols(extra_terms=["C(hour)"]), ols(extra_terms=["C(dow)"]), ols(autoreg={"orders": [24]})]
+    splits = [rolling_search.Split(24 * k, 24, 24 * (k + 1)) for k in range(3)]
+    return rounded(rolling_search.rolling_scores(grid, specs, splits, K), 4)
+
+
+@query("forecaster_by_status")
+def _(spark, d):
+    """The entry point over order statuses as keys: automatic template, search over rolling origins, backtest and forecast."""
+    from tidewater.plans.api import Forecaster
+    from tidewater.plans.config import ForecastConfig, Metadata
+
+    config = ForecastConfig(horizon=30, metadata=Metadata(keys=["series"], freq="D"))
+    return rounded(Forecaster().run(orders_daily(spark, d), config).forecast.select("series", "ts", "forecast", "forecast_lower", "forecast_upper"), 4)
+
+
+@query("forecaster_five_minutes")
+def _(spark, d):
+    """The entry point on a month of five-minute sums of all events."""
+    from tidewater.plans.api import Forecaster
+    from tidewater.plans.config import ForecastConfig, Metadata
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    bins = e.groupBy(F.window("ts", "5 minutes").start.cast("timestamp_ntz").alias("ts")).agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("y"))
+    return rounded(Forecaster().run(bins, ForecastConfig(horizon=12, metadata=Metadata(freq="5min"))).forecast.select("ts", "forecast", "forecast_lower", "forecast_upper"), 4)
