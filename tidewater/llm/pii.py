@@ -6,14 +6,15 @@ its own shape (digits as 9, letters as a). What else such patterns go with, amon
 numbers with separators, addresses with a spelt-out at) but that no rule matches, are instances to be judged.
 Patterns and instances form a graph with one row per edge, which Spark scores in rounds:
 
-    pattern:  sum of the scores of its instances, each as often as it goes with it / occurrences of the pattern in the corpus
+    pattern:  how often it goes with accepted instances / occurrences of the pattern in the corpus
               (of its words; of a shape: among strings that look like identifiers)
-    instance: 1 for seeds, else 1 - product over its patterns of (1 - score)
+    instance: 1 for seeds, else 1 - product over the patterns of its words of (1 - score)
 
 so that words which mostly don't stand beside identifiers score low, however many seeds they go with. A pattern takes part
 once ``MIN_SEEDS`` distinct accepted instances of one kind go with it. Seeds are accepted from the start, and others
 in the round after they reach ``MIN_SCORE``: so new instances bring new patterns, for ``ROUNDS`` rounds.
-Patterns that reach ``MIN_SCORE`` then mark whatever identifier-like string they go with, as their kind. The rounds run on
+Words that reach ``MIN_SCORE`` then mark whatever identifier-like string they stand beside, as their kind; a shape neither marks
+nor brings in a string, as the base rules have just turned it down. The rounds run on
 Spark tables of all patterns; executors are sent only those that reach the score. Base spans are never changed.
 
 Defined results: null text is empty; extra spans never overlap base spans or each other; without seeds there are none, nor in an
@@ -241,7 +242,7 @@ def learn_patterns(texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
     counts = context_counts(texts, enough.filter(~F.col("shape")))
     n = F.when(F.col("shape"), F.col("links")).otherwise(F.greatest(F.coalesce("n", F.lit(0)), "links"))
     sized = enough.join(counts, "pattern", "left").select("pattern", n.alias("n"))
-    graph = cut(edges.select("pattern", "instance", "kind", "c").join(sized, "pattern"), "graph")
+    graph = cut(edges.select("pattern", "instance", "kind", "shape", "c").join(sized, "pattern"), "graph")
     free(edges, enough)
     # what is accepted: (instance, of); seeds stand for their own kind only
     seeds = graph.filter("kind >= 0").select("instance", F.col("kind").alias("of"), F.lit(1.0).alias("score")).distinct()
@@ -252,8 +253,9 @@ def learn_patterns(texts: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
         scored = known.groupBy("pattern", "of", "n").agg(F.count_distinct("instance").alias("seeds"), (F.sum(F.col("score") * F.col("c")) / F.col("n")).alias("p")).filter(F.col("seeds") >= min_seeds)
         best = scored.groupBy("pattern").agg(F.max(F.struct("p", "seeds", -F.col("of"))).alias("b")).select("pattern", (-F.col("b.col3")).alias("of"), F.least("b.p", F.lit(1.0)).alias("p"))
         patterns = cut(best, "patterns")
-        found = graph.filter("kind < 0").join(patterns, "pattern").groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("score")).filter(F.col("score") >= min_score)
-        accepted = cut(seeds.unionByName(found), "accepted")
+        # no rule took such a string: its words are judged, its shape isn't
+        found = graph.filter((F.col("kind") < 0) & ~F.col("shape")).join(patterns, "pattern").groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("score")).filter(F.col("score") >= min_score)
+        accepted = cut(seeds.unionByName(found.withColumn("score", F.lit(1.0))), "accepted")
     return {r.pattern: r.of for r in patterns.filter(F.col("p") >= min_score).collect()}
 
 
@@ -272,7 +274,7 @@ def find_pii(docs: DataFrame, patterns: dict[int, int], id_col: str = "doc_id",
                 every = base
                 if sent.value and (likely := likely_spans(text, base)):
                     keys = _pattern_keys(text, likely)
-                    every = sorted([*base, *((a, of[0], b) for (a, b), own in zip(likely, keys, strict=True) if (of := [sent.value[p] for p in own if p in sent.value]))])
+                    every = sorted([*base, *((a, of[0], b) for (a, b), own in zip(likely, keys, strict=True) if (of := [sent.value[p] for p in own[:-1] if p in sent.value]))])
                 digests.append(hashlib.sha256(",".join(f"{KINDS[n]}:{a}:{b}" for a, n, b in base).encode()).hexdigest())
                 spans.append(",".join(f"{KINDS[n]}:{a}:{b}" for a, n, b in every))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts.T.copy()), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[id_col, *(f"n_{x}" for x in KINDS), "base_sha256", "spans"])
