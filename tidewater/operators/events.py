@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.schema import TIME, VALUE
+from tidewater.staging import staged
 
 REGULAR = ""
 #: Rules of public holidays by country. (month, day), (month, weekday from Monday 0, nth; -1 last) or days from Easter.
@@ -221,6 +222,31 @@ def group_events(averages: DataFrame, n_clusters: int = 5, seed: int = 1) -> Dat
     return clustered.join(means.select("_c", "group"), "_c").drop("_c")
 
 
+def group_by_density(averages: DataFrame, keys: Sequence[str] = (), bandwidth: float | None = None, multiplier: float = 0.2) -> DataFrame:
+    """Adds group: events of similar effect, cut at 0 and at the valleys of the effects' density, numbered from 0 for the lowest.
+
+    The density (Gaussian kernels) is looked at where events are: an effect whose density is below that of both its
+    neighbours is a valley, and belongs to the group below. Without ``bandwidth`` it is 0.9 min(deviation, quartile
+    range / 1.34) n^(-1/5) of the distinct effects times ``multiplier``; where that is 0 only 0 cuts. A series' effects are
+    one array: as many numbers as it has kinds of events. Events without an effect have no group.
+    """
+    # effects are compared with cuts that are effects themselves: both have to be the same numbers
+    averages = staged(averages, "effects")
+    score = F.col("avg_score").cast("double")
+    distinct = averages.filter(score.isNotNull()).select(*keys, score.alias("_s")).distinct()
+    spread = F.least(F.stddev_pop("_s"), (F.percentile("_s", F.lit(0.75)) - F.percentile("_s", F.lit(0.25))) / 1.34)
+    rule = F.lit(float(bandwidth)) if bandwidth is not None else 0.9 * spread * F.pow(F.count("*"), F.lit(-0.2)) * multiplier
+    shape = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_x"), F.nullif(rule, F.lit(0.0)).alias("_h"))
+    density = F.transform("_x", lambda x: F.aggregate("_x", F.lit(0.0), lambda a, y: a + F.exp(-0.5 * F.pow((x - y) / F.col("_h"), F.lit(2.0)))))
+    shape = shape.withColumn("_d", density)
+    low = lambda x, i: (i > 0) & (i < F.size("_x") - 1) & (F.get("_d", i) < F.get("_d", i - 1)) & (F.get("_d", i) < F.get("_d", i + 1))
+    shape = shape.withColumn("_cuts", F.array_union(F.filter("_x", low), F.array(F.lit(0.0)))).select(*keys, "_cuts")
+    met = averages.join(shape, list(keys)) if keys else averages.crossJoin(F.broadcast(shape))  # one row
+    part = F.when(score.isNotNull(), F.size(F.filter("_cuts", lambda c: c < score)))
+    own = Window.partitionBy(*keys, score.isNull()).orderBy("_part")
+    return met.withColumn("_part", part).withColumn("group", F.when(F.col("_part").isNotNull(), F.dense_rank().over(own) - 1)).drop("_part", "_cuts")
+
+
 def event_terms(keys: Sequence[str]) -> Iterator[str]:
     for k in keys:
         yield f"events_{k}"

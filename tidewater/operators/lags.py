@@ -89,3 +89,32 @@ def auto_lags(days_per_period: float, horizon: int, simulation: bool) -> dict |
         return {"orders": [1, 2, 3], "sets": [[s, 2 * s, 3 * s]], "intervals": [(1, s), (s + 1, 2 * s)]}
     p = -(-horizon // s) * s
     return {"orders": [horizon, horizon + 1, horizon + 2], "sets": [[p, p + s, p + 2 * s]], "intervals": [(horizon, horizon + s - 1), (horizon + s, horizon + 2 * s - 1)]}
+
+
+def auto_lagged_regressor(days_per_period: float, horizon: int) -> dict | None:
+    """Default lags of a regressor that isn't known ahead: the same place in the first week beyond the horizon, its mean with
+    that of the two weeks before, and the mean of the latest week that is known. None beyond 30 days."""
+    if horizon * days_per_period > 30:
+        return None
+    s = similar_lag(days_per_period)
+    if s is None:
+        return {"orders": [horizon]}
+    p = -(-horizon // s) * s
+    return {"orders": [1 if horizon == 1 else p], "sets": [[p, p + s, p + 2 * s]], "intervals": [(horizon, horizon + s - 1)]}
+
+
+def lagged_correlations(df: DataFrame, regressors: Sequence[str], orders: Sequence[int], keys: Sequence[str] = (), ts: str = TIME, value: str = VALUE) -> DataFrame:
+    """(keys, regressor, lag, n, correlation) of the value with each regressor so many rows before, all from one pass of sums."""
+    pairs = [(r, k) for r in regressors for k in orders]
+    w = Window.partitionBy(*keys).orderBy(ts)
+    lagged = df.select(*keys, F.col(value).cast("double").alias("_y"), *[F.lag(F.col(r).cast("double"), k).over(w).alias(f"_{i}") for i, (r, k) in enumerate(pairs)])
+    both = [(F.count(F.col("_y") + F.col(f"_{i}")), F.corr("_y", f"_{i}")) for i in range(len(pairs))]
+    rows = [F.struct(F.lit(r).alias("regressor"), F.lit(k).alias("lag"), n.alias("n"), c.alias("correlation")) for (r, k), (n, c) in zip(pairs, both, strict=True)]
+    return lagged.groupBy(*keys).agg(F.array(*rows).alias("_r")).select(*keys, F.explode("_r").alias("_r")).select(*keys, "_r.*")
+
+
+def best_lags(correlations: DataFrame, horizon: int, keys: Sequence[str] = (), most: int = 1) -> DataFrame:
+    """Of each series and regressor the ``most`` lags with the largest correlation by size, none shorter than the horizon."""
+    usable = correlations.filter((F.col("lag") >= horizon) & F.col("correlation").isNotNull())
+    w = Window.partitionBy(*keys, "regressor").orderBy(F.abs("correlation").desc(), "lag")
+    return usable.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)

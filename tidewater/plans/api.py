@@ -159,6 +159,10 @@ class Forecaster:
         if coverage:
             u = {"by": ["dow_hr"] if seconds <= 3600 else [], "quantiles": ((1 - coverage) / 2, (1 + coverage) / 2)} | settings.get("uncertainty", {})
         more = {k: settings[k] for k in ("lower", "upper", "drop_terms", "regressors", "lagged_regressors") if settings.get(k) is not None}
+        if "lagged_regressors" in more:
+            # "auto" stands for the usual lags at this horizon; beyond 30 days there are none
+            chosen = {c: lags.auto_lagged_regressor(seconds / 86400, horizon) if t == "auto" else t for c, t in more["lagged_regressors"].items()}
+            more["lagged_regressors"] = {c: t for c, t in chosen.items() if t}
         params = settings.get("params", {"alpha": 1.0} if settings["algorithm"] == "ridge" else {})
         spec = linear_model.ModelSpec(settings["growth"], points, orders, event_keys, auto, extra_terms=[*terms, *settings.get("extra_terms", [])], algorithm=settings["algorithm"], params=params, uncertainty=u, interval=interval, **more)
         return spec, table

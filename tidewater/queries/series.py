@@ -175,3 +175,72 @@ def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     bins = e.groupBy(F.window("ts", "5 minutes").start.cast("timestamp_ntz").alias("ts")).agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("y"))
     return rounded(Forecaster().run(bins, ForecastConfig(horizon=12, metadata=Metadata(freq="5min"))).forecast.select("ts", "forecast", "forecast_lower", "forecast_upper"), 4)
+
+
+LAG_CORR = f"""
+WITH {EG},
+p AS (SELECT ts, max(y) FILTER (WHERE series = 'view') AS x, max(y) FILTER (WHERE series = 'purchase') AS z, max(y) FILTER (WHERE series = 'click') AS y FROM eg GROUP BY ts),
+l AS (SELECT y, r, k, CASE r WHEN 'x' THEN lag(x, k) OVER w ELSE lag(z, k) OVER w END AS v FROM p, unnest(['x', 'z']) AS a(r), unnest([1, 2, 24, 25, 48, 168]) AS b(k) WINDOW w AS (PARTITION BY r, k ORDER BY ts)),
+c AS (SELECT r AS regressor, k::INT AS lag, count(y + v) AS n, corr(y, v) AS c FROM l GROUP BY r, k)
+SELECT regressor, lag, n, round(c, 6) AS correlation, row_number() OVER (PARTITION BY regressor ORDER BY abs(c) DESC, lag)::INT AS rank FROM c WHERE lag >= 24
+"""
+
+
+@query("lagged_regressor_choice", LAG_CORR)
+def _(spark, d):
+    """How clicks of an hour go with views and purchases of earlier hours: lags beyond a day's horizon, best first."""
+    from tidewater.operators import lags
+
+    grid = timegrid.fill_gaps(events_hourly(spark, d), "1 hour", K)
+    one = lambda s: F.max(F.when(F.col("series") == s, F.col("y")))
+    wide = grid.groupBy("ts").agg(one("view").alias("x"), one("purchase").alias("z"), one("click").alias("y"))
+    found = lags.lagged_correlations(wide, ["x", "z"], [1, 2, 24, 25, 48, 168])
+    return rounded(lags.best_lags(found, 24, most=6), 6)
+
+
+GLM = """
+WITH g AS (SELECT (l_returnflag = 'R')::INT AS f, l_extendedprice::DOUBLE AS y FROM lineitem),
+m AS (SELECT avg(y) FILTER (WHERE f = 0) AS m0, avg(y) FILTER (WHERE f = 1) AS m1, count(*) FILTER (WHERE f = 0) AS n0, count(*) FILTER (WHERE f = 1) AS n1 FROM g),
+d AS (SELECT sum((y / CASE f WHEN 1 THEN m1 ELSE m0 END - 1) ^ 2) / (count(*) - 2) AS phi FROM g, m),
+r AS (SELECT 'Intercept' AS term, ln(m0) AS b, sqrt(phi / n0) AS s FROM m, d UNION ALL SELECT 'returned', ln(m1) - ln(m0), sqrt(phi / n0 + phi / n1) FROM m, d)
+SELECT term, round(b, 6) AS estimate, round(s, 6) AS std_err, round(b / s, 4) AS z FROM r
+"""
+
+
+@query("gamma_coefficients", GLM)
+def _(spark, d):
+    """Prices of line items by a gamma model with log link and one indicator: coefficients with errors."""
+    from tidewater.operators import glm
+
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_extendedprice").cast("double").alias("y"), (F.col("l_returnflag") == "R").cast("double").alias("x"))
+    fit = glm.fit_glm(items, {"Intercept": F.lit(1.0), "returned": F.col("x")}, F.col("y"), "gamma")
+    rows = [(r["term"], round(r["estimate"], 6), round(r["std_err"], 6), round(r["z"], 4)) for r in glm.glm_summary(fit)]  # two coefficients
+    return spark.createDataFrame(rows, "term string, estimate double, std_err double, z double")
+
+
+GROUPS = f"""
+WITH {OG},
+e AS (SELECT series, strftime(ts, '%m-%d') AS event_key, avg(y::DECIMAL(18,2)) AS s FROM og GROUP BY ALL),
+o AS (SELECT series, avg(y::DECIMAL(18,2)) AS m FROM og GROUP BY series),
+a AS (SELECT e.series, event_key, e.s - o.m AS avg_score FROM e JOIN o USING (series) WHERE e.s IS NOT NULL),
+x AS (SELECT DISTINCT series, avg_score AS x FROM a),
+h AS (SELECT series, 0.9 * least(stddev_pop(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * count(*) ^ (-0.2) * 0.2 AS h FROM x GROUP BY series),
+d AS (SELECT p.series, p.x, sum(exp(-0.5 * ((p.x - q.x) / h) ^ 2)) AS d FROM x p JOIN x q ON q.series = p.series JOIN h ON h.series = p.series GROUP BY p.series, p.x),
+n AS (SELECT *, lag(d) OVER w AS before, lead(d) OVER w AS after FROM d WINDOW w AS (PARTITION BY series ORDER BY x)),
+c AS (SELECT series, x FROM n WHERE d < before AND d < after UNION SELECT DISTINCT series, 0.0::DOUBLE FROM a),
+r AS (SELECT a.series, event_key, avg_score, count(c.x) FILTER (WHERE c.x < avg_score) AS part FROM a JOIN c ON c.series = a.series GROUP BY ALL)
+SELECT series, event_key, round(avg_score, 2) AS avg_score, (dense_rank() OVER (PARTITION BY series ORDER BY part) - 1)::INT AS "group" FROM r
+"""
+
+
+@query("event_groups_by_density", GROUPS)
+def _(spark, d):
+    """Days of the year by their effect on each order status, grouped at the valleys of the effects' density."""
+    from tidewater.operators import events
+
+    daily = timegrid.fill_gaps(orders_daily(spark, d), "1 day", K)
+    exact = F.avg(F.col("y").cast("decimal(18,2)")).cast("double")
+    overall = daily.groupBy("series").agg(exact.alias("m"))
+    effects = daily.groupBy("series", F.date_format("ts", "MM-dd").alias("event_key")).agg(exact.alias("s")).filter("s is not null")
+    averages = effects.join(overall, "series").select("series", "event_key", (F.col("s") - F.col("m")).alias("avg_score"))
+    return events.group_by_density(averages, K).select("series", "event_key", F.round("avg_score", 2).alias("avg_score"), "group")
