@@ -135,3 +135,32 @@ def test_search_over_series_with_gaps_between_train_and_test(spark):
     assert ("c", 1, 0) in got and ("c", 1, 1) not in got
     best = {q.series: q.config for q in rolling_search.best_configs(scores, "MAE", ["series"]).collect()}
     assert best["a"] == 0
+
+
+def test_detected_times_reach_design_and_components(spark):
+    from tidewater.operators import changepoints, series_models
+
+    turn, other = T0 + dt.timedelta(days=300), T0 + dt.timedelta(days=350)
+    rows = []
+    for s, size in (("a", 1.0), ("b", 2.0)):
+        for k in range(700):
+            t = T0 + dt.timedelta(days=k)
+            trend = 0.05 * k + (0.2 * size * (k - 300) if k > 300 else 0)
+            weekly = math.sin(2 * math.pi * (k % 7) / 7) * (4 if t >= other else 1)
+            rows.append((s, t, 20 + trend + weekly, weekly))
+    df = spark.createDataFrame(rows, "series string, ts timestamp_ntz, y double, w double")
+    trend = changepoints.estimate_trend(df, [turn], 0, ["series"], "ols")
+    for s, size in (("a", 1.0), ("b", 2.0)):
+        x = [r.trend for r in trend.filter(F.col("series") == s).orderBy("ts").collect()]
+        late, early = x[650] - x[550], x[250] - x[150]
+        assert (late - early) / 100 == pytest.approx(0.2 * size, rel=0.02)
+    season = changepoints.estimate_seasonality(df, {"weekly": 1}, {"weekly": [other]}, [turn], ["series"], "ols")
+    both = season.join(df.select("series", "ts", "w"), ["series", "ts"])
+    assert both.agg(F.max(F.abs(F.col("weekly") - F.col("w")))).first()[0] < 0.05
+    spec = ModelSpec(changepoints=[turn], seasonality={"weekly": 2}, seasonality_changepoints={"weekly": [other]})
+    models = series_models.fit_series(df, spec, ["series"])
+    parts = series_models.fitted_components(models)
+    added = F.col("Intercept") + F.col("autoreg") + F.col("events") + F.col("seasonality") + F.col("trend") + F.col("OTHER")
+    assert parts.agg(F.max(F.abs(added - F.col("forecast")))).first()[0] < 1e-8 and "sin1_tow_weekly_cp0" in models.names
+    ahead = series_models.predict_series(models, series_models.future_of(models, 7))
+    assert ahead.filter("forecast is not null").count() == 14

@@ -117,6 +117,33 @@ def seasonality_changepoints(df: DataFrame, components: Sequence[tuple[str, floa
     return out
 
 
+def estimate_trend(df: DataFrame, dates: Sequence[dt.datetime], yearly_order: int = 8, keys: Sequence[str] = (), algorithm: str = "ridge", params: dict | None = None, ts: str = TIME, value: str = VALUE) -> DataFrame:
+    """(keys, ts, y, trend, seasonality): the trend of each series with the detected times only, fitted anew beside a yearly season.
+
+    The penalty that chose the times has made their sizes too small; the second fit has no such columns to hold down.
+    """
+    from tidewater.operators import series_models
+    from tidewater.operators.linear_model import ModelSpec
+
+    spec = ModelSpec(changepoints=sorted(dates), seasonality={"yearly": yearly_order} if yearly_order else {}, algorithm=algorithm, params={"alpha": 1.0} if params is None and algorithm == "ridge" else params or {})
+    parts = series_models.fitted_components(series_models.fit_series(df, spec, keys, ts=ts, value=value), ts=ts, value=value)
+    return parts.select(*keys, ts, value, (F.col("Intercept") + F.col("trend")).alias("trend"), "seasonality")
+
+
+def estimate_seasonality(df: DataFrame, seasonality: dict[str, int], dates: dict[str, Sequence[dt.datetime]], trend: Sequence[dt.datetime] = (), keys: Sequence[str] = (), algorithm: str = "ridge", params: dict | None = None, ts: str = TIME, value: str = VALUE) -> DataFrame:
+    """(keys, ts, y, trend, one column per component): seasonal components with the detected times only, each part fitted anew.
+
+    ``seasonality`` are orders by component, ``dates`` the times from which a component has another shape.
+    """
+    from tidewater.operators import series_models
+    from tidewater.operators.linear_model import ModelSpec
+
+    spec = ModelSpec(changepoints=sorted(trend), seasonality=dict(seasonality), seasonality_changepoints={k: sorted(v) for k, v in dates.items()}, algorithm=algorithm, params={"alpha": 1.0} if params is None and algorithm == "ridge" else params or {})
+    groups = {name: rf"(?:sin|cos)\d+_\w+?_{name}(?:_cp\d+)?$" for name in seasonality}
+    parts = series_models.fitted_components(series_models.fit_series(df, spec, keys, ts=ts, value=value), groups, "rest", ts, value)
+    return parts.select(*keys, ts, value, (F.col("Intercept") + F.col("rest")).alias("trend"), *seasonality)
+
+
 def level_shifts(df: DataFrame, z: float = 3.0, keys: Sequence[str] = (), ts: str = TIME, value: str = VALUE) -> DataFrame:
     """(keys, start_time, end_time): runs of rows whose change from the row before is ``z`` standard deviations (sample) from the mean change."""
     w, every = Window.partitionBy(*keys).orderBy(ts), Window.partitionBy(*keys)

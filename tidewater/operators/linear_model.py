@@ -42,6 +42,8 @@ class ModelSpec:
     upper: float | None = None
     interval: str = "1 day"
     drop_terms: list[str] = field(default_factory=list)
+    #: Times from which a seasonal component has a shape of its own, by component.
+    seasonality_changepoints: dict[str, list[dt.datetime]] = field(default_factory=dict)
 
 
 @dataclass
@@ -93,7 +95,11 @@ def _design(df: DataFrame, spec: ModelSpec, origin: float, value: str) -> Design
     columns |= changepoint_terms([_decimal(t) - origin for t in spec.changepoints], F.col("ct1"))
     for name, order in spec.seasonality.items():
         c = COMPONENTS[name]
-        columns |= fourier_terms(c.column, c.period, order, name)
+        terms = fourier_terms(c.column, c.period, order, name)
+        columns |= terms
+        for k, t in enumerate(spec.seasonality_changepoints.get(name, ())):
+            # what the season adds from then on
+            columns |= {f"{n}_cp{k}": F.when(F.col("ct1") >= _decimal(t) - origin, x).otherwise(F.lit(0.0)) for n, x in terms.items()}
     kept = set(drop_collinear(list(columns))) if spec.algorithm in ("ols", "linear") else set(columns)
     columns = {k: c for k, c in columns.items() if k in kept}
     columns |= {f"events_{k}": (F.col(f"events_{k}") != "").cast("double") for k in spec.event_keys}

@@ -27,7 +27,7 @@ from tidewater.functions.calendar import add_time_features, continuous_year
 from tidewater.operators import intervals, lags, linear_model
 from tidewater.operators.linear_model import ModelSpec
 from tidewater.operators.regression import Design, Fit, Gram, _penalty, fit_adaptive_lasso, fit_elastic_net, fit_lasso, fit_lasso_cv, fit_ols, fit_ridge, fit_ridge_cv
-from tidewater.schema import ERR_STD, FORECAST, QUANTILES, TIME, VALUE
+from tidewater.schema import ERR_STD, EVENT_REGEX, FORECAST, LAG_REGEX, QUANTILES, SEASONALITY_REGEX, TIME, TREND_REGEX, VALUE, split_by_patterns
 from tidewater.staging import staged, unstage
 
 _ORIGIN, _FIRST, _LAST, _KNOWN = "_origin", "_first", "_last", "_known"
@@ -111,7 +111,7 @@ def calendar_of(spec: ModelSpec) -> list[str]:
     terms = " ".join(spec.extra_terms)
     seasons = [linear_model.COMPONENTS[c].column for c in spec.seasonality]
     trends = [spec.growth] if spec.growth else []
-    return [c for c in linear_model._CALENDAR if c in (*seasons, *trends, *(["ct1"] if spec.changepoints else [])) or re.search(rf"\b{c}\b", terms)]
+    return [c for c in linear_model._CALENDAR if c in (*seasons, *trends, *(["ct1"] if spec.changepoints or spec.seasonality_changepoints else [])) or re.search(rf"\b{c}\b", terms)]
 
 
 def _columns(df: DataFrame, spec: ModelSpec, value: str) -> dict[str, Column]:
@@ -350,6 +350,28 @@ def fitted_series(models: SeriesModels, ts: str = TIME, value: str = VALUE) -> D
     return rows.select(*models.keys, ts, value, _clipped(term_sum(), models.spec).alias(FORECAST))
 
 
+def part_sum(at: Sequence[int], x: str = "x", terms: str = "terms") -> Column:
+    """Sum of slope times column over some of the columns, a null one as its lowest value."""
+    one = lambda i: F.coalesce(F.col(x)[i], F.col(terms)[i]["low"]) * F.col(terms)[i]["slope"]
+    return F.aggregate(F.transform(F.array(*[F.lit(i) for i in at]), one), F.lit(0.0), lambda a, b: a + b) if at else F.lit(0.0)
+
+
+def fitted_components(models: SeriesModels, groups: dict[str, str] | None = None, remainder: str = "OTHER", ts: str = TIME, value: str = VALUE) -> DataFrame:
+    """(keys, ts, y, Intercept, one column per group, the rest, forecast) of the training rows; parts add up to the forecast.
+
+    Groups are patterns of the start of a term's name, the first that matches has it; by default autoregression, events,
+    seasonality and trend. Without limits on the forecast, that is: a limited one is below or above the sum.
+    """
+    groups = groups or {"autoreg": f".*(?:{LAG_REGEX})", "events": f".*{EVENT_REGEX}", "seasonality": f".*(?:{SEASONALITY_REGEX})", "trend": f".*(?:{TREND_REGEX})"}
+    named, rest = split_by_patterns([n for n in models.names if n != "Intercept"], groups)
+    parts = {"Intercept": ["Intercept"]} | named | {remainder: rest}
+    rows = _meet(models.staged[0], models.table.select(*models.keys, "terms"), models.keys)
+    # columns are scaled from their lowest values: what that takes off is the intercept's
+    shift = F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["low"] * t["slope"])
+    sums = [(part_sum([models.names.index(n) for n in ns]) - (shift if g == "Intercept" else 0.0)).alias(g) for g, ns in parts.items()]
+    return rows.select(*models.keys, ts, value, *sums, _clipped(term_sum(), models.spec).alias(FORECAST))
+
+
 def _with_intervals(df: DataFrame, models: SeriesModels, scale: Column | None) -> DataFrame:
     if models.fallback is None:
         return df

@@ -244,3 +244,29 @@ def _(spark, d):
     effects = daily.groupBy("series", F.date_format("ts", "MM-dd").alias("event_key")).agg(exact.alias("s")).filter("s is not null")
     averages = effects.join(overall, "series").select("series", "event_key", (F.col("s") - F.col("m")).alias("avg_score"))
     return events.group_by_density(averages, K).select("series", "event_key", F.round("avg_score", 2).alias("avg_score"), "group")
+
+
+#: Weekdays free before 1998, what they add up to afterwards constrained to the same mean: least squares by one multiplier.
+REGIMES = f"""
+WITH {OG},
+d AS (SELECT series, ts, y, isodow(ts) AS dow, (ts >= TIMESTAMP '1998-01-01')::INT AS late FROM og),
+m AS (SELECT series, dow, avg(y) FILTER (WHERE late = 0) AS a, avg(y) FILTER (WHERE late = 1) AS b, count(y) FILTER (WHERE late = 0) AS n, count(y) FILTER (WHERE late = 1) AS k FROM d GROUP BY series, dow),
+c AS (SELECT series, sum(b - a) / sum(1.0 / n + 1.0 / k) AS c FROM m GROUP BY series),
+f AS (SELECT series, dow, a + c / n AS early, b - c / k AS later FROM m JOIN c USING (series)),
+i AS (SELECT series, avg(early) AS mean FROM f GROUP BY series)
+SELECT d.series, d.ts, round(mean, 3) AS trend, round(CASE late WHEN 0 THEN early ELSE later END - mean, 3) AS weekly
+FROM d JOIN f ON f.series = d.series AND f.dow = d.dow JOIN i ON i.series = d.series
+"""
+
+
+@query("seasonality_regimes", REGIMES)
+def _(spark, d):
+    """The week of each order status before and from 1998 on, as components of one fit."""
+    import datetime as dt
+
+    from tidewater.operators import series_models
+
+    daily = timegrid.fill_gaps(orders_daily(spark, d), "1 day", K)
+    spec = ols(seasonality={"weekly": 3}, seasonality_changepoints={"weekly": [dt.datetime(1998, 1, 1)]})
+    parts = series_models.fitted_components(series_models.fit_series(daily, spec, K), {"weekly": ".*_weekly"})
+    return rounded(parts.select("series", "ts", F.col("Intercept").alias("trend"), "weekly"), 3)
