@@ -172,3 +172,21 @@ def test_fit_length_one_stage_and_errors(spark):
     alone = multistage.fit_multistage(df.filter("series = 'a'").drop("series"), [multistage.Stage(spec, None)], "1 hour")
     ahead = df.filter("series = 'a'").select((F.max("ts") + F.expr("interval 1 hour")).alias("ts"))
     assert multistage.predict_multistage(alone, ahead).first().forecast is not None
+
+
+def test_saved_models_forecast_alike(spark, tmp_path):
+    from tidewater.sources import models as saved
+
+    spec = ModelSpec(changepoints=[dt.datetime(2021, 5, 1)], seasonality={"weekly": 2}, autoreg={"orders": [1, 7]}, extra_terms=["C(dow)"], uncertainty={"by": ["dow"], "quantiles": (0.1, 0.9)}, event_keys=["one"])
+    events = spark.createDataFrame([("one", dt.date(2021, 3, 10), "event")], "event_key string, date date, event_name string")
+    models = series_models.fit_series(daily(spark, 90, ("a", "b")), spec, ["series"], events)
+    path = f"file://{tmp_path}/models"
+    saved.save_series_models(models, path)
+    again = saved.load_series_models(spark.newSession(), path)
+    rows = series_models.future_of(models, 9)
+    first = series_models.predict_series(models, rows).toPandas().sort_values(["series", "ts"]).reset_index(drop=True)
+    models.free()
+    second = series_models.predict_series(again, series_models.future_of(again, 9)).toPandas().sort_values(["series", "ts"]).reset_index(drop=True)
+    assert np.allclose(first[["forecast", "forecast_lower", "err_std"]], second[["forecast", "forecast_lower", "err_std"]], rtol=1e-12) and len(second) == 18
+    with pytest.raises(Exception):  # noqa: B017 - a folder that exists isn't overwritten
+        saved.save_series_models(again, path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import datetime as dt
 import json
 from collections.abc import Sequence
 from typing import Any
@@ -65,6 +66,8 @@ def _plain(x: Any) -> Any:
         return {"__array__": x.tolist()}
     if isinstance(x, np.generic):
         return x.item()
+    if isinstance(x, (dt.datetime, dt.date)):
+        return {"__time__" if isinstance(x, dt.datetime) else "__date__": x.isoformat()}
     if isinstance(x, dict):
         return {str(k): _plain(v) for k, v in x.items()}
     if isinstance(x, (list, tuple)):
@@ -88,6 +91,8 @@ def loads(text: str, types: Sequence[type]) -> Any:
             return np.array(x["__array__"])
         if isinstance(x, dict) and "__type__" in x:
             return by_name[x["__type__"]](**{k: build(v) for k, v in x.items() if k != "__type__"})
+        if isinstance(x, dict) and ("__time__" in x or "__date__" in x):
+            return dt.datetime.fromisoformat(x["__time__"]) if "__time__" in x else dt.date.fromisoformat(x["__date__"])
         if isinstance(x, dict):
             return {k: build(v) for k, v in x.items()}
         return [build(v) for v in x] if isinstance(x, list) else x
