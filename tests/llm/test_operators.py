@@ -784,7 +784,7 @@ def test_mixing_many_sources_gives_the_same(spark, monkeypatch):
 def test_every_operator_is_registered():
     from tidewater.llm.queries import ORACLE_SQL, QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_ids_of_any_type(spark):
