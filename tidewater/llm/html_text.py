@@ -6,15 +6,20 @@ that mark their own content with an ``article`` element: a tag costs the more, t
 articles rather than inside (log-odds), in units of the words that such text holds on average. ``FIT_PAGES`` such pages
 are read at most, those with the smallest hash of their id; Spark counts their tags and scores all pages.
 
-Elements that hold no article text whatever stands around them (scripts, forms, menus) are taken out first, and stand as one
-cheap tag each. So are blocks of which a whole class, id or role says that they are adverts, notices, comments and the like, unless
-they hold more than half of the page's words. Tags that HTML lets out (of p, li, td and the like) end where the next ones say so.
+The words of an element's class, id and role are tokens, too, in front of its tag: those that labelled pages hold outside of
+articles cost what a tag there does, others nothing. Elements that hold no article text whatever stands around them (scripts, forms,
+menus) are taken out before the scan, and stand as one cheap tag each. So are elements named as adverts, notices, comments and the
+like (``speaks``), of whatever length, since a contiguous run can't leave them out; but not one that holds the page's first article.
+Tags that HTML lets out (of p, li, td and the like) end where the next ones say so.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks (split by block tags
-and ``br``) are trimmed and joined by one newline, empty ones dropped.
+and ``br``) are trimmed and joined by one newline, empty ones dropped. An inline element that is taken out (``svg``, ``button``)
+doesn't end its block.
 
 Defined results: a null or empty page, or one without words, gives an empty text; of runs with equal sums the first,
-and of those the shortest, wins; unclosed elements end with the page; other columns stay.
+and of those the shortest, wins; unclosed elements end with the page; other
+columns stay, but for ``text`` and ``n_chars``, which are replaced; repeated rows stay; an empty table gives an empty one; without
+any labelled page a tag costs as much as a word gains.
 """
 
 from __future__ import annotations
@@ -34,15 +39,34 @@ FIT_PAGES = 1000
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _LABEL = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: Words of a class, id or role that mark a block as not part of an article.
-_WORD = (
-    r"(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|comments?|"
-    r"disqus|repl(?:y|ies)|respond|discussion|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|related|recommended|share|sharing|social|footer|header|masthead|topbar|toolbar|pagination|pager|"
-    r"complementary|contentinfo|search|copyright|legal|disclaimer|tags|byline)"
+_SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+#: What the last telling word of a class, id or role says of its element: junk, junk unless inside of content, or content.
+_JUNK = set(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice notices alert popup modal overlay newsletter "
+    "subscribe signup login comment comments disqus reply replies respond discussion menu menus nav navbar navigation breadcrumb breadcrumbs sidebar side widget widgets related recommended share sharing "
+    "social footer header masthead topbar toolbar pagination pager complementary contentinfo byline".split()
 )
-#: Words that say nothing of a block, and may stand beside these.
-_PLAIN = r"(?:list|box|block|bar|buttons?|item|form|inner|unit|slot)"
-_NOT_CONTENT = re.compile(rf"(?:{_PLAIN}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_PLAIN}))*", re.I)
+_JUNK_OUTSIDE = set("search copyright legal disclaimer tags".split())
+_CONTENT = set("article content entry main page post story text".split())
+#: Words that say nothing, so that the word before them tells.
+_PLAIN = set("area articles bar block body box button buttons column container content form group inner item items links list news panel posts section slot stories text thread title unit wrap wrapper".split())
+#: A name with one of these tells how the element looks or what it lies beside.
+_STATE = set("by disabled enabled has is no not with without".split())
+
+
+def speaks(label: str) -> tuple[int, bool]:
+    """-1 if a class, id or role names its element as no part of an article, 1 as one, else 0; whether -1 only counts outside of content."""
+    words = [w.lower() for w in _SPLIT.split(label) if w]
+    if not words or _STATE.intersection(words):
+        return 0, False
+    head = next((w for w in reversed(words) if w not in _PLAIN), words[-1])
+    if head == "header" and _CONTENT.intersection(words):
+        return 0, False
+    if head in _JUNK:
+        return -1, False
+    return (-1, True) if head in _JUNK_OUTSIDE else (int(head in _CONTENT), False)
+
+
 #: Elements whose content is not markup, up to their end tag.
 _RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 #: Elements that are never article text.
@@ -62,24 +86,30 @@ _ENDS: dict[str, tuple[set[str], set[str]]] = {
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
 }
 _P_ENDS = _BLOCK - {"br", "body", "html", "head", "title", "legend", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
-DROPPED = "dropped"
+DROPPED, DROPPED_INLINE = "dropped", "dropped inline"
 
 
 def tokens(page: str) -> list[tuple[str | None, str]]:
-    """(tag, text) in page order: tag is a name, "/name" or DROPPED for an element taken out; None for a run of text."""
+    """(tag, text) in page order: tag is a name, "/name", "@word" of a class, id or role before its element, DROPPED or DROPPED_INLINE
+    for an element taken out; None for a run of text."""
     out: list[tuple[str | None, str]] = []
     at, skip, depth, articles = 0, None, 0, 0
-    # open elements, with their place in out if they are marked, how many of a name are open, and where marked ones lie
-    stack: list[tuple[str, int | None]] = []
+    # open elements, with their place in out if they are marked and whether they are content, how many of a name are open, and
+    # where marked ones lie
+    stack: list[tuple[str, int | None, bool]] = []
     is_open: Counter = Counter()
-    marked: list[tuple[int, int]] = []
+    marked: list[tuple[int, int, bool]] = []
+    content, first = 0, -1
 
     def close(n: int) -> None:
+        nonlocal content
         while len(stack) > n:
-            tag, start = stack.pop()
+            tag, start, holds = stack.pop()
             is_open[tag] -= 1
-            if start is not None:
-                marked.append((start, len(out)))
+            content -= holds
+            # what holds the page's first article is no such block, whatever its name
+            if start is not None and not start < first < len(out):
+                marked.append((start, len(out), tag in _BLOCK))
 
     def end_before(names: set[str], stop: set[str]) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -135,31 +165,32 @@ def tokens(page: str) -> list[tuple[str | None, str]]:
             continue
         if name in _RAW:
             at = _RAW_END[name].search(page, at).end()
-            out.append((DROPPED, ""))
+            out.append((DROPPED if name in _BLOCK else DROPPED_INLINE, ""))
             continue
         if name in _DROP or name == "header" and not articles:
-            out.append((DROPPED, ""))
+            out.append((DROPPED if name in _BLOCK else DROPPED_INLINE, ""))
             skip, depth = name, 1
             continue
         labels = " ".join(a or b or c for a, b, c in _LABEL.findall(m[3])).split()
-        marks = name not in ("html", "body", "article", "main") and any(_NOT_CONTENT.fullmatch(x) for x in labels)
-        stack.append((name, len(out) if marks else None))
+        says = [-1 if v < 0 and not (weak and content) else max(v, 0) for v, weak in map(speaks, labels)]
+        marks = name not in ("html", "body", "main") and sum(says) < 0
+        if name == "article" and first < 0 and not marks:
+            first = len(out) + 1
+        holds = name in ("article", "main") and not marks or sum(says) > 0
+        stack.append((name, len(out) if marks else None, holds))
         is_open[name] += 1
+        content += holds
+        out += [("@" + w.lower(), "") for x in labels for w in _SPLIT.split(x) if w]
         out.append((name, ""))
 
 
-def without(seq: list[tuple[str | None, str]], marked: list[tuple[int, int]]) -> list[tuple[str | None, str]]:
-    """The tokens with each marked run as one DROPPED, unless it holds more than half of all words."""
-    if not marked:
-        return seq
-    sums = [0]
-    for tag, text in seq:
-        sums.append(sums[-1] + (len(text.split()) if tag is None else 0))
+def without(seq: list[tuple[str | None, str]], marked: list[tuple[int, int, bool]]) -> list[tuple[str | None, str]]:
+    """The tokens with each marked run (start, end, whether it is a block) as one DROPPED or DROPPED_INLINE."""
     out, at = [], 0
-    for a, b in sorted(marked, key=lambda x: (x[0], -x[1])):
-        if a >= at and 2 * (sums[b] - sums[a]) <= sums[-1]:
+    for a, b, block in sorted(marked, key=lambda x: (x[0], -x[1])):
+        if a >= at:
             out += seq[at:a]
-            out.append((DROPPED, ""))
+            out.append((DROPPED if block else DROPPED_INLINE, ""))
             at = b
     return out + seq[at:]
 
@@ -185,9 +216,9 @@ def count_tags(page: str) -> Counter:
 
 def weigh(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Score of a word ("") and of each tag; "<" for tags that the labelled pages don't have."""
-    total = {side: sum(n for (k, s), n in counts.items() if k[:1] == "<" and s == side) for side in (True, False)}
+    total = {side: sum(n for (k, s), n in counts.items() if k[:1] == "<" and k[:2] != "<@" and s == side) for side in (True, False)}
     if not total[True]:
-        return {"": 1.0, "<": -1.0, "<" + DROPPED: -0.5}
+        return {"": 1.0, "<": -1.0, "<" + DROPPED: -0.5, "<" + DROPPED_INLINE: -0.5}
     run = max(3.0, counts.get(("", False), 0) / max(1, counts.get(("run", False), 0)))
     # of tags that no labelled page has nothing is known: they cost what those of articles do
     out = {"": 1.0, "<": -0.1}
@@ -195,10 +226,16 @@ def weigh(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
         odds = math.log((counts.get((tag, True), 0) + 0.5) / (total[True] + 1)) - math.log((counts.get((tag, False), 0) + 0.5) / (total[False] + 1))
         out[tag] = -0.1 if odds > 0 else -max(0.25, min(8.0, -odds) * run)
     # what is taken out gives no text, so that it may lie inside of an article of few words, too
-    out["<" + DROPPED] = -0.5
+    out["<" + DROPPED] = out["<" + DROPPED_INLINE] = -0.5
     return out
 
 
+def score(token: tuple[str | None, str], weights: dict[str, float]) -> float:
+    """Words by their number, tags by their weight; words of labels that no labelled page has say nothing."""
+    tag, text = token
+    return weights[""] * len(text.split()) if tag is None else weights.get("<" + tag, 0.0 if tag[0] == "@" else weights["<"])
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
     """Start and end of the contiguous run with the largest sum; (0, 0) if no sum is positive."""
     best, here, start, found = 0.0, 0.0, 0, (0, 0)
@@ -215,8 +252,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     seq = tokens(page)
-    per_word, unknown = weights[""], weights["<"]
-    a, b = best_run([per_word * len(text.split()) if tag is None else weights.get("<" + tag, unknown) for tag, text in seq])
+    a, b = best_run([score(t, weights) for t in seq])
     blocks, here = [], []
     for tag, text in seq[a:b]:
         if tag is None:
