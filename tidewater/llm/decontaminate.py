@@ -3,8 +3,8 @@
 A document and a benchmark item are compared as sequences of tokens (runs of letters and digits, A-Z as a-z).
 Pairs that share no run of ``min_match`` tokens are never looked at: the item's runs are the seeds, and one lookup per
 position of a document finds the items that it shares seeds with. Such a pair is tiled: the longest common
-runs of unmarked tokens are found by running Karp-Rabin (a table of rolling hashes of the document's runs of a
-search length, probed with the item's), marked, and the search goes on with shorter runs down to ``min_match``. The
+runs of unmarked tokens are found by running Karp-Rabin (rolling hashes of the document's runs of a search length,
+probed with the item's), marked, and the search goes on with shorter runs down to ``min_match``. The
 marked share of the item's tokens is its coverage; as tiles may lie anywhere, passages in another order count in
 full. A document is contaminated by an item whose coverage reaches ``threshold``.
 
@@ -18,7 +18,6 @@ without documents or items nothing is found; other columns stay, whatever their
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,61 +28,85 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewater.llm._spark import total_bytes
-from tidewater.llm._text import U, grams, words
+from tidewater.llm._text import U, grams, mix, words
 
 PART_BYTES = 16 << 20
 MIN_MATCH, THRESHOLD = 4, 0.6
 
 
-def _rolling(tokens: list[int], length: int) -> Iterator[tuple[int, int]]:
-    """(position, hash) of every run of ``length`` tokens, by a rolling polynomial hash modulo a Mersenne prime."""
-    prime, base = (1 << 61) - 1, 1_000_003
-    if len(tokens) < length:
-        return
-    top, h = pow(base, length - 1, prime), 0
-    for k, t in enumerate(tokens):
-        h = (h * base + t) % prime
-        if k >= length - 1:
-            yield k - length + 1, h
-            h = (h - tokens[k - length + 1] * top) % prime
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def greedy_tiles(doc: list[int], item: list[int], min_match: int) -> list[tuple[int, int, int]]:
-    """Non-overlapping (doc position, item position, length) tiles, longest first; ties by item, then document position."""
-    doc_free, item_free = [True] * len(doc), [True] * len(item)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Run:
+    """A sequence with its tokens' marks, and the running Karp-Rabin hash of its windows of any length."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, n = tokens, len(tokens)
+        self.sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(tokens) * _powers(_BASE, n), dtype=U)])
+        self.back = _powers(_INVERSE, n)
+        self.marked = np.zeros(n, bool)
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows without a marked token, ascending, and their hashes."""
+        marks = np.concatenate([[0], np.cumsum(self.marked)])
+        at = np.flatnonzero(marks[length:] == marks[: len(marks) - length])
+        return at, (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+
+def greedy_tiles(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """Non-overlapping (doc position, item position, length) tiles, longest first; ties by item, then document position.
+
+    A common window of unmarked tokens holds common ones of every smaller length, so that the longest is found by bisection. All
+    windows of that length are longest matches: each is marked at the first place of the document that is left for it. Work
+    is the number of different tile lengths times (document + item), however often tokens repeat.
+    """
+    if not len(doc) or not len(item):
+        return []
+    d_run, i_run = _Run(np.asarray(doc).astype(U)), _Run(np.asarray(item).astype(U))
     tiles: list[tuple[int, int, int]] = []
-    search = max(min_match, len(item) // 2)
-    while True:
-        table = defaultdict(list)
-        for d, h in _rolling(doc, search):
-            if all(doc_free[d : d + search]):
-                table[h].append(d)
-        matches, longest = [], 0
-        for i, h in _rolling(item, search):
-            if h not in table or not all(item_free[i : i + search]):
+    limit = min(len(doc), len(item))
+    while limit >= min_match:
+        low = min_match - 1
+        while low < limit:
+            n = (low + limit + 1) // 2
+            if np.isin(i_run.windows(n)[1], d_run.windows(n)[1]).any():
+                low = n
+            else:
+                limit = n - 1
+        if low < min_match:
+            break
+        places, hashes = d_run.windows(low)
+        order = np.argsort(hashes, kind="stable")
+        places, hashes = places[order], hashes[order]
+        at, wanted = i_run.windows(low)
+        first, last = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+        # places of a hash that are marked stay so, so that each is looked at once
+        upto: dict[int, int] = {}
+        for k in np.flatnonzero(first < last).tolist():
+            i = int(at[k])
+            if i_run.marked[i : i + low].any():
                 continue
-            for d in table[h]:
-                if doc[d : d + search] != item[i : i + search]:
-                    continue
-                n = search
-                while d + n < len(doc) and i + n < len(item) and doc_free[d + n] and item_free[i + n] and doc[d + n] == item[i + n]:
-                    n += 1
-                matches.append((n, i, d))
-                longest = max(longest, n)
-        if longest > 2 * search:
-            search = longest
-            continue
-        for n, i, d in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            # what is left of a match that an earlier tile has cut into is found again at its own length
-            if all(doc_free[d : d + n]) and all(item_free[i : i + n]):
-                tiles.append((d, i, n))
-                doc_free[d : d + n] = [False] * n
-                item_free[i : i + n] = [False] * n
-        if search == min_match:
-            if not matches or not any(all(item_free[i : i + search]) and all(doc_free[d : d + search]) for _, i, d in matches):
-                return tiles
-        else:
-            search = max(min_match, search // 2)
+            p, end = upto.get(int(wanted[k]), int(first[k])), int(last[k])
+            while p < end and d_run.marked[places[p] : places[p] + low].any():
+                p += 1
+            upto[int(wanted[k])] = p
+            # windows with equal hashes are compared; others than the first behind one hash are passed by one by one
+            q = p
+            while q < end and (d_run.marked[places[q] : places[q] + low].any() or not np.array_equal(d_run.tokens[places[q] : places[q] + low], i_run.tokens[i : i + low])):
+                q += 1
+            if q < end:
+                d = int(places[q])
+                tiles.append((d, i, low))
+                d_run.marked[d : d + low] = i_run.marked[i : i + low] = True
+        limit = low - 1
+    return tiles
 
 
 class Seeds:
@@ -109,6 +132,11 @@ class Seeds:
             seeds, start = np.unique(g[by], return_index=True)
             self.by_length[n] = seeds, np.append(start, len(by)), item[by], pos[by]
 
+    @staticmethod
+    def outside(tokens: np.ndarray) -> np.uint64:
+        """A token that isn't among these."""
+        return next(U(x) for x in range(len(tokens) + 1) if U(x) not in tokens)
+
     def matches(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, item id, matched tokens, tokens of the item) of the rows' pairs whose tiles reach the threshold."""
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -120,31 +148,38 @@ class Seeds:
             hits = np.flatnonzero((seeds[at] == g) & (row_of[: len(g)] == row_of[n - 1 :]))
             if not len(hits):
                 continue
-            many = start[at[hits] + 1] - start[at[hits]]
-            entry = np.repeat(start[at[hits]] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            p, item, pos = np.repeat(hits, many), items[entry], positions[entry]
-            by = np.lexsort((pos, item, row_of[p]))
-            p, item, pos = p[by], item[by], pos[by]
-            row = row_of[p]
-            new = np.ones(len(p), bool)
+            seed, row_hit = at[hits], row_of[hits]
+            # a seed counts once a row, however often the row repeats it
+            row, once = np.divmod(np.unique(row_hit * len(seeds) + seed), len(seeds))
+            many = start[once + 1] - start[once]
+            entry = np.repeat(start[once] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            row, once, item, pos = np.repeat(row, many), np.repeat(once, many), items[entry], positions[entry]
+            by = np.lexsort((pos, item, row))
+            row, once, item, pos = row[by], once[by], item[by], pos[by]
+            new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
             pair = np.flatnonzero(new)
             # tokens of the item that lie under its seeds: each adds n, or as far as the next one of the pair
-            ahead = np.full(len(p), n)
+            ahead = np.full(len(row), n)
             ahead[:-1][~new[1:]] = np.minimum(pos[1:] - pos[:-1], n)[~new[1:]]
             under = np.add.reduceat(ahead, pair)
-            ends = np.append(pair[1:], len(p))
+            ends = np.append(pair[1:], len(row))
+            wanted = np.zeros(len(seeds), bool)
             for k in np.flatnonzero(under >= self.threshold * (self.first[item[pair] + 1] - self.first[item[pair]])):  # tiles cover no more than seeds do
                 own = item[pair[k]]
-                tokens = self.tokens[self.first[own] : self.first[own + 1]].tolist()
-                # segments of the document under the item's seeds, apart by a token that occurs nowhere else
-                segment, last, gap = [], -1, -1
-                for q in np.unique(p[pair[k] : ends[k]]).tolist():
-                    if q > last and segment:
-                        segment.append(gap)
-                        gap -= 1
-                    segment += h[max(q, last) : q + n].tolist()
-                    last = q + n
+                tokens = self.tokens[self.first[own] : self.first[own + 1]]
+                a, b = np.searchsorted(row_hit, [row[pair[k]], row[pair[k]] + 1])
+                wanted[once[pair[k] : ends[k]]] = True
+                places = hits[a:b][wanted[seed[a:b]]]
+                wanted[once[pair[k] : ends[k]]] = False
+                # segments of the document under the item's seeds; where one ends a token stands that the item doesn't hold
+                under_seed = np.zeros(places[-1] - places[0] + n + 1, bool)
+                for step in range(n):
+                    under_seed[places - places[0] + step] = True
+                kept = under_seed.copy()
+                kept[1:] |= under_seed[:-1]
+                segment = np.append(h[places[0] : places[-1] + n], U(0))[kept]
+                segment[~under_seed[kept]] = self.outside(tokens)
                 matched = sum(t[2] for t in greedy_tiles(segment, tokens, n))
                 if matched >= self.threshold * len(tokens):
                     yield int(row[pair[k]]), self.ids[own], matched, len(tokens)
