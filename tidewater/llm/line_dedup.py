@@ -183,12 +183,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
 k AS (SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT k.doc_id, k.line, k.pos, r.key IS NULL OR r.keeper = k.doc_id AS stays FROM k LEFT JOIN r ON k.key = r.key)
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc) >= 3),
+m AS (SELECT k.doc, k.doc_id, k.line, k.pos, r.key IS NULL OR r.keeper IS NOT DISTINCT FROM k.doc_id AS stays FROM k LEFT JOIN r ON k.key = r.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT stays)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY doc, doc_id
 """
