@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.calendar import changepoint_terms, continuous_year, fourier_terms
-from tidewater.operators.regression import fit_adaptive_lasso, fit_ridge, gram
+from tidewater.operators.regression import Fit, contiguous_folds, fit_adaptive_lasso, fit_adaptive_lasso_cv, fit_ridge, gram
 from tidewater.operators.timegrid import resample
 from tidewater.schema import TIME, VALUE
 
@@ -55,12 +55,12 @@ def combine_changepoints(detected: Sequence[dt.datetime], custom: Sequence[dt.da
     return sorted(set(kept))
 
 
-def trend_changepoints(df: DataFrame, n_potential: int = 20, yearly_order: int = 8, freq: str | None = "7D", strength: float = 0.6, min_distance_days: float = 30, skip_last_days: float = 0, ts: str = TIME, value: str = VALUE) -> list[dt.datetime]:
+def trend_changepoints(df: DataFrame, n_potential: int = 20, yearly_order: int = 8, freq: str | None = "7D", strength: float | None = 0.6, min_distance_days: float = 30, skip_last_days: float = 0, ts: str = TIME, value: str = VALUE) -> list[dt.datetime]:
     """Times at which the trend of one series changes.
 
     The series is resampled; hinges at evenly spaced times and yearly Fourier terms are fitted by ridge, then by adaptive
     lasso with weights from it (no weight on the seasonal terms' penalty but their own size); hinges that stay are
-    thinned to the largest within the least distance.
+    thinned to the largest within the least distance. Without a ``strength`` the one that does best on held-out stretches is taken.
     """
     base = resample(df.filter(F.col(value).isNotNull()), freq, {value: F.avg(value)}, (), ts) if freq else df.filter(F.col(value).isNotNull())
     times = [r[ts] for r in evenly_spaced_times(base, n_potential, (), ts).orderBy("k").collect()]
@@ -74,20 +74,26 @@ def trend_changepoints(df: DataFrame, n_potential: int = 20, yearly_order: int =
     columns = {"Intercept": F.lit(1.0), "ct1": ct}
     columns |= changepoint_terms([_decimal_year(t) - origin for t in times], ct, names=[f"changepoint{k}" for k in range(len(times))])
     columns |= fourier_terms("ct1", 1.0, yearly_order, "yearly", ct)
-    g = gram(based, columns, F.col(value))
-    fit = fit_adaptive_lasso(g, fit_ridge(g, 1.0).beta, strength)
-    at = [k for k, n in enumerate(g.names) if n.startswith("changepoint")]
+    fit = _select(based, columns, F.col(value), strength, F.col(ts))
+    at = [k for k, n in enumerate(fit.names) if n.startswith("changepoint")]
     found = [(k, fit.beta[i]) for k, i in enumerate(at) if abs(fit.beta[i]) > 1e-12]
     days = (span.b - span.a).total_seconds() / 86400 / max(1, n_potential + 1)
     return [times[k] for k in filter_close(found, max(1, int(np.ceil(min_distance_days / days))))]
 
 
+def _select(df: DataFrame, columns: dict, response, strength: float | None, order, folds: int = 5) -> Fit:
+    if strength is None:
+        return fit_adaptive_lasso_cv(contiguous_folds(df, columns, response, folds, order))
+    g = gram(df, columns, response)
+    return fit_adaptive_lasso(g, fit_ridge(g, 1.0).beta, strength)
+
+
 def _decimal_year(t: dt.datetime) -> float:
     start, end = dt.datetime(t.year, 1, 1), dt.datetime(t.year + 1, 1, 1)
     return t.year + (t - start) / (end - start)
 
 
-def seasonality_changepoints(df: DataFrame, components: Sequence[tuple[str, float, int, str]], n_potential: int = 10, strength: float = 0.6, trend: Sequence[dt.datetime] = (), freq: str | None = "D", ts: str = TIME, value: str = VALUE) -> dict[str, list[dt.datetime]]:
+def seasonality_changepoints(df: DataFrame, components: Sequence[tuple[str, float, int, str]], n_potential: int = 10, strength: float | None = 0.6, trend: Sequence[dt.datetime] = (), freq: str | None = "D", ts: str = TIME, value: str = VALUE) -> dict[str, list[dt.datetime]]:
     """Times at which the size of a seasonal component changes: Fourier terms cut off before each potential time, by
     adaptive lasso over the series less its trend. ``components`` are (column, period, order, name) of calendar features."""
     from tidewater.functions.calendar import add_time_features
@@ -108,8 +114,7 @@ def seasonality_changepoints(df: DataFrame, components: Sequence[tuple[str, floa
         columns |= terms
         for k, t in enumerate(times):
             columns |= {f"{n}_cp{k}": F.when(F.col(ts) >= F.lit(t), c).otherwise(0.0) for n, c in terms.items()}
-    g = gram(detrended, columns, F.col("_r"))
-    fit = fit_adaptive_lasso(g, fit_ridge(g, 1.0).beta, strength).coefficients()
+    fit = _select(detrended, columns, F.col("_r"), strength, F.col(ts)).coefficients()
     out = {}
     for _, _, _, name in components:
         size = [sum(abs(b) for n, b in fit.items() if f"_{name}_cp" in n and n.endswith(f"_cp{k}")) for k in range(len(times))]

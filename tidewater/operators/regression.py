@@ -234,10 +234,10 @@ def _from_centred(g: Gram, rest: list[int], b: np.ndarray, mx: np.ndarray, my: f
     return beta
 
 
-def coordinate_descent(xx: np.ndarray, xy: np.ndarray, l1: np.ndarray, l2: np.ndarray, tol: float = 1e-9, rounds: int = 5000) -> np.ndarray:
+def coordinate_descent(xx: np.ndarray, xy: np.ndarray, l1: np.ndarray, l2: np.ndarray, tol: float = 1e-9, rounds: int = 5000, start: np.ndarray | None = None) -> np.ndarray:
     """Minimiser of b'XXb / 2 - b'Xy + sum l1 |b| + sum l2 b^2 / 2 (sums already over n)."""
-    b = np.zeros(len(xy))
-    grad = -xy.copy()
+    b = np.zeros(len(xy)) if start is None else start.copy()
+    grad = xx @ b - xy
     for _ in range(rounds):
         biggest = 0.0
         for k in range(len(b)):
@@ -298,6 +298,38 @@ def fit_adaptive_lasso(g: Gram, initial: np.ndarray | None = None, strength: flo
     return Fit(g.names, _from_centred(g, rest, coordinate_descent(xx, xy, np.full(n, lam), np.zeros(n)) * w, mx, my), lam)
 
 
+def fit_adaptive_lasso_cv(folds: Sequence[Gram], strengths: Sequence[float] | None = None, initial: np.ndarray | None = None, max_min_ratio: float = 1e6) -> Fit:
+    """Adaptive lasso with the strength that has the least mean squared loss on held-out folds; of ties the strongest.
+
+    Weights and penalties are those of all rows. Each fold's training sums are the total less the fold, and its path goes
+    from the strongest penalty to the weakest, each fit starting from the one before.
+    """
+    strengths = sorted(np.linspace(0.05, 1.0, 39) if strengths is None else strengths, reverse=True)
+    if not strengths or not all(0 < x <= 1 for x in strengths):
+        raise ValueError("strengths lie above 0 and up to 1")
+    total = total_of(folds)
+    first = fit_ridge(total, 1.0).beta if initial is None else initial
+    rest, _, xy, _, _ = _centred(total)
+    w = np.maximum(np.abs(first[rest]), 1e-16)
+    top = np.abs(xy * w).max(initial=0.0)
+    if not top:
+        return fit_adaptive_lasso(total, first, strengths[0], max_min_ratio)
+    penalties = [top * max_min_ratio ** (x - 1) for x in strengths]
+    losses = np.zeros(len(penalties))
+    for f in folds:
+        training = total - f
+        if not f.n or not training.n:
+            continue
+        rest, xx, xy, mx, my = _centred(training)
+        xx, xy, b = xx * np.outer(w, w), xy * w, np.zeros(len(rest))
+        for k, lam in enumerate(penalties):
+            b = coordinate_descent(xx, xy, np.full(len(rest), lam), np.zeros(len(rest)), start=b)
+            losses[k] += squared_loss(f, _from_centred(training, rest, b * w, mx, my)) / f.n
+    best = int(np.argmin(losses))
+    out = fit_adaptive_lasso(total, first, strengths[best], max_min_ratio)
+    return Fit(out.names, out.beta, out.alpha, {"strength": float(strengths[best]), "losses": dict(zip(map(float, strengths), losses.tolist(), strict=True))})
+
+
 def fit_partial(g: Gram, l1: Sequence[str] = (), l1_alpha: float = 0.0, l2: Sequence[str] = (), l2_alpha: float = 0.0) -> Fit:
     """Some coefficients with an L1 penalty on the mean loss, some with L2 on the summed loss, as lasso and ridge have them; the others free."""
     rest, xx, xy, mx, my = _centred(g)

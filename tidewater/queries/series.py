@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import multistage, series_models, timegrid
 from tidewater.operators.linear_model import ModelSpec
-from tidewater.queries._base import EG, OG, events_hourly, orders_daily, query, rounded
+from tidewater.queries._base import EG, OD, OG, events_hourly, money, orders_daily, query, rounded, table
 
 K = ["series"]
 #: The year with the elapsed share of it, at midnight.
@@ -270,3 +270,69 @@ def _(spark, d):
     spec = ols(seasonality={"weekly": 3}, seasonality_changepoints={"weekly": [dt.datetime(1998, 1, 1)]})
     parts = series_models.fitted_components(series_models.fit_series(daily, spec, K), {"weekly": ".*_weekly"})
     return rounded(parts.select("series", "ts", F.col("Intercept").alias("trend"), "weekly"), 3)
+
+
+#: Adaptive lasso with one regressor in closed form: least squares shrunk by what the penalty takes of the covariance of all rows.
+LASSO_CV = f"""
+WITH {OD},
+d AS (SELECT ts, sum(y) / 1000000 AS y, (ts::DATE - DATE '1992-01-01') / 365.25 AS x FROM od GROUP BY ts),
+f AS (SELECT year(ts) % 4 AS fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM d GROUP BY 1),
+t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM f),
+a AS (SELECT n, sx / n AS mx, sy / n AS my, sxx / n - (sx / n) ** 2 AS vx, sxy / n - sx * sy / n / n AS vxy FROM t),
+g AS (SELECT s / 20.0 AS strength, 10.0 ** (6 * (s / 20.0 - 1)) AS share FROM generate_series(1, 20) AS x(s)),
+r AS (SELECT f.*, t.n - f.n AS m, (t.sx - f.sx) / (t.n - f.n) AS mx, (t.sy - f.sy) / (t.n - f.n) AS my, (t.sxx - f.sxx) / (t.n - f.n) AS qxx, (t.sxy - f.sxy) / (t.n - f.n) AS qxy FROM f, t),
+b AS (SELECT g.strength, r.*, sign(qxy - r.mx * r.my) * greatest(abs(qxy - r.mx * r.my) - share * abs(a.vxy), 0) / (qxx - r.mx ** 2) AS b FROM g, r, a),
+l AS (SELECT strength, sum((syy - 2 * (my - b * mx) * sy - 2 * b * sxy + n * (my - b * mx) ** 2 + 2 * b * (my - b * mx) * sx + b * b * sxx) / n) AS loss FROM b GROUP BY strength)
+SELECT l.strength, round(loss, 8) AS loss, strength = (SELECT max(strength) FROM l WHERE loss <= (SELECT min(loss) FROM l) + 1e-12) AS chosen, round(vxy / vx * (1 - share), 8) AS slope
+FROM l JOIN g USING (strength), a
+"""
+
+
+@query("lasso_strengths", LASSO_CV)
+def _(spark, d):
+    """How strongly a trend is held down: loss on held-out years and slope per strength, and which strength is chosen."""
+    from tidewater.operators import regression
+
+    daily = orders_daily(spark, d).groupBy("ts").agg((F.sum("y") / 1000000).alias("y"))
+    x = F.datediff(F.col("ts"), F.lit("1992-01-01").cast("date")) / 365.25
+    columns = {"Intercept": F.lit(1.0), "x": x}
+    parts = regression.gram_table(daily.withColumn("fold", F.year("ts") % 4), list(columns.values()), F.col("y"), keys=["fold"]).collect()  # one matrix per fold
+    folds = [regression.gram_from(r.sums, list(columns)) for r in parts]
+    fit = regression.fit_adaptive_lasso_cv(folds, [k / 20 for k in range(1, 21)])
+    total = regression.total_of(folds)
+    rows = [(s, round(loss, 8), s == fit.params["strength"], round(regression.fit_adaptive_lasso(total, strength=s).coefficients()["x"], 8)) for s, loss in fit.params["losses"].items()]
+    return spark.createDataFrame(rows, "strength double, loss double, chosen boolean, slope double")
+
+
+#: Least squares over three levels by hand: inner nodes join their own value with their children's sum by precision.
+TREE = """
+WITH v AS (SELECT year(o_orderdate) AS y, c_nationkey AS n, n_regionkey AS r, sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 1000 AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+leaf AS (SELECT y + 1 AS y, n, r, v FROM v), reg AS (SELECT y + 2 AS y, r, sum(v) AS v FROM v GROUP BY ALL), top AS (SELECT y + 1 AS y, sum(v) * 1.05 AS v FROM v GROUP BY ALL),
+size AS (SELECT n_regionkey AS r, count(*) AS k FROM nation GROUP BY 1), every AS (SELECT count(*) AS k FROM nation),
+s AS (SELECT leaf.y, leaf.r, sum(leaf.v) AS s, count(*) AS k FROM leaf GROUP BY 1, 2),
+u AS (SELECT s.y, s.r, s.s, s.k AS var, 1.0 / s.k AS w, reg.v FROM s JOIN size ON size.r = s.r AND size.k = s.k LEFT JOIN reg ON reg.y = s.y AND reg.r = s.r),
+m AS (SELECT *, CASE WHEN v IS NULL THEN s ELSE (w * v + s / var) / (w + 1.0 / var) END AS m, CASE WHEN v IS NULL THEN var ELSE 1 / (w + 1.0 / var) END AS mv FROM u),
+a AS (SELECT m.y, sum(m) AS s, sum(mv) AS var FROM m GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM size)),
+t AS (SELECT a.y, a.s, a.var, CASE WHEN top.v IS NULL THEN a.s ELSE (top.v / k + a.s / a.var) / (1.0 / k + 1.0 / a.var) END AS x FROM a CROSS JOIN every LEFT JOIN top USING (y)),
+x AS (SELECT m.y, m.r, m.s, m.var, m.m + m.mv / t.var * (t.x - t.s) AS x FROM m JOIN t ON t.y = m.y)
+SELECT y, 'all' AS node, round(x, 3) AS value FROM t
+UNION ALL SELECT y, 'r' || r, round(x, 3) FROM x
+UNION ALL SELECT x.y, 'n' || leaf.n, round(leaf.v + (x.x - x.s) / x.var, 3) FROM leaf JOIN x ON x.y = leaf.y AND x.r = leaf.r
+"""
+
+
+@query("reconcile_tree", TREE)
+def _(spark, d):
+    """Naive forecasts of nations, regions and all of a year's orders, of different lags, made to add up; weights by size."""
+    from tidewater.operators import tree_reconcile
+
+    nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    year = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    v = year.groupBy(F.year("o_orderdate").alias("y"), "n_nationkey", "n_regionkey").agg((money("o_totalprice") / 1000).alias("v"))
+    of = lambda prefix, c: F.concat(F.lit(prefix), F.col(c))
+    leaves = v.select((F.col("y") + 1).alias("y"), of("n", "n_nationkey").alias("node"), F.col("v").alias("value"))
+    regions = v.groupBy((F.col("y") + 2).alias("y"), of("r", "n_regionkey").alias("node")).agg(F.sum("v").alias("value"))
+    top = v.groupBy((F.col("y") + 1).alias("y"), F.lit("all").alias("node")).agg((F.sum("v") * 1.05).alias("value"))
+    edges = nation.select(of("n", "n_nationkey").alias("node"), of("r", "n_regionkey").alias("parent")).unionByName(nation.select(of("r", "n_regionkey").alias("node"), F.lit("all").alias("parent")).distinct())
+    out = tree_reconcile.reconcile_tree(leaves.unionByName(regions).unionByName(top), edges, "structural", ["y"])
+    return rounded(out.filter("value IS NOT NULL"), 3)
