@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater import schema
@@ -121,6 +122,23 @@ def test_rank_scaled_is_percent_rank(spark):
     assert clean.scale_features(df.limit(0), ["x"], "QuantileTransformer").count() == 0
 
 
+def test_rank_scaled_counts_each_column_in_the_table_itself(spark, tmp_path, monkeypatch):
+    odd = "CASE WHEN id % 3 = 0 THEN 7.5D WHEN id % 11 = 0 THEN NULL WHEN id % 101 = 0 THEN double('NaN') WHEN id % 103 = 0 THEN -0.0D ELSE sin(id) * id END AS x"
+    made = spark.range(0, 5000, numPartitions=3).select("id", F.expr(odd), F.expr("double(id % 5) AS y"), F.expr("int(id * 7919 % 4001) AS z"))
+    made.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    ranks = [F.percent_rank().over(Window.orderBy(c)).alias(c) for c in "xyz"]
+    want = {r.id: r[1:] for r in df.select("id", *ranks).collect()}
+    for few in (50_000, 0):
+        monkeypatch.setattr(clean, "BROADCAST_VALUES", few)
+        got = clean.scale_features(df, ["x", "y", "z"], "QuantileTransformer")
+        assert {r.id: r[1:] for r in got.collect()} == want
+        lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert sum("Relation [" in x for x in lines) == 7 and sum("Join " in x for x in lines) == 6  # per column: counts, sums by range
+        assert not any("Filter" in x and "CASE" in x for x in lines)  # ranges are found for distinct values, not for rows
+    assert clean.rank_scaled(df, "y", "y").agg(F.max("y")).first()[0] == max(w[1] for w in want.values())
+
+
 def test_zone_daylight_saving(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 15, 12),), (dt.datetime(2024, 7, 15, 12),)], "ts timestamp_ntz")
     seen = {z: [r[0] for r in df.orderBy("ts").select(cal.zone_dst(F.col("ts"), z)).collect()] for z in ("America/New_York", "Australia/Sydney", "Asia/Tokyo")}

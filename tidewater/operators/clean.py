@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +15,8 @@ from tidewater.schema import ADJUSTMENT, END, START, TIME, VALUE
 #: Cutoffs and quantiles of the outlier rules.
 Z_CUTOFF, TUKEY_CUTOFF, TUKEY_LOWER, TUKEY_UPPER, DETECTION_Z_CUTOFF, DETECTION_TRIM = 5.0, 1.0, 0.1, 0.9, 20.0, 0.01
 MEDIAN_WINDOW = 5
+#: Ranks of up to so many distinct values are sent to every executor.
+BROADCAST_VALUES = 50_000
 
 
 def interpolate(df: DataFrame, value: str = VALUE, keys: Sequence[str] = (), ts: str = TIME, out: str | None = None) -> DataFrame:
@@ -152,24 +153,52 @@ def normalise(df: DataFrame, cols: Sequence[str], method: str = "zero_to_one", k
     return df.withColumns(out)
 
 
-def rank_scaled(df: DataFrame, c: str) -> DataFrame:
-    """A column as its rank among all rows on [0, 1], as percent_rank has it (nulls first, equal values share a rank).
+def rank_scaled(df: DataFrame, *cols: str) -> DataFrame:
+    """Columns as their ranks among all rows on [0, 1], as percent_rank has it (nulls first, equal values share a rank).
 
-    Distinct values are counted and dealt into ranges by quantiles; each range is ordered by itself and starts where the
-    counts of those before it end, so that no task orders the whole table.
+    One pass finds quantiles of all columns. Per column, distinct values are counted and dealt into ranges by quantiles; each
+    range is ordered by itself and starts where the counts of those before it end, so that no task orders the whole table.
+    Every column is counted in ``df`` itself, not in what the ranks of the columns before it were joined to. Ranks of few
+    distinct values are broadcast, so that no row moves for them and no frequent value makes a large task.
     """
+    cols = list(dict.fromkeys(cols))
+    if not cols:
+        return df
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = df.agg(F.percentile_approx(c, [k / n for k in range(1, n)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(q))]) if q else None
-    part = F.lit(0) if bounds is None else F.when(F.col("_v").isNull(), 0).otherwise(1 + F.size(F.filter(bounds, lambda b: b < F.col("_v"))))
-    values = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_part", part)
+    cuts = [k / n for k in range(1, n)]
+    found = df.agg(*[F.percentile_approx(c, cuts, 10_000).alias(f"q{k}") for k, c in enumerate(cols)], *[F.approx_count_distinct(c).alias(f"d{k}") for k, c in enumerate(cols)]).first()
+    out = df
+    for k, c in enumerate(cols):
+        ranks = _value_ranks(df, c, found[f"q{k}"] or []).select(F.col("_v").alias(f"_v{k}"), F.col("_rank").alias(f"_rank{k}"))
+        few = found[f"d{k}"] <= BROADCAST_VALUES
+        out = out.join(F.broadcast(ranks) if few else ranks, F.col(c) == F.col(f"_v{k}"), "left")
+    scaled = {c: F.coalesce(f"_rank{k}", F.lit(0.0)) for k, c in enumerate(cols)}  # nulls come first: rank 0
+    return out.withColumns(scaled).drop(*[f"{x}{k}" for k in range(len(cols)) for x in ("_v", "_rank")])
+
+
+def _value_ranks(df: DataFrame, c: str, cuts: Sequence) -> DataFrame:
+    """(_v, _rank) per distinct value of a column; ``cuts`` bound the ranges that are ordered by themselves."""
+    values = _with_range(df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n")), cuts)
     sums = values.groupBy("_part").agg(F.sum("_n").alias("_rows"))  # one row per range
     ahead = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("_part", ahead.alias("_ahead"), F.sum("_rows").over(Window.partitionBy()).alias("_all"))
     inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = values.withColumn("_in", inside).join(F.broadcast(starts), "_part")
-    ranks = ranks.select("_v", F.when(F.col("_all") > 1, (F.col("_ahead") + F.col("_in")) / (F.col("_all") - 1)).otherwise(0.0).alias("_rank"))
-    return df.join(ranks, F.col(c).eqNullSafe(F.col("_v"))).withColumn(c, F.col("_rank")).drop("_v", "_rank")
+    return ranks.select("_v", F.when(F.col("_all") > 1, (F.col("_ahead") + F.col("_in")) / (F.col("_all") - 1)).otherwise(0.0).alias("_rank"))
+
+
+def _with_range(values: DataFrame, cuts: Sequence) -> DataFrame:
+    """Adds _part, how many of the cuts are below _v (nulls: 0), by bisection: a column and a comparison per power of two.
+
+    Never null by its type, or joins on it would have it computed for every row of the table to drop nulls.
+    """
+    known = sorted({b for b in cuts if b == b})  # a NaN as cut would break the order; as value it is above all cuts
+    powers = len(known).bit_length()
+    bounds = F.array(*[F.lit(b) for b in known + known[-1:] * ((1 << powers) - 1 - len(known))])  # filled up with the last cut
+    values = values.withColumn("_part", F.lit(0))
+    for step in (1 << k for k in reversed(range(powers))):
+        values = values.withColumn("_part", F.col("_part") + F.when(F.get(bounds, F.col("_part") + (step - 1)) < F.col("_v"), step).otherwise(0))
+    return values
 
 
 def scale_features(df: DataFrame, cols: Sequence[str], name: str = "MinMaxScaler", **params) -> DataFrame:
@@ -179,7 +208,7 @@ def scale_features(df: DataFrame, cols: Sequence[str], name: str = "MinMaxScaler
 
     kinds = {"MinMaxScaler", "MaxAbsScaler", "StandardScaler", "RobustScaler", "Normalizer"}
     if name == "QuantileTransformer":
-        return reduce(rank_scaled, cols, df)
+        return rank_scaled(df, *cols)
     if name not in kinds:
         raise ValueError(f"unknown scaler {name}")
     vector = feature.VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)
